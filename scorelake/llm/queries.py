@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, packing, quality, tokenfile
+from . import bpe, gif, packing, quality, substring, tokenfile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_documents(spark, sf_dir).select("doc_id", "text"), labels)
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_digests(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 @query
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_columns(_documents(spark, sf_dir).select("doc_id", "text"))
