@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _scan
-from ._io import batch_of, partitions, row_slices, store, text_buffers
+from ._io import batch_of, partitions, row_slices, text_buffers
 
 _HITS = pa.schema([("slot", pa.int64()), ("value", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32()), ("known", pa.int8())])
 _HITS_SQL = "slot bigint, value bigint, text_key bigint, pos int, known tinyint"
@@ -164,10 +164,11 @@ class _Held:
 
 
 def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16) -> DataFrame:
-    """For ``texts(text_key, text)``: (text_key, places), starts of windows of ``length`` words that also start elsewhere.
+    """For ``texts(text_key, ..., text)``: (text_key, places), starts of windows of ``length`` words that also start elsewhere.
 
     Windows of the same text at another place count; copies of a text (equal
-    keys) count once here.
+    keys) count once here. Other columns travel along, so that a later join of
+    ``texts`` by text_key is the same exchange and moves the texts only once.
     """
     if not 0 < anchor < length:
         raise ValueError("anchor must be shorter than length")
@@ -214,7 +215,8 @@ def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16) -> Da
 
     anchors = _repeated(texts.select("text_key", "text").mapInArrow(seed, _HITS_SQL))
     seeds = anchors.groupBy("text_key").agg(F.collect_list("places").alias("places"))
-    joined = texts.join(seeds, "text_key").select("text_key", "places", "text")
+    rest = [c for c in texts.columns if c not in ("text_key", "text")]
+    joined = texts.join(seeds, "text_key").select("text_key", "places", *rest, "text")
     return _repeated(joined.mapInArrow(extend, _HITS_SQL))
 
 
@@ -231,9 +233,8 @@ def remove_repeats(docs: DataFrame, length: int = 35, anchor: int = 16) -> DataF
     own = docs.drop("text_key", "n_words", "n_removed", "kept_text", "spans", "_places", "_copies")
     keyed = own.withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
     copies = keyed.where(F.col("text").isNotNull()).groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key", F.lit(None).cast("binary").alias("places"), F.lit(True).alias("copied"))
-    texts = keyed.select("text_key", "text").where(F.col("text").isNotNull())
-    windows = repeated_windows(texts, length, anchor).withColumn("copied", F.lit(False))
-    found = store(windows.unionByName(copies).groupBy("text_key").agg(F.collect_list("places").alias("_places"), F.max("copied").alias("_copies")), "repeats")
+    windows = repeated_windows(keyed, length, anchor).withColumn("copied", F.lit(False))
+    found = windows.unionByName(copies).groupBy("text_key").agg(F.collect_list("places").alias("_places"), F.max("copied").alias("_copies"))
     joined = keyed.join(found, "text_key", "left")
     rest = [c for c in own.columns if c != "text"]
     shape = joined.select("_places", "_copies", *rest, "text")
