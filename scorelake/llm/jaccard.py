@@ -33,6 +33,8 @@ _COUNTED, _REPORTED = 1 << 22, 4
 _FREQUENT, _FREQUENT_FROM = 1 << 17, 32
 #: Lists up to this long give all pairs at once; longer ones have so many leaders.
 _SHORT, _LEADERS = 6, 2
+#: Bits of the filter that says which sets a verification needs, as a power of two, and where a set id's bits for it start.
+_BLOOM, _BLOOM_SHIFTS = 22, (0, 21, 42)
 #: From so many sets on, one shingle's list is dealt to several tasks.
 _SPLIT = 20_000
 
@@ -84,9 +86,21 @@ def _sliced(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Reco
             yield batch.slice(lo, hi - lo), shingle_sets(data[own[0] : own[-1]], own - own[0], k)
 
 
+def parity_bits(own: np.ndarray) -> np.ndarray:
+    """The parity of a set's hashes over a power of two of bits, at least its size.
+
+    Two such bitmaps differ in no more bits than the sets differ in members, so
+    their distance bounds the similarity from above. Halves of the longer one
+    are combined where the lengths differ.
+    """
+    m = max(64, 1 << (len(own) - 1).bit_length())
+    odd = np.bincount((_scan.mix(own) & _U(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
-    """kind 0: a = doc_id, b = set id, n = size. kind 1: a = a shingle, n = its count in one share of the rows."""
-    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+    """kind 0: a = doc_id, b = set id, n = size, bits once a share of rows. kind 1: a = a shingle, n = its count in one share."""
+    schema = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -97,16 +111,19 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
             values, counts = np.unique(np.concatenate(waiting), return_counts=True)
             often = counts >= _REPORTED
             m = int(often.sum())
-            return batch_of(schema, np.ones(m, np.int8), values[often].view(np.int64), np.zeros(m, np.int64), counts[often])
+            return batch_of(schema, np.ones(m, np.int8), values[often].view(np.int64), np.zeros(m, np.int64), counts[often], pa.nulls(m, pa.list_(pa.int64())))
 
         for batch, sets in _sliced(batches, rule.words):
             ids = [set_id(s) for s in sets]
-            yield batch_of(schema, np.zeros(len(ids), np.int8), batch.column(0), ids, [len(s) for s in sets])
+            bits: list[np.ndarray | None] = []
             for i, s in zip(ids, sets, strict=True):
-                if i not in seen:
+                new = i not in seen and len(s) > 0
+                bits.append(parity_bits(s) if new else None)
+                if new:
                     seen.add(i)
                     waiting.append(s)
                     n += len(s)
+            yield batch_of(schema, np.zeros(len(ids), np.int8), batch.column(0), ids, [len(s) for s in sets], bits)
             if n >= _COUNTED:
                 yield counted()
                 waiting, n = [], 0
@@ -114,7 +131,7 @@ def _describe(docs: DataFrame, rule: Rule) -> DataFrame:
         if n:
             yield counted()
 
-    return docs.mapInArrow(run, "kind tinyint, a bigint, b bigint, n bigint")
+    return docs.mapInArrow(run, "kind tinyint, a bigint, b bigint, n bigint, bits array<bigint>")
 
 
 def boundary(sizes: dict[int, int], repetition: float, rule: Rule) -> int:
@@ -255,23 +272,55 @@ def _scan_lists(postings: DataFrame, rule: Rule, limit: int) -> DataFrame:
     return postings.mapInArrow(run, "kind tinyint, a bigint, b bigint, n int")
 
 
-def _set_table(docs: DataFrame, reps: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
-    """(sid, members): the sorted shingles of the wanted sets, from one document of each."""
-    schema = pa.schema([("sid", pa.int64()), ("members", pa.binary())])
+def _sized(na: Column, nb: Column, rule: Rule) -> Column:
+    return F.least(na, nb) * rule.den >= F.greatest(na, nb) * rule.num
+
+
+def _near(x: Column, y: Column, na: Column, nb: Column, rule: Rule) -> Column:
+    """Whether sizes and parity bits leave room for the similarity; never false for a similar pair."""
+
+    def folded(p: Column, q: Column) -> Column:
+        h = F.size(q)
+        return F.when(F.size(p) > h, F.zip_with(F.slice(p, F.lit(1), h), F.slice(p, h + 1, h), lambda s, t: s.bitwiseXOR(t))).otherwise(p)
+
+    distance = F.aggregate(F.zip_with(folded(x, y), folded(y, x), lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda acc, c: acc + c)
+    return F.when(_sized(na, nb, rule), distance * (rule.den + rule.num) <= (na + nb) * (rule.den - rule.num)).otherwise(False)
+
+
+def _bloom(wanted: DataFrame) -> np.ndarray:
+    """A filter of fixed size over the column sid; the driver gets its words, 2**_BLOOM bits in all."""
+    places = F.explode(F.array(*(F.shiftright("sid", k).bitwiseAND((1 << _BLOOM) - 1) for k in _BLOOM_SHIFTS))).alias("p")
+    one = F.expr("shiftleft(1L, cast(p & 63 as int))")
+    rows = wanted.select(places).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("m")).toPandas()
+    out = np.zeros(1 << (_BLOOM - 6), np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
+    return out
+
+
+def _set_table(docs: DataFrame, filled: np.ndarray, rule: Rule) -> DataFrame:
+    """(sid, doc_id, members): the sorted shingles of the sets that pass the filter, once a task."""
+    schema = pa.schema([("sid", pa.int64()), ("doc_id", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sliced(batches, rule.words):
-            keep = [i for i, (s, sid) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if set_id(s) == sid]
-            if keep:
-                yield batch_of(schema, batch.column(0).take(pa.array(keep)), [sets[i].astype("<u8").tobytes() for i in keep])
+            ids = np.array([set_id(s) for s in sets], np.int64)
+            keep = np.ones(len(ids), bool)
+            for k in _BLOOM_SHIFTS:
+                p = (ids >> k) & ((1 << _BLOOM) - 1)
+                keep &= (filled[p >> 6] >> (p & 63)) & 1 == 1
+            at = np.flatnonzero(keep)
+            if len(at):
+                yield batch_of(schema, ids[at], batch.column(0).take(pa.array(at)), [sets[i].astype("<u8").tobytes() for i in at.tolist()])
+
+    return docs.mapInArrow(run, "sid bigint, doc_id bigint, members binary")
 
-    places = wanted.select("sid").distinct().join(reps, "sid").select("sid", F.col("rep").alias("doc_id"))
-    return docs.join(places, "doc_id").select("sid", "text").mapInArrow(run, "sid bigint, members binary")
 
+def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(u, v) of the pairs (a, u, b, v) of sets and their documents that are similar enough.
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    The sets are made again from the texts, of the documents in the pairs alone.
+    """
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,15 +334,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 at = pa.array(keep)
                 yield batch_of(schema, batch.column(0).take(at), batch.column(1).take(at))
 
-    first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), "a")
-    return first.join(sets.select(F.col("sid").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def _sized(a: str, b: str, rule: Rule) -> Column:
-    return F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num
+    sets = _set_table(docs, _bloom(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), rule)
+    first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("doc_id").alias("u"), F.col("members").alias("x")), ["a", "u"])
+    second = first.join(sets.select(F.col("sid").alias("b"), F.col("doc_id").alias("v"), F.col("members").alias("y")), ["b", "v"])
+    return second.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 1) -> DataFrame:
     """``docs(doc_id, text)`` to (doc_id, n_shingles, component_id, set_id), one row a row.
 
     component_id is the smallest doc_id that links reach. Rows without words
@@ -305,7 +352,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
     known = own.where(F.col("doc_id").isNotNull())
     facts = store(_describe(own, rule), "sets")
     members = facts.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("sid"), F.col("n"))
-    reps = store(members.where("doc_id is not null and n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep")), "representatives")
+    smallest = members.where("doc_id is not null and n > 0").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
+    bits = facts.where("kind = 0 and bits is not null").groupBy(F.col("b").alias("sid")).agg(F.max("bits").alias("bits"))
+    reps = store(smallest.join(bits, "sid").select("sid", F.col("n").cast("int").alias("n"), "rep", "bits"), "representatives")
     often = facts.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= _FREQUENT_FROM)
     top = often.orderBy(F.desc("n"), "a").limit(_FREQUENT).toPandas()
     values = top["a"].to_numpy(np.int64).view(_U)
@@ -317,46 +366,31 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
     limit = boundary(sizes, repetition, rule)
 
     lists = store(_scan_lists(_postings(known, rule, limit, frequent), rule, limit), "lists")
-    pairs = store(lists.where("kind = 0").select("a", "b").distinct(), "pairs")
-    long = lists.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"), "n")
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).union(long.select("sid"))
-    sets = store(_set_table(known, reps, wanted, rule), "members", compression="uncompressed")
-
-    links = store(_verified(pairs, sets, rule), "links")
-    by_rep = reps.select("sid", "rep")
-
-    def rooted(links: DataFrame) -> DataFrame:
-        u = by_rep.select(F.col("sid").alias("a"), F.col("rep").alias("u"))
-        v = by_rep.select(F.col("sid").alias("b"), F.col("rep").alias("v"))
-        return components(links.join(u, "a").join(v, "b").select("u", "v"))
-
-    roots = rooted(links)
+    long = lists.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"))
+    left = reps.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rep").alias("u"), F.col("bits").alias("x"))
+    right = reps.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("v"), F.col("bits").alias("y"))
+    first = lists.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b")
+    pairs = store(first.where(_near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)).select("a", "u", "b", "v"), "pairs")
+    links = store(_verified(pairs, known, rule), "links")
+    roots = components(links)
     for turn in range(star_rounds + 1):
         labelled = (
-            long.join(by_rep, "sid")
+            long.join(reps, "sid")
             .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-            .select("key", "sid", "n", F.coalesce("root", "rep").alias("root"))
+            .select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rep").alias("u"), F.col("bits").alias("x"), F.coalesce("root", "rep").alias("root"))
         )
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("r"), "sid", "n", "root")).alias("lead")).where("lo <> hi")
-        if turn < star_rounds:
-            rows = labelled.join(mixed, "key")
-            met = rows.where(F.col("root") != F.col("lead.root")).select("key", "sid", "n", F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"))
-        else:
-            rows = labelled.join(mixed.select("key"), "key")
-            other = rows.select("key", F.col("sid").alias("other"), F.col("n").alias("m"), F.col("root").alias("root2"))
-            met = rows.join(other, "key").where((F.col("root") < F.col("root2")))
-        more = store(
-            met.where(_sized("n", "m", rule) & ((F.col("key") % 2 != 0) | (F.greatest("n", "m") > limit)))
-            .select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct(),
-            "pairs",
-        )
-        if more.isEmpty():
-            if turn < star_rounds:
-                continue
-            break
-        links = store(links.union(_verified(more, sets, rule)), "links")
-        roots = rooted(links)
-    found = by_rep.join(roots, by_rep.rep == roots.node, "left").select("sid", F.coalesce("root", "rep").alias("root"))
+        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("r"), "a")).alias("lead")).where("lo <> hi")
+        rows = labelled.join(mixed.select("key", F.col("lead.a").alias("lead")), "key")
+        other = rows.where("a = lead") if turn < star_rounds else rows
+        other = other.select(F.col("key").alias("key2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("u").alias("v"), F.col("x").alias("y"), F.col("root").alias("root2"))
+        apart = F.col("root") != F.col("root2") if turn < star_rounds else F.col("root") < F.col("root2")
+        kinds = (F.col("key") % 2 != 0) | (F.greatest("na", "nb") > limit)
+        met = rows.join(other, (F.col("key") == F.col("key2")) & apart & kinds & _near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule))
+        more = store(met.select("a", "u", "b", "v").distinct(), "pairs")
+        if not more.isEmpty():
+            links = store(links.union(_verified(more, known, rule)), "links")
+            roots = components(links)
+    found = reps.select("sid", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("root", "rep").alias("root"))
     return members.join(found, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"), F.col("sid").alias("set_id")
     )

@@ -90,6 +90,16 @@ def test_odd_rows(spark):
     assert jaccard.jaccard_components(df.limit(0)).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=150), st.sets(st.integers(0, 2**64 - 1), max_size=150), st.integers(0, 150))
+def test_parity_bits_bound_the_difference(a, extra, drop):
+    b = (set(sorted(a)[drop:]) | extra) or {1}
+    x, y = (jaccard.parity_bits(np.array(sorted(s), np.uint64)) for s in (a, b))
+    while len(x) != len(y):
+        x, y = (p[: len(p) // 2] ^ p[len(p) // 2 :] if len(p) > len(q) else p for p, q in ((x, y), (y, x)))
+    assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(a ^ b)
+
+
 def test_boundary_follows_cost():
     rule = jaccard.Rule()
     sizes = {n: 10 for n in range(1, 200)}
