@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, gif, jaccard, packing, quality, substring, tokenfile
+from . import bpe, gif, htmltext, jaccard, packing, quality, rules, substring, tokenfile, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +24,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(_documents(spark, sf_dir).select("doc_id", "text"))
+    return jaccard.jaccard_components(_documents(spark, sf_dir).select("doc_id", "text")).drop("set_id")
 
 
 @query
@@ -47,11 +48,78 @@ def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return rules.quality_rules(_documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@query
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """URLs marked by the labels of the document that each shows: low quality or toxic.
+
+    The document's number is the last number of the path.
+    """
+    number = F.regexp_extract(urlrules.path_of(F.col("url")), r"([0-9]+)[^0-9]*$", 1)
+    marks = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("marked"))
+    return pages.select("url").withColumn("doc_id", number.try_cast("bigint")).join(marks, "doc_id").select("url", "marked")
+
+
+@query
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return urlrules.url_verdicts(pages, labelled_urls(pages, labels))
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLES["op1_ngram_jaccard"] = f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 75 * (x.n + y.n - both_n)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT l.b, r.seen FROM r JOIN l ON l.a = r.node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY node) c USING (doc_id)
+"""
+
+ORACLES["op3_substring_dedup"] = f"""
+WITH
+w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 33)) AS i, ws FROM w WHERE len(ws) >= 35),
+h AS (SELECT doc_id, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS v FROM g),
+c AS (SELECT doc_id, list(DISTINCT i) AS starts FROM h WHERE v IN (SELECT v FROM h GROUP BY v HAVING count(*) > 1) GROUP BY doc_id),
+gone AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 35)))) AS g FROM c),
+k AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(len(g), 0) AS n_removed,
+         list_transform(list_filter(range(1, len(ws) + 1), lambda i: g IS NULL OR NOT list_contains(g, i)), lambda i: ws[i]) AS kept
+  FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+ORACLES["op8_html_main_text"] = r"""
+WITH
+a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<[^>]*>', ' ', 'g') AS x FROM pages),
+t AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""

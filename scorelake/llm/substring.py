@@ -236,8 +236,9 @@ def remove_repeats(docs: DataFrame, length: int = 35, anchor: int = 16) -> DataF
     windows = repeated_windows(keyed, length, anchor).withColumn("copied", F.lit(False))
     found = windows.unionByName(copies).groupBy("text_key").agg(F.collect_list("places").alias("_places"), F.max("copied").alias("_copies"))
     joined = keyed.join(found, "text_key", "left")
-    rest = [c for c in own.columns if c != "text"]
-    shape = joined.select("_places", "_copies", *rest, "text")
+    rest = list(own.columns)
+    others = [c for c in rest if c != "text"]
+    shape = joined.select("_places", "_copies", *others, "text")
     fields = [f"`{c}` {t}" for c, t in joined.select(*rest).dtypes]
     schema = ", ".join([*fields, "n_words bigint", "n_removed bigint", "kept_text string", "spans array<struct<first:int,end:int>>"])
 
@@ -266,7 +267,7 @@ def remove_repeats(docs: DataFrame, length: int = 35, anchor: int = 16) -> DataF
                 else:
                     spans.append([])
                     kept.append(b" ".join(raw[offsets[i] : offsets[i + 1]].split()).decode())
-            passed = [batch.column(k) for k in range(2, batch.num_columns - 1)]
+            passed = [batch.column(c) for c in rest]
             arrays = [*passed, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "n_words", "n_removed", "kept_text", "spans"])
 
