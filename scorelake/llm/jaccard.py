@@ -381,11 +381,18 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
         )
         mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("r"), "a")).alias("lead")).where("lo <> hi")
         rows = labelled.join(mixed.select("key", F.col("lead.a").alias("lead")), "key")
+        if turn == star_rounds:
+            rows = store(rows.join(rows.groupBy("a").agg(F.collect_set("key").alias("keys")), "a"), "apart")
+        else:
+            rows = rows.withColumn("keys", F.lit(None).cast("array<bigint>"))
         other = rows.where("a = lead") if turn < star_rounds else rows
-        other = other.select(F.col("key").alias("key2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("u").alias("v"), F.col("x").alias("y"), F.col("root").alias("root2"))
+        other = other.select(F.col("key").alias("key2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("u").alias("v"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("keys").alias("keys2"))
         apart = F.col("root") != F.col("root2") if turn < star_rounds else F.col("root") < F.col("root2")
-        kinds = (F.col("key") % 2 != 0) | (F.greatest("na", "nb") > limit)
-        met = rows.join(other, (F.col("key") == F.col("key2")) & apart & kinds & _near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule))
+        counts = lambda k: (k % 2 != 0) | (F.greatest("na", "nb") > limit)
+        near = _near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)
+        # of the lists that two sets share, the first one makes the pair
+        once = F.lit(True) if turn < star_rounds else F.array_min(F.filter(F.array_intersect("keys", "keys2"), counts)) == F.col("key")
+        met = rows.join(other, (F.col("key") == F.col("key2")) & apart & counts(F.col("key")) & near & once)
         more = store(met.select("a", "u", "b", "v").distinct(), "pairs")
         if not more.isEmpty():
             links = store(links.union(_verified(more, known, rule)), "links")
