@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from . import _scan
 from ._io import batch_of, partitions, row_slices, text_buffers
 
-_HITS = pa.schema([("slot", pa.int64()), ("value", pa.int64()), ("text_key", pa.int64()), ("pos", pa.int32()), ("known", pa.int8())])
-_HITS_SQL = "slot bigint, value bigint, text_key bigint, pos int, known tinyint"
+_HITS = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
+_HITS_SQL = "part int, payload binary"
 _PLACES = pa.schema([("text_key", pa.int64()), ("places", pa.binary())])
+#: Bytes of an anchor's hash that seeds are joined on; a false seed costs a look, and no result.
+_SEED_BYTES, _SEED_MASK = 5, np.uint64((1 << 40) - 1)
 _SLICE = 4 << 20
 _HELD = 1 << 20
 
@@ -66,8 +68,49 @@ class _Words:
         self.selected = picked[self.windows]
 
 
-def _settle(value: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    """Rows for the join: one for each distinct value, and those known to be repeated by themselves."""
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of integers, byte by byte, so that small numbers compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: memoryview, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, n * width).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def _pack(value: np.ndarray, key: np.ndarray, pos: np.ndarray, kind: np.ndarray, width: int) -> bytes:
+    """Places sorted by key and position as bytes; values only where they are still to be joined."""
+    new = np.append(True, key[1:] != key[:-1])
+    heads = np.flatnonzero(new)
+    steps = np.diff(pos, prepend=0)
+    steps[heads] = pos[heads]
+    counts = np.diff(np.append(heads, len(key)))
+    sizes = np.array([len(key), len(heads), int((kind != 1).sum())], "<u8").tobytes()
+    return b"".join((sizes, key[heads].astype("<u8").tobytes(), _planes(counts, 4), _planes(steps, 4), kind.astype(np.uint8).tobytes(), _planes(value[kind != 1], width)))
+
+
+def _unpack(payload: bytes, width: int) -> tuple[np.ndarray, ...]:
+    data = memoryview(payload)
+    n, k, m = (int(x) for x in np.frombuffer(data, "<u8", 3))
+    at = 24
+    keys = np.frombuffer(data, "<u8", k, at)
+    at += 8 * k
+    counts = _from_planes(data[at:], k, 4).astype(np.int64)
+    at += 4 * k
+    steps = _from_planes(data[at:], n, 4).astype(np.int64)
+    at += 4 * n
+    kind = np.frombuffer(data, np.uint8, n, at)
+    value = np.zeros(n, np.uint64)
+    value[kind != 1] = _from_planes(data[at + n :], m, width)
+    sums = np.cumsum(steps)
+    heads = np.cumsum(counts) - counts
+    pos = sums - np.repeat(sums[heads] - steps[heads], counts)
+    return value, np.repeat(keys, counts), pos.astype(np.int32), kind
+
+
+def _settle(value: np.ndarray, key: np.ndarray, pos: np.ndarray, parts: int, width: int) -> pa.RecordBatch:
+    """Packed places for the join: one for each distinct value, and those known to be repeated by themselves."""
     order = np.lexsort((pos, key, value))
     value, key, pos = value[order], key[order], pos[order]
     new = np.ones(len(value), bool)
@@ -81,20 +124,24 @@ def _settle(value: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBat
     slot = np.concatenate((value[~many], value[speaks], _scan.mix(value[many] ^ _scan.mix(key[many] + pos[many].astype(np.uint64)))))
     kind = np.concatenate((np.zeros(int((~many).sum()), np.int8), np.full(int(speaks.sum()), 2, np.int8), np.ones(int(many.sum()), np.int8)))
     pick = np.concatenate((np.flatnonzero(~many), np.flatnonzero(speaks), np.flatnonzero(many)))
-    return batch_of(_HITS, slot.view(np.int64), value[pick].view(np.int64), key[pick].view(np.int64), pos[pick].astype(np.int32), kind)
+    part = (_scan.mix(slot) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((pos[pick], key[pick], part))
+    part, pick, kind = part[order], pick[order], kind[order]
+    heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    spans = list(zip(heads.tolist(), np.append(heads[1:], len(part)).tolist(), strict=True))
+    value, key, pos = value[pick], key[pick], pos[pick]
+    return batch_of(_HITS, part[heads], [_pack(value[a:b], key[a:b], pos[a:b], kind[a:b], width) for a, b in spans])
 
 
-def _repeated(hits: DataFrame) -> DataFrame:
+def _repeated(hits: DataFrame, parts: int, width: int) -> DataFrame:
     """Places (text_key, places: int32 positions) whose value occurs at two places or more."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        for batch in batches:
-            for i, c in enumerate(columns):
-                c.append(batch.column(i + 1).to_numpy(zero_copy_only=False))
-        if not columns[0]:
+        held = [_unpack(x.as_py(), width) for batch in batches for x in batch.column(1)]
+        if not held:
             return
-        value, key, pos, known = (np.concatenate(c) for c in columns)
+        value, key, pos, known = (np.concatenate(c) for c in zip(*held, strict=True))
+        del held
         done = known == 1
         out_key, out_pos = [key[done]], [pos[done]]
         value, key, pos, known = value[~done], key[~done], pos[~done], known[~done]
@@ -112,7 +159,7 @@ def _repeated(hits: DataFrame) -> DataFrame:
         out_pos.append(pos[keep])
         key, pos = np.concatenate(out_key), np.concatenate(out_pos)
         order = np.argsort(key, kind="stable")
-        key, pos = key[order], pos[order]
+        key, pos = key[order].view(np.int64), pos[order]
         cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         ends = np.append(cuts[1:], len(key))
         raw = memoryview(pos.astype("<i4").tobytes())
@@ -120,7 +167,7 @@ def _repeated(hits: DataFrame) -> DataFrame:
             a, b = cuts[i : i + 4096], ends[i : i + 4096]
             yield batch_of(_PLACES, key[a], [bytes(raw[4 * x : 4 * y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
 
-    return hits.repartition(partitions(hits.sparkSession), "slot").mapInArrow(meet, "text_key bigint, places binary")
+    return hits.repartitionById(parts, F.col("part")).mapInArrow(meet, "text_key bigint, places binary")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -146,20 +193,21 @@ def _drop_seen(batch: pa.RecordBatch, seen: set[int]) -> pa.Array:
 class _Held:
     """Values that wait to be settled together."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, parts: int, width: int) -> None:
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n = 0
+        self.to = parts, width
 
     def add(self, value: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch | None:
-        self.parts.append((value, key, pos))
+        self.waiting.append((value, key, pos))
         self.n += len(value)
         return self.flush() if self.n >= _HELD else None
 
     def flush(self) -> pa.RecordBatch | None:
         if not self.n:
             return None
-        out = _settle(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
-        self.parts, self.n = [], 0
+        out = _settle(*(np.concatenate(x) for x in zip(*self.waiting, strict=True)), *self.to)
+        self.waiting, self.n = [], 0
         return out
 
 
@@ -172,10 +220,11 @@ def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16) -> Da
     """
     if not 0 < anchor < length:
         raise ValueError("anchor must be shorter than length")
+    parts = partitions(texts.sparkSession)
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held = _Held()
+        held = _Held(parts, _SEED_BYTES)
         for batch in batches:
             for own, data, offsets in _rows(iter([batch.filter(_drop_seen(batch, seen))])):
                 w = _Words(data, offsets, length, anchor)
@@ -183,7 +232,7 @@ def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16) -> Da
                     continue
                 pos = w.selected[np.append(True, w.selected[1:] != w.selected[:-1])]
                 keys = own.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                out = held.add(w.grams[pos], keys[w.row[pos]], pos - w.first[pos])
+                out = held.add(w.grams[pos] & _SEED_MASK, keys[w.row[pos]], pos - w.first[pos])
                 if out is not None:
                     yield out
         out = held.flush()
@@ -192,7 +241,7 @@ def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16) -> Da
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held = _Held()
+        held = _Held(parts, 8)
         for batch in batches:
             for own, data, offsets in _rows(iter([batch.filter(_drop_seen(batch, seen))])):
                 w = _Words(data, offsets, length, anchor)
@@ -213,11 +262,11 @@ def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16) -> Da
         if out is not None:
             yield out
 
-    anchors = _repeated(texts.select("text_key", "text").mapInArrow(seed, _HITS_SQL))
+    anchors = _repeated(texts.select("text_key", "text").mapInArrow(seed, _HITS_SQL), parts, _SEED_BYTES)
     seeds = anchors.groupBy("text_key").agg(F.collect_list("places").alias("places"))
     rest = [c for c in texts.columns if c not in ("text_key", "text")]
     joined = texts.join(seeds, "text_key").select("text_key", "places", *rest, "text")
-    return _repeated(joined.mapInArrow(extend, _HITS_SQL))
+    return _repeated(joined.mapInArrow(extend, _HITS_SQL), parts, 8)
 
 
 def remove_repeats(docs: DataFrame, length: int = 35, anchor: int = 16) -> DataFrame:
