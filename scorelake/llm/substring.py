@@ -32,6 +32,7 @@ _PLACES = pa.schema([("text_key", pa.int64()), ("places", pa.binary())])
 #: Bytes of an anchor's hash that seeds are joined on; a false seed costs a look, and no result.
 _SEED_BYTES, _SEED_MASK = 5, np.uint64((1 << 40) - 1)
 _SLICE = 4 << 20
+_PLACES_A_ROW = 8
 _HELD = 1 << 20
 
 
@@ -160,7 +161,9 @@ def _repeated(hits: DataFrame, parts: int, width: int) -> DataFrame:
         key, pos = np.concatenate(out_key), np.concatenate(out_pos)
         order = np.argsort(key, kind="stable")
         key, pos = key[order].view(np.int64), pos[order]
-        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        heads = np.append(True, key[1:] != key[:-1])[: len(key)]
+        since = np.arange(len(key)) - np.maximum.accumulate(np.where(heads, np.arange(len(key)), 0))
+        cuts = np.flatnonzero(since % _PLACES_A_ROW == 0)  # so that rows follow the places, and not the number of tasks
         ends = np.append(cuts[1:], len(key))
         raw = memoryview(pos.astype("<i4").tobytes())
         for i in range(0, len(cuts), 4096):
