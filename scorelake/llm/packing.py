@@ -23,6 +23,8 @@ from ._io import batch_of, row_slices, store, text_buffers
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+#: Plan rows that are broadcast at most (40 bytes each); a longer plan is joined by a shuffle on length.
+BROADCAST_ROWS = 250_000
 #: Shares that one length's pieces are ranked in, so that a hot length is no single task.
 SALTS = 64
 
@@ -127,6 +129,8 @@ def pack(cut: DataFrame, max_length: int = 2048) -> DataFrame:
     bases_df = spark.createDataFrame(pd.DataFrame(bases, columns=["length", "_share", "_base"]).astype({"length": "int64", "_share": "int32", "_base": "int64"}), "length bigint, _share int, _base bigint")
     slots = pd.DataFrame(plan(counts, max_length), columns=["length", "_lo", "_hi", "_seq", "_at"]).astype("int64")
     slots_df = spark.createDataFrame(slots, "length bigint, _lo bigint, _hi bigint, _seq bigint, _at bigint")
+    if len(slots) <= BROADCAST_ROWS:
+        slots_df = F.broadcast(slots_df)
     within = Window.partitionBy("length", "_share").orderBy("doc_id", "piece")
     ranked = (
         salted.withColumn("_n", F.row_number().over(within) - 1)
@@ -134,7 +138,7 @@ def pack(cut: DataFrame, max_length: int = 2048) -> DataFrame:
         .withColumn("_rank", F.col("_base") + F.col("_n"))
     )
     return (
-        ranked.join(F.broadcast(slots_df), (ranked.length == slots_df.length) & (ranked._rank >= slots_df._lo) & (ranked._rank < slots_df._hi))
+        ranked.join(slots_df, (ranked.length == slots_df.length) & (ranked._rank >= slots_df._lo) & (ranked._rank < slots_df._hi))
         .select("doc_id", "piece", "start", ranked.length, "ids_crc32", (F.col("_seq") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), F.col("_at").alias("offset"))
     )
 
