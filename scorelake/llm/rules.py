@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 _GAP = r"[\x20\x09-\x0D]+"
 _INK = r"[^\x20\x09-\x0D]"
 _SYMBOLS = r"[#*$%&|<>]"
+_FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
 #: Low bits of a sorted window code hold the window's place (texts up to 2**24 words); the rest its hash.
 _PLACE = (1 << 24) - 1
 
@@ -99,28 +100,42 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
     return F.when(F.size(words) < 6, F.lit(0)).otherwise(let(windows, found))
 
 
-def _counts(text: Column) -> Column:
-    """The surface counts and the score of a text, as one struct."""
+def _judged(text: Column, ratios: list[float], threshold: float, least_words: int, most_repeated: int) -> Column:
+    """The counts, score and verdict of a text, as one struct.
+
+    Everything is bound inside one expression: a filter on one of its fields that
+    the optimizer moves computes it once more at most.
+    """
+    n = len(ratios)
+    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded to a literal
     whole = F.coalesce(text.cast("string"), F.lit(""))
     inked = F.filter(F.split(whole, "\n"), lambda x: x.rlike(_INK))
-    return let(
-        words_of(text),
-        lambda w: let(
-            _hashes(w),
-            lambda h: F.struct(
-                F.size(w).cast("bigint").alias("n_words"),
-                F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-                F.regexp_count(whole, F.lit(_SYMBOLS)).cast("bigint").alias("n_symbols"),
-                let(inked, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
-                _repeat_words(w, h).cast("bigint").alias("n_repeat_words"),
-                h.alias("_hashes"),
-            ),
-        ),
-    )
+    ratio = lambda x: F.get(table, _bucket(x, n).cast("int"))
+
+    def scored(h: Column) -> Column:
+        ones = F.aggregate(h, F.lit(0.0), lambda acc, x: acc + ratio(x))
+        twos = F.aggregate(F.sequence(F.lit(0), F.size(h) - 2), F.lit(0.0), lambda acc, i: acc + ratio(F.xxhash64(F.get(h, i), F.get(h, i + 1))))
+        return F.round((ones + F.when(F.size(h) > 1, twos).otherwise(0.0)) / F.greatest(2 * F.size(h) - 1, F.lit(1)), 6)
+
+    def counted(w: Column, h: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("bigint").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
+            F.regexp_count(whole, F.lit(_SYMBOLS)).cast("bigint").alias("n_symbols"),
+            let(inked, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+            _repeat_words(w, h).cast("bigint").alias("n_repeat_words"),
+            scored(h).alias("score"),
+        )
+
+    def verdict(c: Column) -> Column:
+        failed = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > most_repeated * c["n_words"])
+        return F.struct(*(c[k].alias(k) for k in _FIELDS[:6]), failed.alias("base_failed"), (~failed & (c["score"] >= threshold)).alias("kept"))
+
+    return let(words_of(text), lambda w: let(_hashes(w), lambda h: let(counted(w, h), verdict)))
 
 
 def with_rules(docs: DataFrame, ratios: list[float], threshold: float = -0.1, least_words: int = 10, most_repeated: int = 20) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score, base_failed and kept.
 
     base_failed: fewer than ``least_words`` words, or more than
     ``most_repeated`` per cent of them in repeated windows. kept: not
@@ -128,18 +143,9 @@ def with_rules(docs: DataFrame, ratios: list[float], threshold: float = -0.1, le
     zero counts and fail. Columns of ``docs`` with these names are replaced;
     rows are never dropped or merged.
     """
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    n = len(ratios)
-    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    ratio = lambda x: F.get(table, _bucket(x, n).cast("int"))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
-    h = F.col("_rules._hashes")
-    summed = total(F.transform(h, ratio)) + F.when(F.size(h) > 1, total(F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: ratio(F.xxhash64(F.get(h, i), F.get(h, i + 1)))))).otherwise(0.0)
-    grams = F.greatest(2 * F.size(h) - 1, F.lit(1))
-    others = [c for c in docs.columns if c not in (*names, "base_failed", "score", "kept", "_rules")]
-    counted = docs.withColumn("_rules", _counts(F.col("text"))).select(*others, *(F.col(f"_rules.{c}").alias(c) for c in names), F.round(summed / grams, 6).alias("score"))
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    others = [c for c in docs.columns if c not in (*_FIELDS, "_rules")]
+    judged = docs.withColumn("_rules", _judged(F.col("text"), ratios, threshold, least_words, most_repeated))
+    return judged.select(*others, *(F.col(f"_rules.{c}").alias(c) for c in _FIELDS))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
