@@ -28,9 +28,9 @@ from .graph import components
 _U = np.uint64
 _SLICE = 4 << 20
 #: Values of one task that are counted together; a value less often in them is not reported as frequent.
-_COUNTED, _REPORTED = 1 << 22, 4
+_COUNTED, _REPORTED = 1 << 22, 2
 #: The order "rare first" knows this many frequent shingles at most; any order gives the same links.
-_FREQUENT, _FREQUENT_FROM = 1 << 17, 32
+_FREQUENT, _FREQUENT_FROM = 1 << 19, 4
 #: Lists up to this long give all pairs at once; longer ones have so many leaders.
 _SHORT, _LEADERS = 6, 2
 #: Bits of the filter that says which sets a verification needs, as a power of two, and where a set id's bits for it start.
@@ -87,13 +87,13 @@ def _sliced(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Reco
 
 
 def parity_bits(own: np.ndarray) -> np.ndarray:
-    """The parity of a set's hashes over a power of two of bits, at least its size.
+    """The parity of a set's hashes over a power of two of bits, four to eight times its size.
 
     Two such bitmaps differ in no more bits than the sets differ in members, so
     their distance bounds the similarity from above. Halves of the longer one
     are combined where the lengths differ.
     """
-    m = max(64, 1 << (len(own) - 1).bit_length())
+    m = max(64, 4 << (len(own) - 1).bit_length())
     odd = np.bincount((_scan.mix(own) & _U(m - 1)).astype(np.int64), minlength=m) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -340,7 +340,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return second.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 1) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) -> DataFrame:
     """``docs(doc_id, text)`` to (doc_id, n_shingles, component_id, set_id), one row a row.
 
     component_id is the smallest doc_id that links reach. Rows without words
@@ -366,7 +366,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
     limit = boundary(sizes, repetition, rule)
 
     lists = store(_scan_lists(_postings(known, rule, limit, frequent), rule, limit), "lists")
-    long = lists.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"))
+    # shingles of one passage make lists of the same sets; one list of each kind says it all
+    every = lists.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"))
+    alike = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("h")).groupBy("n", "h", F.col("key") % 2).agg(F.min("key").alias("key"))
+    long = store(every.join(alike.select("key"), "key", "left_semi"), "long")
     left = reps.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rep").alias("u"), F.col("bits").alias("x"))
     right = reps.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("v"), F.col("bits").alias("y"))
     first = lists.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b")
@@ -375,24 +378,21 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
     roots = components(links)
     for turn in range(star_rounds + 1):
         labelled = (
-            long.join(reps, "sid")
+            long.join(reps.select("sid", "rep"), "sid")
             .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-            .select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rep").alias("u"), F.col("bits").alias("x"), F.coalesce("root", "rep").alias("root"))
+            .select("key", F.col("sid").alias("a"), F.coalesce("root", "rep").alias("root"))
         )
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("a", F.lit(turn)).alias("r"), "a")).alias("lead")).where("lo <> hi")
-        rows = labelled.join(mixed.select("key", F.col("lead.a").alias("lead")), "key")
-        if turn == star_rounds:
-            rows = store(rows.join(rows.groupBy("a").agg(F.collect_set("key").alias("keys")), "a"), "apart")
-        else:
-            rows = rows.withColumn("keys", F.lit(None).cast("array<bigint>"))
-        other = rows.where("a = lead") if turn < star_rounds else rows
-        other = other.select(F.col("key").alias("key2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("u").alias("v"), F.col("x").alias("y"), F.col("root").alias("root2"), F.col("keys").alias("keys2"))
-        apart = F.col("root") != F.col("root2") if turn < star_rounds else F.col("root") < F.col("root2")
-        counts = lambda k: (k % 2 != 0) | (F.greatest("na", "nb") > limit)
+        # each list has a leader of its own, so lists with the same sets try different ones
+        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("a", "key", F.lit(turn)).alias("r"), "a", "root")).alias("lead")).where("lo <> hi")
+        rows = labelled.join(mixed.select("key", "lead"), "key")
         near = _near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)
-        # of the lists that two sets share, the first one makes the pair
-        once = F.lit(True) if turn < star_rounds else F.array_min(F.filter(F.array_intersect("keys", "keys2"), counts)) == F.col("key")
-        met = rows.join(other, (F.col("key") == F.col("key2")) & apart & counts(F.col("key")) & near & once)
+        if turn < star_rounds:
+            met = rows.where(F.col("root") != F.col("lead.root")).select("a", F.col("lead.a").alias("b")).distinct().join(left, "a").join(right, "b").where(near)
+        else:
+            rows = rows.select("key", "a", "root").join(left, "a")
+            other = rows.select(F.col("key").alias("key2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("u").alias("v"), F.col("x").alias("y"), F.col("root").alias("root2"))
+            kinds = (F.col("key") % 2 != 0) | (F.greatest("na", "nb") > limit)
+            met = rows.join(other, (F.col("key") == F.col("key2")) & (F.col("root") < F.col("root2")) & kinds & near)
         more = store(met.select("a", "u", "b", "v").distinct(), "pairs")
         if not more.isEmpty():
             links = store(links.union(_verified(more, known, rule)), "links")
