@@ -18,6 +18,12 @@ def _contract(edges: DataFrame) -> DataFrame:
     return small.union(roots.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_settled(edges: DataFrame) -> bool:
+    """Whether every node points to one node alone, which points nowhere."""
+    roots = edges.select(F.col("v").alias("u")).distinct()
+    return edges.join(roots, "u", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links(u, v)`` to (node, root): root is the smallest node that the node reaches.
 
@@ -25,13 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     is a written table, and rounds follow the logarithm of the longest path.
     """
     edges = store(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
-        # the sums identify an edge table for the purpose of seeing that nothing moved
-        now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(now) == mark or not now[0]:
-            break
-        mark = tuple(now)
+    while not _is_settled(edges):
         edges = store(_contract(edges), "edges")
     own = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return own.union(own.select(F.col("root").alias("node"), "root").distinct())
