@@ -60,7 +60,7 @@ def log_ratios(docs: DataFrame, target: DataFrame, buckets: int = 1 << 14, alpha
     executors. An empty target gives zeros, so every score is zero.
     """
     trusted = target.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("_trusted", F.lit(1))
-    marked = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left")  # the target grows with the corpus: never broadcast
     counted = (
         marked.select(F.coalesce("_trusted", F.lit(0)).cast("bigint").alias("t"), F.explode(buckets_of(F.col("text"), buckets)).alias("bucket"))
         .groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("trusted"))
