@@ -6,9 +6,10 @@ sidebars, notices, adverts, forms, scripts, styles, comments) never counts, and
 where a page has an article or main element, that element's other blocks are the
 text. Blocks of the remaining pages are told apart by the host: their token
 streams are concatenated and sorted as suffixes, and runs of tokens that recur on
-a distinct page of the host are boilerplate; the unique runs are kept. Hosts are
-dealt in shares of bounded size, so a large host is no single task; within a
-share every page takes part.
+a distinct page of the host are boilerplate; the unique runs are kept. A host
+with too many pages for one task gets the same result by a join: hashes of its
+windows of the shortest run that stand on two of its pages are found over all
+its pages, and what these windows cover goes.
 """
 
 from __future__ import annotations
@@ -226,7 +227,7 @@ def repeated_tokens(streams: list[np.ndarray], pages: list[int], least: int) ->
 
 
 def _unique_runs(group: pd.DataFrame, least: int) -> pd.DataFrame:
-    """The blocks of a share of a host without the token runs that other pages have too."""
+    """The blocks of a host without the token runs that other pages have too."""
     rows = group.sort_values(["row", "block"], kind="stable")
     words = [t.split(" ") for t in rows["text"]]
     codes, _ = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
@@ -237,13 +238,47 @@ def _unique_runs(group: pd.DataFrame, least: int) -> pd.DataFrame:
     return pd.DataFrame({"row": rows["row"].to_numpy(), "block": rows["block"].to_numpy(), "text": texts})
 
 
+def _kept_of_large(pages: DataFrame, least: int) -> DataFrame:
+    """``pages(host, row, rest)`` to (row, block, text) as from ``_unique_runs``, with no task that needs a whole host.
+
+    A run of ``least`` tokens or more recurs just where each of its windows of
+    ``least`` tokens does. Windows are known by 128 bits within their host.
+    """
+    words = pages.select("host", "row", F.posexplode("rest").alias("block", "text")).select("host", "row", "block", F.split("text", " ").alias("w")).where(F.size("w") >= least)
+    windows = words.select("host", "row", "block", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - least + 1), lambda i: F.array_join(F.slice("w", i, F.lit(least)), " "))).alias("at", "window"))
+    hashed = windows.select("host", "row", (F.shiftleft(F.col("block").cast("bigint"), 32) + F.col("at")).alias("place"), F.xxhash64("window").alias("h"), F.xxhash64(F.lit(1), "window").alias("g"))
+    seeds = hashed.groupBy("host", "h", "g").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("host", "h", "g")
+    places = hashed.join(seeds.hint("merge"), ["host", "h", "g"], "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))  # a merge join: Spark splits a window that stands on every page
+    schema = pa.schema([("row", pa.int64()), ("block", pa.int32()), ("text", pa.string())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, str]] = []
+            for row, rest, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                starts: dict[int, list[int]] = {}
+                for place in found or ():
+                    starts.setdefault(place >> 32, []).append(place & 0xFFFFFFFF)
+                for block, text in enumerate(rest):
+                    if block in starts:
+                        ws = text.split(" ")
+                        gone = bytearray(len(ws))
+                        for at in starts[block]:
+                            gone[at : at + least] = b"\x01" * least
+                        text = " ".join(w for w, g in zip(ws, gone, strict=True) if not g)
+                    out.append((row, block, text))
+            yield batch_of(schema, *([x[i] for x in out] for i in range(3)))
+
+    return pages.select("row", "rest").join(places, "row", "left").mapInArrow(cut, "row bigint, block int, text string")
+
+
 def main_text(pages: DataFrame, least_tokens: int = 6, share_pages: int = 2000) -> DataFrame:
     """``pages(page_id, url, html)`` to (page_id, url, text, n_chars), one row a row.
 
     Null and empty pages have an empty text. Rows with equal or null page_ids
     are separate pages. Other columns are ignored. ``least_tokens`` is the shortest
-    run that counts as a host's boilerplate, ``share_pages`` about the number of
-    pages without a main region that one task compares.
+    run that counts as a host's boilerplate. A host with more than ``share_pages``
+    pages without a main region is compared by a join and no suffix array, with the
+    same result.
     """
     own = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("rest", pa.list_(pa.string()))])
@@ -264,13 +299,11 @@ def main_text(pages: DataFrame, least_tokens: int = 6, share_pages: int = 2000)
 
     parsed = store(own.mapInArrow(parse, "page_id bigint, url string, text string, rest array<string>"), "pages", compression="zstd").withColumn("row", F.monotonically_increasing_id())
     open_pages = parsed.where("rest is not null").withColumn("host", host_of(F.col("url")))
-    counts = open_pages.groupBy("host").agg(F.count("*").alias("n"))
-    shared = (
-        open_pages.join(counts, "host")
-        .withColumn("share", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / share_pages)))
-        .select("host", "share", "row", F.posexplode("rest").alias("block", "text"))
-    )
-    kept = shared.groupBy("host", "share").applyInPandas(lambda g: _unique_runs(g, least_tokens), "row bigint, block int, text string")
+    large = open_pages.groupBy("host").count().where(F.col("count") > share_pages).select("host", F.lit(True).alias("large"))
+    dealt = open_pages.join(large, "host", "left").select("host", "row", "rest", "large")
+    small = dealt.where("large is null").select("host", "row", F.posexplode("rest").alias("block", "text"))
+    kept = small.groupBy("host").applyInPandas(lambda g: _unique_runs(g, least_tokens), "row bigint, block int, text string")
+    kept = kept.union(_kept_of_large(dealt.where("large"), least_tokens))
     runs = kept.where("text <> ''").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("b")).select("row", F.array_join(F.transform("b", lambda x: x["text"]), " ").alias("found"))
     texts = parsed.where("rest is null").select("page_id", "url", "text")  # these need no join
     found = parsed.where("rest is not null").join(runs, "row", "left").select("page_id", "url", F.coalesce("found", F.lit("")).alias("text"))

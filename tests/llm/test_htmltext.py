@@ -61,3 +61,33 @@ def test_host_boilerplate(spark, share):
     got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), share_pages=share).collect()}
     assert all(got[i] == f"story {i} about thing{i} and place{i}" for i in range(40))
     assert got[99] == f"{menu} alone"
+
+
+@pytest.mark.parametrize("share", [2000, 15])
+def test_rare_boilerplate(spark, share):
+    """Runs that stand on two or three of a host's pages, wherever the pages are dealt."""
+    rows = []
+    for i in range(60):
+        own = " ".join(f"w{i}x{k}" for k in range(7))
+        pair, three = (" ".join(f"{kind}{i % n}y{k}" for k in range(8)) for kind, n in (("pair", 30), ("three", 20)))
+        short = " ".join(f"short{i % 30}z{k}" for k in range(5))
+        rows.append((i, "http://one.io/", f"<div>{own} {own}</div><p>{pair} tail{i}</p><p>{short}</p><p>a{i} {three}</p>"))
+    rows.append((60, "http://two.io/", rows[0][2]))
+    texts = {i: [b for _, b in htmltext.blocks(page)[1]] for i, _, page in rows}
+    where = {}
+    for i, found in texts.items():
+        for b in found:
+            ws = b.split(" ")
+            for k in range(len(ws) - 5):
+                where.setdefault((i == 60, *ws[k : k + 6]), set()).add(i)
+    want = {}
+    for i, found in texts.items():
+        left = []
+        for b in found:
+            ws = b.split(" ")
+            gone = {k + j for k in range(len(ws) - 5) if len(where[(i == 60, *ws[k : k + 6])]) > 1 for j in range(6)}
+            left += [w for k, w in enumerate(ws) if k not in gone]
+        want[i] = " ".join(left)
+    assert want[3].endswith(" tail3 " + " ".join(f"short3z{k}" for k in range(5)) + " a3") and len(want[60].split(" ")) == 37
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5), share_pages=share).collect()}
+    assert got == want
