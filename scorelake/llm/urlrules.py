@@ -3,7 +3,7 @@
 Labelled URLs become sets of tokens (host suffixes, path parts, query names).
 Spark's FP-growth finds the token combinations that go with the label; rules
 under the confidence or support are dropped, and so are rules that a smaller
-one implies. An inverted index keyed by each rule's rarest token finds the rules that
+one implies; a rule may have any number of tokens. An inverted index keyed by each rule's rarest token finds the rules that
 a URL can satisfy; a URL is blocked if it has all tokens of one of them.
 Everything on the main path is DataFrame functions and JVM code.
 """
@@ -11,11 +11,14 @@ Everything on the main path is DataFrame functions and JVM code.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._io import store
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The item of a marked URL; tokens never hold this character.
 _MARK = "\x00marked"
@@ -90,12 +93,12 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(scheme), suffixes, words, parts, names), lambda x: ~F.contains(x, F.lit("\x00")))))
 
 
-def mine(labelled: DataFrame, least_support: float = 0.02, least_confidence: float = 0.6, most_tokens: int = 3, least_rows: int = 30) -> DataFrame:
+def mine(labelled: DataFrame, least_support: float = 0.02, least_confidence: float = 0.6, least_rows: int = 30) -> DataFrame:
     """Rules (tokens array, confidence, support) from ``labelled(url, marked boolean)``.
 
     ``least_support`` is the share of labelled URLs that hold the tokens and the
     mark; it stands for ``least_rows`` of them at least, so that a few rows make no
-    rule by chance. Null urls or marks are left out; without rows there are no rules.
+    rule by chance. Rules have as many tokens as they need. Null urls or marks are left out; without rows there are no rules.
     """
     rows = labelled.where(F.col("url").isNotNull() & F.col("marked").isNotNull())
     n = rows.count()
@@ -103,13 +106,26 @@ def mine(labelled: DataFrame, least_support: float = 0.02, least_confidence: flo
         return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
     items = rows.select(F.concat(tokens_of(F.col("url")), F.when(F.col("marked"), F.array(F.lit(_MARK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=max(least_support, least_rows / n), minConfidence=least_confidence).fit(items)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == _MARK) & (F.size("antecedent") <= most_tokens))
-    rules = found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    # a rule says nothing new if a rule with part of its tokens exists: the index joins both on a token
-    smaller = rules.select(F.col("tokens").alias("part"), F.explode("tokens").alias("token"))
-    larger = rules.select("tokens", F.explode("tokens").alias("token"))
-    implied = larger.join(smaller, "token").where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0)).select("tokens").distinct()
-    return rules.join(implied, "tokens", "left_anti")
+    found = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == _MARK))
+    return _smallest(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+
+
+def _smallest(rules: DataFrame) -> DataFrame:
+    """``rules`` without those that say nothing new, as a rule with part of their tokens exists.
+
+    From few tokens to many: each size is final, and larger rules that hold one of it
+    go before they are compared with one another.
+    """
+    left, final = store(rules, "rules"), []
+    sizes = sorted(r.n for r in left.select(F.size("tokens").alias("n")).distinct().collect())
+    for n in sizes:
+        final.append(left.where(F.size("tokens") == n))
+        if n < sizes[-1]:
+            larger = left.where(F.size("tokens") > n)
+            index = final[-1].select(F.get("tokens", F.lit(0)).alias("token"), F.col("tokens").alias("part"))
+            implied = larger.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("part", "tokens")) == 0).select("tokens").distinct()
+            left = store(larger.join(implied, "tokens", "left_anti"), "rules")
+    return reduce(DataFrame.unionAll, final) if final else left
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -65,6 +65,27 @@ def test_mined_rules(spark):
     assert verdicts == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_mined_rules_of_four_tokens(spark):
+    """No part of a rule reaches the confidence; sets of every size are enumerated."""
+    rows = [(f"http://{h}.io/{a}/{b}?{q}={i}", (h, a, b, q) == ("spam", "sale", "cheap", "ref")) for i in range(4) for h, a, b, q in itertools.product(("spam", "blog"), ("sale", "info"), ("cheap", "plain"), ("ref", "id"))]
+    rows += [(f"http://old.io/{i}/dead", True) for i in range(5)]
+    labelled = spark.createDataFrame(rows, "url string, marked boolean")
+    every, marked = Counter(), Counter()
+    for r in labelled.select("marked", urlrules.tokens_of(urlrules.F.col("url")).alias("t")).collect():
+        for k in range(1, len(r.t) + 1):
+            for c in itertools.combinations(sorted(r.t), k):
+                every[c] += 1
+                marked[c] += r.marked
+    strong = {c for c in every if marked[c] / len(rows) >= 0.05 and marked[c] / every[c] >= 0.9}
+    want = {c for c in strong if not any(set(o) < set(c) for o in strong)}
+    assert {len(c) for c in want} == {1, 4}
+    found = urlrules.mine(labelled, 0.05, 0.9, least_rows=3).collect()
+    assert {tuple(r.tokens) for r in found} == want and len(found) == len(want)
+    pages = spark.createDataFrame([(1, "http://spam.io/sale/cheap?ref=9"), (2, "http://spam.io/sale/cheap?id=9"), (3, "http://blog.io/sale/cheap?ref=9"), (4, "http://old.io/x")], "page_id bigint, url string")
+    verdicts = {r.page_id: r.verdict for r in urlrules.url_verdicts(pages, labelled, least_support=0.05, least_confidence=0.9, least_rows=3).collect()}
+    assert verdicts == {1: "block", 2: "allow", 3: "allow", 4: "block"}
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{sf}/pages.parquet")
