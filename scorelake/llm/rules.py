@@ -20,7 +20,7 @@ _GAP = r"[\x20\x09-\x0D]+"
 _INK = r"[^\x20\x09-\x0D]"
 _SYMBOLS = r"[#*$%&|<>]"
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
-#: Low bits of a sorted window code hold the window's place (texts up to 2**24 words); the rest its hash.
+#: Low bits of a sorted window code hold the window's place, the rest its hash; texts with more windows sort structs of both.
 _PLACE = (1 << 24) - 1
 
 
@@ -82,10 +82,10 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
     five = lambda i: [F.get(hashes, i + k) for k in range(5)]
     windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - 5), lambda i: F.xxhash64(*five(i)))
 
-    def covered(codes: Column) -> Column:
-        place = lambda j: F.get(codes, j).bitwiseAND(_PLACE).cast("int")
+    def covered(codes: Column, hash_of: Callable[[Column], Column], place_of: Callable[[Column], Column]) -> Column:
+        place = lambda j: place_of(F.get(codes, j))
         same = lambda j: (
-            (F.get(codes, j).bitwiseAND(~_PLACE) == F.get(codes, j - 1).bitwiseAND(~_PLACE))
+            (hash_of(F.get(codes, j)) == hash_of(F.get(codes, j - 1)))
             & (F.slice(words, place(j) + 1, F.lit(5)) == F.slice(words, place(j - 1) + 1, F.lit(5)))
         )
         hits = F.filter(F.sequence(F.lit(1), F.size(codes) - 1), same)
@@ -94,8 +94,11 @@ def _repeat_words(words: Column, hashes: Column) -> Column:
         return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"])
 
     def found(w: Column) -> Column:
-        codes = F.sort_array(F.transform(w, lambda h, i: h.bitwiseAND(~_PLACE).bitwiseOR(i.cast("bigint"))))
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(codes, covered))
+        packed = F.sort_array(F.transform(w, lambda h, i: h.bitwiseAND(~_PLACE).bitwiseOR(i.cast("bigint"))))
+        wide = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        by_code = let(packed, lambda c: covered(c, lambda x: x.bitwiseAND(~_PLACE), lambda x: x.bitwiseAND(_PLACE).cast("int")))
+        by_struct = let(wide, lambda c: covered(c, lambda x: x["h"], lambda x: x["i"]))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).when(F.size(w) <= _PLACE + 1, by_code).otherwise(by_struct)
 
     return F.when(F.size(words) < 6, F.lit(0)).otherwise(let(windows, found))
 

@@ -94,3 +94,10 @@ def test_labelled_documents_are_told_apart(spark):
 def test_plan_is_native(spark, docs):
     plan = rules.quality_rules(docs, spark.createDataFrame([(0, 1)], "doc_id bigint, quality int"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_repeats_beyond_the_places_of_a_code(spark, docs, monkeypatch):
+    """As for texts of more than 2**24 windows, with room for eight in a code."""
+    monkeypatch.setattr(rules, "_PLACE", 7)
+    got = {r.doc_id: r.n_repeat_words for r in rules.with_rules(docs, [0.0] * BUCKETS).collect()}
+    assert got == {i: base(t)[4] for i, t in enumerate(TEXTS)}
