@@ -7,57 +7,74 @@ import os
 import tempfile
 import uuid
 from typing import Any
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[str, Any] = {}
+_written: dict[str, SparkSession] = {}
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder of this process
-    is made and set for the session's later calls.
+    Only where that is unset in local mode (tests) a temporary folder of this
+    process stands in; a cluster without the setting is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root and root != "/tmp/checkpoints":
+    if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        return (root or "/tmp/checkpoints").rstrip("/")
-    key = f"scorelake-{os.getpid()}"
-    return "file://" + os.path.join(tempfile.gettempdir(), key)
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), f"scorelake-{os.getpid()}")
+
+
+def new_place(spark: SparkSession, what: str) -> str:
+    """A path for a new table, which is removed when the driver ends or by ``release``."""
+    path = f"{scratch_root(spark)}/scorelake/{what}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release)
+    _written[path] = spark
+    return path
 
 
 def store(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor never makes the work before it run
-    again, and every reader sees the same rows. The folder is removed when the
-    driver ends, or earlier by ``release``.
+    again, and every reader sees the same rows.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/scorelake/{what}-{uuid.uuid4().hex}"
+    path = new_place(spark, what)
     df.write.options(**options).parquet(path)
-    if not _written:
-        atexit.register(release, spark)
-    _written[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what ``store`` wrote in this process."""
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-    except Exception:  # the session has gone; the cluster's cleaner removes the folder
-        return
-    for path in list(_written):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-        del _written[path]
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def written() -> set[str]:
+    """The paths that stand at present."""
+    return set(_written)
+
+
+def release(*paths: str | DataFrame) -> None:
+    """Delete the given paths or stored tables, or everything that this process wrote.
+
+    Only tables that no later plan reads may be given.
+    """
+    for path in [p if isinstance(p, str) else _places.get(p) for p in paths] if paths else list(_written):
+        spark = _written.pop(path, None) if path else None
+        if spark is None:
+            continue
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except (AttributeError, ConnectionError, Py4JError):  # the session has gone; the cluster's cleaner removes the folder
+            return
 
 
 def partitions(spark: SparkSession) -> int:

@@ -27,6 +27,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
 BYTES_LOWER = BYTES.copy()
 BYTES_LOWER[65:91] = BYTES[97:123]
+#: A second, independent pair of tables.
+OTHER_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
+OTHER_LOWER = OTHER_BYTES.copy()
+OTHER_LOWER[65:91] = OTHER_BYTES[97:123]
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -5,7 +5,7 @@ codepoint is a function from state to state; functions compose associatively,
 so blocks of text are composed side by side, the blocks' functions are scanned
 by doubling, and a last sweep with known states marks the boundaries. No
 regular expression runs over a text. Each distinct piece is merged once and kept
-in a bounded cache keyed by its hash.
+in a bounded cache keyed by two hashes and its length.
 
 The automaton stands for the public pattern of ``public_tokenizers.PATTERN``:
 contractions, letters, numbers and other signs with one optional space before
@@ -19,12 +19,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _scan
+from ._cache import SliceCache
 from ._io import batch_of, row_slices, text_buffers
 
 # Symbols: letter, number, other, apostrophe before a contraction of one or of two letters,
@@ -144,7 +143,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class ByteBpe:
     """Ids by the ranks of a rank file; the cache holds ``capacity`` distinct pieces at most."""
 
-    def __init__(self, path: str, capacity: int = 1_000_000):
+    def __init__(self, path: str, capacity: int = 1 << 19):
         import tiktoken
 
         with open(path, "rb") as file:
@@ -157,15 +156,11 @@ class ByteBpe:
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.token_lengths = np.array([len(t) for t in tokens], np.int64)
         self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
-        self.capacity = capacity
-        self._clear()
+        self.cache = SliceCache(capacity, np.uint32)
 
-    def _clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.index = pd.Index(self.keys)
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
-        self.pool = np.empty(0, np.uint32)
+    def _learn(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        merged = [self._merge(piece) for piece in found]
+        return np.array([i for m in merged for i in m], np.uint32), np.array([len(m) for m in merged], np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and each row's offsets in them."""
@@ -173,29 +168,12 @@ class ByteBpe:
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
-        codes, keys = pd.factorize(_scan.slice_hashes(data, starts, ends))
-        at = self.index.get_indexer(keys)
-        if (at < 0).any():
-            if len(self.keys) + len(keys) > self.capacity:
-                self._clear()
-                at = np.full(len(keys), -1)
-            lacking = np.flatnonzero(at < 0)
-            where = np.empty(len(keys), np.int64)
-            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            spans = where[lacking]
+        found = self.cache.ids(data, starts, ends, self._learn)
+        if found is None:  # two pieces with one hash: merge each by itself
             raw = data.tobytes()
-            merged = [self._merge(raw[a:b]) for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)]
-            more = np.array([len(m) for m in merged], np.int64)
-            at[lacking] = len(self.keys) + np.arange(len(lacking))
-            self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(more) - more))
-            self.lengths = np.concatenate((self.lengths, more))
-            self.pool = np.concatenate((self.pool, np.array([i for m in merged for i in m], np.uint32)))
-            self.keys = np.concatenate((self.keys, keys[lacking]))
-            self.index = pd.Index(self.keys)
-        picked = at[codes]
-        lengths = self.lengths[picked]
-        reach = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.pool[np.repeat(self.starts[picked] - reach[:-1], lengths) + np.arange(reach[-1])]
+            ids, sizes = self._learn([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+            found = ids, np.concatenate(([0], np.cumsum(sizes)))
+        ids, reach = found
         return ids, reach[rows]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import store
+from ._io import release, store
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = store(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not _is_settled(edges):
-        edges = store(_contract(edges), "edges")
+        before, edges = edges, store(_contract(edges), "edges")
+        release(before)
     own = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return own.union(own.select(F.col("root").alias("node"), "root").distinct())

@@ -2,9 +2,8 @@
 
 The public word-level BPE vocabulary drops white space and never merges over it,
 so a text's ids are the ids of its white-space-separated words in order. Words
-are keyed by a 64-bit hash within one bounded cache (two million words at most,
-so a false match has a chance under 1e-6 per cache); the library encodes each
-word that the cache lacks.
+are looked up in one bounded cache by two hashes and their length; the library
+encodes each word that the cache lacks.
 """
 
 from __future__ import annotations
@@ -13,39 +12,32 @@ import os
 from typing import Any
 
 import numpy as np
-import pandas as pd
 
 from . import _scan
+from ._cache import SliceCache
 
 #: Stands between words that are encoded in one call; words that hold it are encoded alone.
 _BETWEEN = b"\x01"
 
 
 class WordEncoder:
-    """Ids of whole texts; the state is bounded by ``capacity`` words."""
+    """Ids of whole texts; between calls the state is bounded by ``capacity`` words."""
 
-    def __init__(self, path: str, capacity: int = 1_000_000):
+    def __init__(self, path: str, capacity: int = 1 << 19):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.capacity = capacity
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         between = self._plain(_BETWEEN.decode())
         self.between = between[0] if len(between) == 1 else None
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.index = pd.Index(self.keys)
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
-        self.pool = np.empty(0, np.int32)
+        self.cache = SliceCache(capacity, np.int32, (_scan.BYTES_LOWER, _scan.OTHER_LOWER))
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes], keys: np.ndarray) -> None:
+    def _learn(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = [w.lower() for w in found]
         parts: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         step = 64
@@ -65,41 +57,24 @@ class WordEncoder:
             own = [self._plain(w.decode()) for w in group]
             lengths.append(np.array([len(x) for x in own], np.int64))
             parts.append(np.array([i for x in own for i in x], np.int32))
-        more = np.concatenate(lengths).astype(np.int64)
-        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(more) - more))
-        self.lengths = np.concatenate((self.lengths, more))
-        self.pool = np.concatenate((self.pool, *parts))
-        self.keys = np.concatenate((self.keys, keys))
-        self.index = pd.Index(self.keys)
+        return np.concatenate(parts), np.concatenate(lengths).astype(np.int64)
+
+    def _whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = [self._plain(raw[offsets[i] : offsets[i + 1]].decode()) for i in range(len(offsets) - 1)]
+        return np.array([i for r in rows for i in r], np.int32), np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and each row's offsets in them."""
         raw = data.tobytes()
         if any(s[:2] in raw for s in self.special):
-            rows = [self._plain(raw[offsets[i] : offsets[i + 1]].decode()) for i in range(len(offsets) - 1)]
-            ids = np.array([i for r in rows for i in r], np.int32)
-            return ids, np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
+            return self._whole(raw, offsets)
         starts, ends, rows = _scan.word_bounds(data, offsets)
         if not len(starts):
             return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
-        codes, keys = pd.factorize(_scan.slice_hashes(data, starts, ends, _scan.BYTES_LOWER))
-        at = self.index.get_indexer(keys)
-        if (at < 0).any():
-            if len(self.keys) + len(keys) > self.capacity:
-                self._clear()
-                at = np.full(len(keys), -1)
-            lacking = np.flatnonzero(at < 0)
-            where = np.empty(len(keys), np.int64)
-            where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            spans = where[lacking]
-            words = [raw[a:b].lower() for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)]
-            base = len(self.keys)
-            self._learn(words, keys[lacking])
-            at[lacking] = base + np.arange(len(lacking))
-        picked = at[codes]
-        lengths = self.lengths[picked]
-        reach = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.pool[np.repeat(self.starts[picked] - reach[:-1], lengths) + np.arange(reach[-1])]
+        found = self.cache.ids(data, starts, ends, self._learn)
+        if found is None:
+            return self._whole(raw, offsets)
+        ids, reach = found
         return ids, reach[rows]
 
 
