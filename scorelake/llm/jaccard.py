@@ -26,9 +26,9 @@ from ._io import batch_of, partitions, row_slices, store, text_buffers
 from .graph import components
 
 _U = np.uint64
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 #: Values of one task that are counted together; a value less often in them is not reported as frequent.
-_COUNTED, _REPORTED = 1 << 22, 2
+_COUNTED, _REPORTED = 1 << 21, 2
 #: The order "rare first" knows this many frequent shingles at most; any order gives the same links.
 _FREQUENT, _FREQUENT_FROM = 1 << 19, 4
 #: Lists up to this long give all pairs at once; longer ones have so many leaders.
@@ -404,6 +404,16 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """Rows of ``docs`` without those linked to a smaller doc_id; rows with a null doc_id stay."""
-    found = jaccard_components(docs, rule).where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """One row of each group of linked rows of ``docs(doc_id, text, ...)``, with all its columns.
+
+    Rows are told apart by a key of their own, so repeated rows and rows with one
+    doc_id but different texts are judged by their texts alone. The row with the
+    smallest doc_id stays, null doc_ids last; of equal ones any single row. Rows
+    without words are linked with nothing and all stay. ``docs`` is written once
+    with its keys; a column named _row is replaced.
+    """
+    keyed = store(docs.drop("_row").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(keyed.select(F.col("_row").alias("doc_id"), "text"), rule).select(F.col("doc_id").alias("_row"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_row").alias("r"))
+    stay = keyed.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(F.min(place).alias("m")).select(F.col("m.r").alias("_row"))
+    return keyed.join(stay, "_row", "left_semi").drop("_row")

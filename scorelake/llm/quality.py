@@ -2,7 +2,7 @@
 
 Documents become a few statistics in one pass over their bytes. The Gaussian
 kernel over them is approximated by cosines of fixed random projections. Every
-partition sums its own normal equations; the sums meet in a few tasks and one
+partition sums its own normal equations; the sums meet by rounds of tasks and one
 fixed-size system is solved on the driver. Ridge scores are calibrated by
 isotonic regression on a fixed number of bins.
 """
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,10 @@ _CLASS[ord("!")] = _BANG
 _CLASS[[ord(c) for c in ".,;:?"]] = _STOP
 _CLASS[128:] = _HIGH
 
+_SLICE = 2 << 20
+#: Partition sums that one task adds up; with more of them they meet in several rounds.
+_FAN_IN = 64
+
 #: Statistics of a document, in order.
 STATISTICS = ("lower", "upper", "digit", "space", "newline", "symbol", "pipe", "bang", "stop", "punct", "high", "control", "log_words", "word_length", "word_spread", "log_longest", "distinct", "adjacent", "line_words")
 
@@ -82,7 +87,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for lo, hi in row_slices(offsets, 4 << 20):
+            for lo, hi in row_slices(offsets, _SLICE):
                 own = offsets[lo : hi + 1]
                 x = statistics(data[own[0] : own[-1]], own - own[0])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
@@ -130,18 +135,22 @@ def isotonic(weights: np.ndarray, means: np.ndarray) -> np.ndarray:
     return np.repeat([p[1] for p in pools], [int(p[2]) for p in pools])
 
 
-def _summed(rows: DataFrame, width: int, parts: int, of: object) -> np.ndarray:
-    """Sum over all rows of ``of(x, y)``, a vector of ``width``: by partition, then in ``parts`` tasks, then here."""
+def _summed(rows: DataFrame, width: int, of: object) -> np.ndarray:
+    """Sum over all rows of ``of(x, y)``, a vector of ``width``: by partition, then ``_FAN_IN`` sums a task, then here.
+
+    Sums are added in tasks until at most ``_FAN_IN`` are left, so the driver never
+    gets one from every partition.
+    """
     schema = pa.schema([("part", pa.int32()), ("total", pa.binary())])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seed = np.zeros(width), 0
+        total, any_row = np.zeros(width), False
         for batch in batches:
             if batch.num_rows:
-                seed += batch.num_rows
+                any_row = True
                 total += of(_matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False))
-        if seed:
-            yield batch_of(schema, [seed % parts], [total.tobytes()])
+        if any_row:
+            yield batch_of(schema, [TaskContext.get().partitionId()], [total.tobytes()])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, any_row = np.zeros(width), False
@@ -150,19 +159,23 @@ def _summed(rows: DataFrame, width: int, parts: int, of: object) -> np.ndarray:
                 total += np.frombuffer(value.as_py())
                 any_row = True
         if any_row:
-            yield batch_of(schema, [0], [total.tobytes()])
+            yield batch_of(schema, [TaskContext.get().partitionId()], [total.tobytes()])
 
-    summed = rows.select("stats", "y").mapInArrow(first, "part int, total binary").repartition(parts).mapInArrow(second, "part int, total binary")
-    return sum((np.frombuffer(r.total) for r in summed.collect()), np.zeros(width))
+    sums = rows.select("stats", "y").mapInArrow(first, "part int, total binary")
+    left = rows.rdd.getNumPartitions()
+    while left > _FAN_IN:
+        left = -(-left // _FAN_IN)
+        sums = sums.repartitionById(left, F.col("part")).mapInArrow(second, "part int, total binary")
+    return sum((np.frombuffer(r.total) for r in sums.orderBy("part").collect()), np.zeros(width))
 
 
-def fit(training: DataFrame, features: int = 256, gamma: float = 0.04, ridge: float = 1e-3, bins: int = 1024, seed: int = 7, parts: int = 4) -> Classifier:
+def fit(training: DataFrame, features: int = 256, gamma: float = 0.04, ridge: float = 1e-3, bins: int = 1024, seed: int = 7) -> Classifier:
     """Fit on all rows of ``training(stats, y)``; y is 0 to 1.
 
     Without rows every score is 1/2. ``ridge`` is a share of the number of rows.
     """
     d = len(STATISTICS)
-    moments = _summed(training, 2 * d + 1, parts, lambda x, y: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0))))
+    moments = _summed(training, 2 * d + 1, lambda x, y: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0))))
     n = moments[0]
     rng = np.random.default_rng(seed)
     weights = rng.normal(0, np.sqrt(2 * gamma), (d, features))
@@ -179,7 +192,7 @@ def fit(training: DataFrame, features: int = 256, gamma: float = 0.04, ridge: fl
         z = model.features(x)
         return np.concatenate(((z.T @ z).ravel(), z.T @ y))
 
-    sums = _summed(training, m * m + m, parts, equations)
+    sums = _summed(training, m * m + m, equations)
     penalty = np.full(m, ridge * n)
     penalty[0] = 0
     beta = np.linalg.solve(sums[: m * m].reshape(m, m) + np.diag(penalty + 1e-9 * n), sums[m * m :])
@@ -190,7 +203,7 @@ def fit(training: DataFrame, features: int = 256, gamma: float = 0.04, ridge: fl
         at = np.minimum(((raw + 1) / 3 * bins).astype(np.int64), bins - 1)
         return np.concatenate((np.bincount(at, minlength=bins), np.bincount(at, y, bins), np.bincount(at, raw, bins)))
 
-    count, hits, total = _summed(training, 3 * bins, parts, binned).reshape(3, bins)
+    count, hits, total = _summed(training, 3 * bins, binned).reshape(3, bins)
     used = np.flatnonzero(count > 0.5)
     values = isotonic(count[used], hits[used] / count[used])
     return Classifier(mean, model.scale, weights, phases, beta, total[used] / count[used], values)
@@ -214,19 +227,51 @@ def score(stats: DataFrame, model: Classifier) -> DataFrame:
     return rows.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _marks(labels: DataFrame) -> DataFrame:
+    """(doc_id, y): the mean quality of each labelled doc_id outside the held-out third."""
+    return (
+        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y"))
+        .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("doc_id")) != 1))
+        .groupBy("doc_id").agg(F.avg("y").alias("y"))
+    )
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
     """Score every row of ``docs(doc_id, text)`` as ``labels(doc_id, quality)`` marks quality.
 
     Only labels outside the held-out third are learnt; a doc_id labelled more
-    than once counts once, by its mean; null labels are left out. Scores never
+    than once counts once, by its mean; null labels are left out; a doc_id that
+    several rows have is learnt from each of them. Scores never
     see labels, ids or other columns. Null and empty texts are scored from
     zero statistics; null and repeated doc_ids are kept.
     """
     stats = store(with_statistics(docs), "statistics")
-    marks = (
-        labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-        .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("doc_id")) != 1))
-        .groupBy("doc_id").agg(F.avg("y").alias("y"))
-    )
-    training = store(stats.join(marks, "doc_id").select("stats", "y"), "training")
+    training = store(stats.join(_marks(labels), "doc_id").select("stats", "y"), "training")
     return score(stats, fit(training, **settings))
+
+
+def with_scores(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
+    """``docs(doc_id, text, ...)``, each row with its own score; fitted as in ``quality_scores``.
+
+    A row's verdict follows from its text alone, so it needs no join back: rows
+    with a null or a repeated doc_id have their own scores. A column named score
+    is replaced.
+    """
+    stats = with_statistics(docs)
+    training = store(stats.join(_marks(labels), "doc_id").select("stats", "y"), "training")
+    model = fit(training, **settings)
+    others = [c for c in docs.columns if c not in ("score", "text")]
+    own = docs.select(*(F.col(f"`{c}`") for c in others), F.col("text").cast("string").alias("text"))
+    names = [*others, "text", "score"]
+    schema = ", ".join([f"`{c}` {t}" for c, t in own.dtypes] + ["score double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(len(others)))
+            for lo, hi in row_slices(offsets, _SLICE):
+                own_offsets = offsets[lo : hi + 1]
+                x = statistics(data[own_offsets[0] : own_offsets[-1]], own_offsets - own_offsets[0])
+                rows = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.round(model.score(x), 9))], names=names)
+
+    return own.mapInArrow(run, schema).select(*(F.col(f"`{c}`") for c in docs.columns if c != "score"), "score")

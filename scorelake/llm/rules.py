@@ -20,8 +20,6 @@ _GAP = r"[\x20\x09-\x0D]+"
 _INK = r"[^\x20\x09-\x0D]"
 _SYMBOLS = r"[#*$%&|<>]"
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
-#: Low bits of a sorted window code hold the window's place, the rest its hash; texts with more windows sort structs of both.
-_PLACE = (1 << 24) - 1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,6 +41,10 @@ def _pairs(hashes: Column, f: Callable[[Column], Column]) -> Column:
     return F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: f(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _window_hash(hashes: list[Column]) -> Column:
+    return F.xxhash64(*hashes)
+
+
 def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -77,28 +79,28 @@ def log_ratios(docs: DataFrame, target: DataFrame, buckets: int = 1 << 14, alpha
 def _repeat_words(words: Column, hashes: Column) -> Column:
     """Words covered by windows of five words that occur twice or more in the text.
 
-    Windows are sorted by hash; equal neighbours are compared word by word.
+    Windows are sorted by hash; those with an equal neighbour are sorted again by
+    their words, and neighbours that are equal then are repeats. So neither a text's
+    length nor windows with one hash change the count.
     """
     five = lambda i: [F.get(hashes, i + k) for k in range(5)]
-    windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - 5), lambda i: F.xxhash64(*five(i)))
+    windows = F.transform(F.sequence(F.lit(0), F.size(hashes) - 5), lambda i: _window_hash(five(i)))
 
-    def covered(codes: Column, hash_of: Callable[[Column], Column], place_of: Callable[[Column], Column]) -> Column:
-        place = lambda j: place_of(F.get(codes, j))
-        same = lambda j: (
-            (hash_of(F.get(codes, j)) == hash_of(F.get(codes, j - 1)))
-            & (F.slice(words, place(j) + 1, F.lit(5)) == F.slice(words, place(j - 1) + 1, F.lit(5)))
-        )
-        hits = F.filter(F.sequence(F.lit(1), F.size(codes) - 1), same)
-        starts = let(hits, lambda js: F.array_sort(F.array_distinct(F.concat(F.transform(js, place), F.transform(js, lambda j: place(j - 1))))))
+    def neighbours(rows: Column, field: str) -> Column:
+        """Rows of a sorted array that have their field in common with the row before or after."""
+        at = lambda j: F.get(rows, j)[field]
+        return F.filter(rows, lambda x, j: (F.when(j > 0, at(j - 1) == x[field]).otherwise(False)) | (F.when(j < F.size(rows) - 1, at(j + 1) == x[field]).otherwise(False)))
+
+    def covered(alike: Column) -> Column:
+        spelt = F.sort_array(F.transform(alike, lambda x: F.struct(F.slice(words, x["i"] + 1, F.lit(5)).alias("w"), x["i"].alias("i"))))
+        starts = let(spelt, lambda rows: F.array_sort(F.transform(neighbours(rows, "w"), lambda x: x["i"])))
         step = lambda acc, s: F.struct((acc["n"] + s + 5 - F.greatest(s, acc["end"])).alias("n"), (s + 5).alias("end"))
         return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"])
 
     def found(w: Column) -> Column:
-        packed = F.sort_array(F.transform(w, lambda h, i: h.bitwiseAND(~_PLACE).bitwiseOR(i.cast("bigint"))))
-        wide = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        by_code = let(packed, lambda c: covered(c, lambda x: x.bitwiseAND(~_PLACE), lambda x: x.bitwiseAND(_PLACE).cast("int")))
-        by_struct = let(wide, lambda c: covered(c, lambda x: x["h"], lambda x: x["i"]))
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).when(F.size(w) <= _PLACE + 1, by_code).otherwise(by_struct)
+        ordered = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        alike = let(ordered, lambda rows: neighbours(rows, "h"))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(alike, covered))
 
     return F.when(F.size(words) < 6, F.lit(0)).otherwise(let(windows, found))
 
@@ -146,12 +148,18 @@ def with_rules(docs: DataFrame, ratios: list[float], threshold: float = -0.1, le
     zero counts and fail. Columns of ``docs`` with these names are replaced;
     rows are never dropped or merged.
     """
-    others = [c for c in docs.columns if c not in (*_FIELDS, "_rules")]
-    judged = docs.withColumn("_rules", _judged(F.col("text"), ratios, threshold, least_words, most_repeated))
-    return judged.select(*others, *(F.col(f"_rules.{c}").alias(c) for c in _FIELDS))
+    others = [c for c in docs.columns if c not in _FIELDS]
+    name = "rules_" + "_".join(docs.columns)  # no column of docs has this name
+    judged = docs.withColumn(name, _judged(F.col("text"), ratios, threshold, least_words, most_repeated))
+    return judged.select(*(F.col(f"`{c}`") for c in others), *(F.col(f"`{name}`")[c].alias(c) for c in _FIELDS))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, **settings: float) -> DataFrame:
-    """Fit the ratios with the rows of ``labels(doc_id, quality)`` marked 1 as the target, and judge every row."""
+    """Fit the ratios with the rows of ``labels(doc_id, quality)`` marked 1 as the target, and judge every row.
+
+    A doc_id that is marked 1 at least once is in the target, once, with every row
+    that has it; null ids and null labels are not. Without a target all
+    ratios and scores are 0, so the base rules alone decide.
+    """
     ratios = log_ratios(docs, labels.where(F.col("quality") == 1))
     return with_rules(docs, ratios, **settings)

@@ -9,8 +9,9 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from scorelake.llm import rules
+from scorelake.llm import queries, rules
 
 INK = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1 << 6
@@ -96,8 +97,24 @@ def test_plan_is_native(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_repeats_beyond_the_places_of_a_code(spark, docs, monkeypatch):
-    """As for texts of more than 2**24 windows, with room for eight in a code."""
-    monkeypatch.setattr(rules, "_PLACE", 7)
+def test_windows_with_one_hash(spark, docs, monkeypatch):
+    """Four hashes for all windows: equal windows stand apart in the order of hashes, and different ones side by side."""
+    monkeypatch.setattr(rules, "_window_hash", lambda hashes: F.xxhash64(*hashes).bitwiseAND(3))
     got = {r.doc_id: r.n_repeat_words for r in rules.with_rules(docs, [0.0] * BUCKETS).collect()}
     assert got == {i: base(t)[4] for i, t in enumerate(TEXTS)}
+
+
+def test_base_columns_of_a_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    rows = queries.op6_quality_rules(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(texts[r.doc_id])
+
+
+def test_repeated_and_null_labels(spark, docs):
+    marks = [(0, 1), (0, 0), (0, 1), (None, 1), (10, None)]
+    a = rules.quality_rules(docs, spark.createDataFrame(marks, "doc_id bigint, quality int"))
+    b = rules.quality_rules(docs, spark.createDataFrame([(0, 1)], "doc_id bigint, quality int"))
+    assert {r.doc_id: r.score for r in a.collect()} == {r.doc_id: r.score for r in b.collect()}
