@@ -61,12 +61,17 @@ def written() -> set[str]:
     return set(_written)
 
 
+def place_of(df: DataFrame) -> str | None:
+    """The path of a table that ``store`` returned."""
+    return _places.get(df)
+
+
 def release(*paths: str | DataFrame) -> None:
     """Delete the given paths or stored tables, or everything that this process wrote.
 
     Only tables that no later plan reads may be given.
     """
-    for path in [p if isinstance(p, str) else _places.get(p) for p in paths] if paths else list(_written):
+    for path in [p if isinstance(p, str) else place_of(p) for p in paths] if paths else list(_written):
         spark = _written.pop(path, None) if path else None
         if spark is None:
             continue
