@@ -13,6 +13,7 @@ test, and only members of different components of one list meet afterwards.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _scan
-from ._io import batch_of, partitions, row_slices, store, text_buffers
+from ._io import batch_of, partitions, release, row_slices, store, text_buffers
 from .graph import components
 
 _U = np.uint64
@@ -33,10 +34,12 @@ _COUNTED, _REPORTED = 1 << 21, 2
 _FREQUENT, _FREQUENT_FROM = 1 << 19, 4
 #: Lists up to this long give all pairs at once; longer ones have so many leaders.
 _SHORT, _LEADERS = 6, 2
-#: Bits of the filter that says which sets a verification needs, as a power of two, and where a set id's bits for it start.
-_BLOOM, _BLOOM_SHIFTS = 22, (0, 21, 42)
-#: From so many sets on, one shingle's list is dealt to several tasks.
-_SPLIT = 20_000
+#: Least and most bits of the filter that says which sets a verification needs, as powers of two, and where a set id's bits for it start.
+_BLOOM, _BLOOM_MOST, _BLOOM_SHIFTS = 22, 27, (0, 18, 36)
+#: From so many sets on, one shingle's list is dealt to several tasks, to so many where only the key is known.
+_SPLIT, _SALTS = 2048, 64
+#: Rows of one list that meet in one task afterwards.
+_LIST_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -287,12 +290,12 @@ def _near(x: Column, y: Column, na: Column, nb: Column, rule: Rule) -> Column:
     return F.when(_sized(na, nb, rule), distance * (rule.den + rule.num) <= (na + nb) * (rule.den - rule.num)).otherwise(False)
 
 
-def _bloom(wanted: DataFrame) -> np.ndarray:
-    """A filter of fixed size over the column sid; the driver gets its words, 2**_BLOOM bits in all."""
-    places = F.explode(F.array(*(F.shiftright("sid", k).bitwiseAND((1 << _BLOOM) - 1) for k in _BLOOM_SHIFTS))).alias("p")
+def _bloom(wanted: DataFrame, bits: int) -> np.ndarray:
+    """A filter of 2**``bits`` bits over the column sid, as the words that the driver gets."""
+    places = F.explode(F.array(*(F.shiftright("sid", k).bitwiseAND((1 << bits) - 1) for k in _BLOOM_SHIFTS))).alias("p")
     one = F.expr("shiftleft(1L, cast(p & 63 as int))")
     rows = wanted.select(places).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("m")).toPandas()
-    out = np.zeros(1 << (_BLOOM - 6), np.int64)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[rows["w"].to_numpy(np.int64)] = rows["m"].to_numpy(np.int64)
     return out
 
@@ -306,7 +309,7 @@ def _set_table(docs: DataFrame, filled: np.ndarray, rule: Rule) -> DataFrame:
             ids = np.array([set_id(s) for s in sets], np.int64)
             keep = np.ones(len(ids), bool)
             for k in _BLOOM_SHIFTS:
-                p = (ids >> k) & ((1 << _BLOOM) - 1)
+                p = (ids >> k) & ((len(filled) << 6) - 1)
                 keep &= (filled[p >> 6] >> (p & 63)) & 1 == 1
             at = np.flatnonzero(keep)
             if len(at):
@@ -334,12 +337,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 at = pa.array(keep)
                 yield batch_of(schema, batch.column(0).take(at), batch.column(1).take(at))
 
-    sets = _set_table(docs, _bloom(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()), rule)
+    bits = min(_BLOOM_MOST, max(_BLOOM, (16 * pairs.count()).bit_length()))
+    sets = _set_table(docs, _bloom(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), bits), rule)
     first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("doc_id").alias("u"), F.col("members").alias("x")), ["a", "u"])
     second = first.join(sets.select(F.col("sid").alias("b"), F.col("doc_id").alias("v"), F.col("members").alias("y")), ["b", "v"])
     return second.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+def _last_meeting(rows: DataFrame, rule: Rule, limit: int) -> DataFrame:
+    """Pairs (a, u, b, v) of sets in one list whose components differ and whose sizes and bits leave room.
+
+    A list meets in blocks of ``_LIST_ROWS`` by as many rows, and within them by
+    classes of size: similar sets are at most one class apart. So no task has a
+    whole list, and pairs of very different sizes never meet.
+    """
+    size_class = F.floor(F.log(F.col("na").cast("double")) / math.log(rule.den / rule.num)).cast("int")
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)
+    classed = rows.withColumn("c", size_class)
+    first = classed.withColumn("slot2", F.explode(every)).withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
+    second = classed.select("key", F.col("slot").alias("slot2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("u").alias("v"), F.col("x").alias("y"), F.col("root").alias("root2"), "c", F.explode(every).alias("slot"))
+    kinds = (F.col("key") % 2 != 0) | (F.greatest("na", "nb") > limit)
+    met = first.join(second, ["key", "slot", "slot2", "c"]).where((F.col("root") < F.col("root2")) & kinds)
+    return met.where(_near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)).select("a", "u", "b", "v")
+
+
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) -> DataFrame:
     """``docs(doc_id, text)`` to (doc_id, n_shingles, component_id, set_id), one row a row.
 
@@ -367,36 +388,38 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
 
     lists = store(_scan_lists(_postings(known, rule, limit, frequent), rule, limit), "lists")
     # shingles of one passage make lists of the same sets; one list of each kind says it all
-    every = lists.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid"))
+    dealt = lambda sid: F.when(F.col("key").bitwiseAND(2) != 0, sid).otherwise(F.lit(0))
+    every = lists.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("sid")).withColumn("salt", dealt(F.pmod(F.xxhash64("sid"), F.lit(_SALTS))))
     alike = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("h")).groupBy("n", "h", F.col("key") % 2).agg(F.min("key").alias("key"))
-    long = store(every.join(alike.select("key"), "key", "left_semi"), "long")
+    salted = alike.select("key", F.expr(f"n div {_LIST_ROWS} + 1").alias("slots"), F.explode(F.sequence(F.lit(0).cast("bigint"), dealt(F.lit(_SALTS - 1)).cast("bigint"))).alias("salt"))
+    long = store(every.join(salted, ["key", "salt"]).select("key", "sid", "slots", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("slots")).alias("slot")), "long")
     left = reps.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rep").alias("u"), F.col("bits").alias("x"))
     right = reps.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("v"), F.col("bits").alias("y"))
     first = lists.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b")
     pairs = store(first.where(_near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)).select("a", "u", "b", "v"), "pairs")
     links = store(_verified(pairs, known, rule), "links")
+    release(lists, pairs)
     roots = components(links)
     for turn in range(star_rounds + 1):
         labelled = (
             long.join(reps.select("sid", "rep"), "sid")
             .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-            .select("key", F.col("sid").alias("a"), F.coalesce("root", "rep").alias("root"))
+            .select("key", "slots", "slot", F.col("sid").alias("a"), F.coalesce("root", "rep").alias("root"))
         )
         # each list has a leader of its own, so lists with the same sets try different ones
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("a", "key", F.lit(turn)).alias("r"), "a", "root")).alias("lead")).where("lo <> hi")
-        rows = labelled.join(mixed.select("key", "lead"), "key")
+        mixed = labelled.groupBy("key", "slots").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("a", "key", F.lit(turn)).alias("r"), "a", "root")).alias("lead")).where("lo <> hi")
+        rows = labelled.join(mixed.select("key", "lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("slot")), ["key", "slot"])
         near = _near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)
         if turn < star_rounds:
             met = rows.where(F.col("root") != F.col("lead.root")).select("a", F.col("lead.a").alias("b")).distinct().join(left, "a").join(right, "b").where(near)
         else:
-            rows = rows.select("key", "a", "root").join(left, "a")
-            other = rows.select(F.col("key").alias("key2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("u").alias("v"), F.col("x").alias("y"), F.col("root").alias("root2"))
-            kinds = (F.col("key") % 2 != 0) | (F.greatest("na", "nb") > limit)
-            met = rows.join(other, (F.col("key") == F.col("key2")) & (F.col("root") < F.col("root2")) & kinds & near)
+            met = _last_meeting(rows.select("key", "slots", "slot", "a", "root").join(left, "a"), rule, limit)
         more = store(met.select("a", "u", "b", "v").distinct(), "pairs")
         if not more.isEmpty():
-            links = store(links.union(_verified(more, known, rule)), "links")
+            before, links = links, store(links.union(_verified(more, known, rule)), "links")
+            release(before)
             roots = components(links)
+        release(more)
     found = reps.select("sid", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("root", "rep").alias("root"))
     return members.join(found, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"), F.col("sid").alias("set_id")

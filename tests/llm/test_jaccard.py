@@ -63,13 +63,14 @@ def near_copies(seed, n):
     return out + ["", None, "  ", "one", "one", "two words", "Two  words", "a b c d", "a b c d e"]
 
 
-@pytest.mark.parametrize(("seed", "split"), [(1, None), (2, 40), (3, None)])
-def test_against_all_pairs(spark, monkeypatch, seed, split):
+@pytest.mark.parametrize(("seed", "split", "rounds"), [(1, None, 2), (2, 40, 2), (3, 20, 0)])
+def test_against_all_pairs(spark, monkeypatch, seed, split, rounds):
     if split:  # deal even small lists to several tasks, and know all frequent shingles
         monkeypatch.setattr(jaccard, "_SPLIT", split)
+        monkeypatch.setattr(jaccard, "_LIST_ROWS", 7)
     rows = [(7 + 3 * i, t) for i, t in enumerate(near_copies(seed, 500))]
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id bigint, text string, n string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, star_rounds=rounds).collect()}
     assert got == brute(rows)
 
 
@@ -82,6 +83,17 @@ def test_whole_table(spark):
     assert kept == {root for _, root in want.values()}
 
 
+def test_last_meeting(spark, monkeypatch):
+    """All similar pairs of different components in a list that is dealt to several blocks, and no others."""
+    monkeypatch.setattr(jaccard, "_near", lambda x, y, na, nb, rule: jaccard._sized(na, nb, rule))
+    rng = np.random.default_rng(5)
+    rows = [(int(k), 3, int(rng.integers(3)), 1000 * k + i, int(rng.integers(4)), int(n), i, [0]) for k in (4, 5) for i, n in enumerate(rng.integers(2, 60, 40))]
+    df = spark.createDataFrame(rows, "key bigint, slots bigint, slot bigint, a bigint, root bigint, na int, u bigint, x array<bigint>")
+    got = [(r.a, r.b) for r in jaccard._last_meeting(df, jaccard.Rule(), 30).collect()]
+    want = {(p[3], q[3]) for p in rows for q in rows if p[0] == q[0] and p[4] < q[4] and 4 * min(p[5], q[5]) >= 3 * max(p[5], q[5]) and (p[0] % 2 or max(p[5], q[5]) > 30)}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_odd_rows(spark):
     text = " ".join(f"v{i}" for i in range(30))
     df = spark.createDataFrame([(None, text), (5, text), (5, "other"), (3, text), (None, None)], "doc_id bigint, text string")
