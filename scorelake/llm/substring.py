@@ -1,17 +1,22 @@
-"""Substring deduplication: winnowed anchors as seeds, extended to whole windows.
+"""Substring deduplication: winnowed anchors as seeds, extended left and right to maximal repeats.
 
-A repeat of ``length`` words holds, at every place where it occurs, the same
-winnowed anchor: the smallest hash among its ``length - anchor + 1`` runs of
-``anchor`` words, the rightmost of equals. So only texts joined by an anchor
-that occurs twice are looked at again. There every window around such an anchor
-is the anchor extended left and right to the full length; windows that occur
-twice as well are kept, and their union is the maximal repeats over the length.
+Seed: a repeat of ``length`` words holds, at every place where it occurs, the same
+winnowed anchor, which is the smallest hash among its ``length - anchor + 1`` runs
+of ``anchor`` words, the rightmost of equals. Texts are joined on anchors, and
+only those with an anchor that occurs twice are looked at again.
+
+Extend: an anchor grows to the left and to the right in every way that reaches the
+full length, and these windows are joined in turn. Growing pair by pair would
+be all pairs of a group of copies; joined by value, each place sends its
+windows once, whatever the number of its partners. Windows that follow one
+another chain to the maximal repeats over the length: the ``spans``.
 
 Both joins look for values that occur more than once. Each task first settles
 the values that it holds twice itself and sends one row for each distinct value
 on, so a passage in a third of all rows sends as many rows as there are
-tasks. Texts are known by a 64-bit hash, so copies of a text count as one
-text with a multiplicity; window and anchor hashes have 64 bits.
+tasks. A window is known by two hashes of 64 bits. Texts are known by one, so copies
+of a text count as one text with a multiplicity, and those of a frequent text
+are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -24,16 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _scan
-from ._io import batch_of, partitions, row_slices, text_buffers
+from ._io import batch_of, partitions, row_slices, store, text_buffers
 
 _HITS = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 _HITS_SQL = "part int, payload binary"
 _PLACES = pa.schema([("text_key", pa.int64()), ("places", pa.binary())])
 #: Bytes of an anchor's hash that seeds are joined on; a false seed costs a look, and no result.
 _SEED_BYTES, _SEED_MASK = 5, np.uint64((1 << 40) - 1)
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _PLACES_A_ROW = 8
-_HELD = 1 << 20
+_HELD = 1 << 19
+#: Copies of one text that meet in one task, and the most texts that are dealt to several.
+_SLOT_ROWS, _SLOTTED = 1024, 50_000
+#: Sets the second hash of a window apart from the first.
+_OTHER = np.uint64(0x9FB21C651E98DF25)
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,18 +89,19 @@ def _from_planes(data: memoryview, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _pack(value: np.ndarray, key: np.ndarray, pos: np.ndarray, kind: np.ndarray, width: int) -> bytes:
-    """Places sorted by key and position as bytes; values only where they are still to be joined."""
+def _pack(value: np.ndarray, check: np.ndarray | None, key: np.ndarray, pos: np.ndarray, kind: np.ndarray, width: int) -> bytes:
+    """Places sorted by key and position as bytes; values and checks only where they are still to be joined."""
     new = np.append(True, key[1:] != key[:-1])
     heads = np.flatnonzero(new)
     steps = np.diff(pos, prepend=0)
     steps[heads] = pos[heads]
     counts = np.diff(np.append(heads, len(key)))
     sizes = np.array([len(key), len(heads), int((kind != 1).sum())], "<u8").tobytes()
-    return b"".join((sizes, key[heads].astype("<u8").tobytes(), _planes(counts, 4), _planes(steps, 4), kind.astype(np.uint8).tobytes(), _planes(value[kind != 1], width)))
+    more = b"" if check is None else _planes(check[kind != 1], 8)
+    return b"".join((sizes, key[heads].astype("<u8").tobytes(), _planes(counts, 4), _planes(steps, 4), kind.astype(np.uint8).tobytes(), _planes(value[kind != 1], width), more))
 
 
-def _unpack(payload: bytes, width: int) -> tuple[np.ndarray, ...]:
+def _unpack(payload: bytes, width: int, checked: bool) -> tuple[np.ndarray, ...]:
     data = memoryview(payload)
     n, k, m = (int(x) for x in np.frombuffer(data, "<u8", 3))
     at = 24
@@ -102,23 +112,32 @@ def _unpack(payload: bytes, width: int) -> tuple[np.ndarray, ...]:
     steps = _from_planes(data[at:], n, 4).astype(np.int64)
     at += 4 * n
     kind = np.frombuffer(data, np.uint8, n, at)
-    value = np.zeros(n, np.uint64)
+    value, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     value[kind != 1] = _from_planes(data[at + n :], m, width)
+    if checked:
+        check[kind != 1] = _from_planes(data[at + n + m * width :], m, 8)
     sums = np.cumsum(steps)
     heads = np.cumsum(counts) - counts
     pos = sums - np.repeat(sums[heads] - steps[heads], counts)
-    return value, np.repeat(keys, counts), pos.astype(np.int32), kind
+    return value, check, np.repeat(keys, counts), pos.astype(np.int32), kind
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before it in any column."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
 
-def _settle(value: np.ndarray, key: np.ndarray, pos: np.ndarray, parts: int, width: int) -> pa.RecordBatch:
+def _settle(value: np.ndarray, check: np.ndarray | None, key: np.ndarray, pos: np.ndarray, parts: int, width: int) -> pa.RecordBatch:
     """Packed places for the join: one for each distinct value, and those known to be repeated by themselves."""
-    order = np.lexsort((pos, key, value))
-    value, key, pos = value[order], key[order], pos[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
-    value, key, pos = value[new], key[new], pos[new]
-    head = np.ones(len(value), bool)
-    head[1:] = value[1:] != value[:-1]
+    own = (value,) if check is None else (value, check)
+    order = np.lexsort((pos, key, *own[::-1]))
+    own, key, pos = tuple(c[order] for c in own), key[order], pos[order]
+    new = _changes(*own, key, pos)
+    own, key, pos = tuple(c[new] for c in own), key[new], pos[new]
+    value = own[0]
+    head = _changes(*own)
     counts = np.diff(np.append(np.flatnonzero(head), len(value)))
     many = np.repeat(counts > 1, counts)
     speaks = head & many
@@ -131,27 +150,26 @@ def _settle(value: np.ndarray, key: np.ndarray, pos: np.ndarray, parts: int, wid
     heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     spans = list(zip(heads.tolist(), np.append(heads[1:], len(part)).tolist(), strict=True))
     value, key, pos = value[pick], key[pick], pos[pick]
-    return batch_of(_HITS, part[heads], [_pack(value[a:b], key[a:b], pos[a:b], kind[a:b], width) for a, b in spans])
+    check = None if check is None else own[1][pick]
+    return batch_of(_HITS, part[heads], [_pack(value[a:b], None if check is None else check[a:b], key[a:b], pos[a:b], kind[a:b], width) for a, b in spans])
 
 
-def _repeated(hits: DataFrame, parts: int, width: int) -> DataFrame:
+def _repeated(hits: DataFrame, parts: int, width: int, checked: bool) -> DataFrame:
     """Places (text_key, places: int32 positions) whose value occurs at two places or more."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unpack(x.as_py(), width) for batch in batches for x in batch.column(1)]
+        held = [_unpack(x.as_py(), width, checked) for batch in batches for x in batch.column(1)]
         if not held:
             return
-        value, key, pos, known = (np.concatenate(c) for c in zip(*held, strict=True))
+        value, check, key, pos, known = (np.concatenate(c) for c in zip(*held, strict=True))
         del held
         done = known == 1
         out_key, out_pos = [key[done]], [pos[done]]
-        value, key, pos, known = value[~done], key[~done], pos[~done], known[~done]
-        order = np.lexsort((known, pos, key, value))
-        value, key, pos, known = value[order], key[order], pos[order], known[order]
-        new = np.ones(len(value), bool)  # copies of a text in several tasks
-        new[1:] = (value[1:] != value[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
-        head = np.ones(len(value), bool)
-        head[1:] = value[1:] != value[:-1]
+        value, check, key, pos, known = (c[~done] for c in (value, check, key, pos, known))
+        order = np.lexsort((known, pos, key, check, value))
+        value, check, key, pos, known = (c[order] for c in (value, check, key, pos, known))
+        new = _changes(value, check, key, pos)  # copies of a text in several tasks
+        head = _changes(value, check)
         group = np.cumsum(head) - 1
         many = (np.bincount(group, new) > 1) | (np.bincount(group, known == 2) > 0) if len(group) else np.zeros(0, bool)
         keep = many[group] & new & (known == 0)
@@ -194,32 +212,34 @@ def _drop_seen(batch: pa.RecordBatch, seen: set[int]) -> pa.Array:
 
 
 class _Held:
-    """Values that wait to be settled together."""
+    """Values, with checks or None, that wait to be settled together."""
 
     def __init__(self, parts: int, width: int) -> None:
-        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting: list[tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]] = []
         self.n = 0
         self.to = parts, width
 
-    def add(self, value: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch | None:
-        self.waiting.append((value, key, pos))
+    def add(self, value: np.ndarray, check: np.ndarray | None, key: np.ndarray, pos: np.ndarray) -> pa.RecordBatch | None:
+        self.waiting.append((value, check, key, pos))
         self.n += len(value)
         return self.flush() if self.n >= _HELD else None
 
     def flush(self) -> pa.RecordBatch | None:
         if not self.n:
             return None
-        out = _settle(*(np.concatenate(x) for x in zip(*self.waiting, strict=True)), *self.to)
+        out = _settle(*(None if x[0] is None else np.concatenate(x) for x in zip(*self.waiting, strict=True)), *self.to)
         self.waiting, self.n = [], 0
         return out
 
 
-def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16) -> DataFrame:
+def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16, slots: DataFrame | None = None) -> DataFrame:
     """For ``texts(text_key, ..., text)``: (text_key, places), starts of windows of ``length`` words that also start elsewhere.
 
     Windows of the same text at another place count; copies of a text (equal
     keys) count once here. Other columns travel along, so that a later join of
-    ``texts`` by text_key is the same exchange and moves the texts only once.
+    ``texts`` by text_key is the same exchange and moves the texts only once. With
+    ``slots(text_key, slots)``, small enough to broadcast, ``texts`` has a column
+    text_slot that deals the rows of these texts.
     """
     if not 0 < anchor < length:
         raise ValueError("anchor must be shorter than length")
@@ -235,7 +255,7 @@ def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16) -> Da
                     continue
                 pos = w.selected[np.append(True, w.selected[1:] != w.selected[:-1])]
                 keys = own.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                out = held.add(w.grams[pos] & _SEED_MASK, keys[w.row[pos]], pos - w.first[pos])
+                out = held.add(w.grams[pos] & _SEED_MASK, None, keys[w.row[pos]], pos - w.first[pos])
                 if out is not None:
                     yield out
         out = held.flush()
@@ -258,18 +278,28 @@ def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16) -> Da
                 if not len(at):
                     continue
                 keys = own.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                out = held.add(_scan.window_hashes(w.hashes, length)[at], keys[w.row[at]], at - w.first[at])
+                values, checks = (_scan.window_hashes(x, length)[at] for x in (w.hashes, _scan.mix(w.hashes + _OTHER)))
+                out = held.add(values, checks, keys[w.row[at]], at - w.first[at])
                 if out is not None:
                     yield out
         out = held.flush()
         if out is not None:
             yield out
 
-    anchors = _repeated(texts.select("text_key", "text").mapInArrow(seed, _HITS_SQL), parts, _SEED_BYTES)
+    anchors = _repeated(texts.select("text_key", "text").mapInArrow(seed, _HITS_SQL), parts, _SEED_BYTES, False)
     seeds = anchors.groupBy("text_key").agg(F.collect_list("places").alias("places"))
+    on = ["text_key"]
+    if slots is not None:
+        seeds, on = _in_slots(seeds, slots), ["text_key", "text_slot"]
     rest = [c for c in texts.columns if c not in ("text_key", "text")]
-    joined = texts.join(seeds, "text_key").select("text_key", "places", *rest, "text")
-    return _repeated(joined.mapInArrow(extend, _HITS_SQL), parts, 8)
+    joined = texts.join(seeds, on).select("text_key", "places", *(F.col(f"`{c}`") for c in rest), "text")
+    return _repeated(joined.mapInArrow(extend, _HITS_SQL), parts, 8, True)
+
+
+def _in_slots(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """``rows(text_key, ...)`` once for each slot of its text."""
+    found = rows.join(F.broadcast(slots), "text_key", "left")
+    return found.withColumn("text_slot", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("slots"), F.lit(1)) - 1))).drop("slots")
 
 
 def remove_repeats(docs: DataFrame, length: int = 35, anchor: int = 16) -> DataFrame:
@@ -280,18 +310,25 @@ def remove_repeats(docs: DataFrame, length: int = 35, anchor: int = 16) -> DataF
     judged on the input. Kept words are joined by one space. Null texts have no
     words; texts shorter than a window lose nothing; null and repeated doc_ids
     are kept as rows of their own, and all other columns pass through.
-    Columns named text_key, n_words, n_removed, kept_text or spans are replaced.
+    Columns named text_key, text_slot, n_words, n_removed, kept_text or spans are
+    replaced. Rows of a text that stands very often are dealt to slots by the
+    partition that they come from.
     """
-    own = docs.drop("text_key", "n_words", "n_removed", "kept_text", "spans", "_places", "_copies")
+    own = docs.drop("text_key", "text_slot", "n_words", "n_removed", "kept_text", "spans")
     keyed = own.withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
-    copies = keyed.where(F.col("text").isNotNull()).groupBy("text_key").agg(F.count("*").alias("n")).where("n > 1").select("text_key", F.lit(None).cast("binary").alias("places"), F.lit(True).alias("copied"))
-    windows = repeated_windows(keyed, length, anchor).withColumn("copied", F.lit(False))
-    found = windows.unionByName(copies).groupBy("text_key").agg(F.collect_list("places").alias("_places"), F.max("copied").alias("_copies"))
-    joined = keyed.join(found, "text_key", "left")
+    counts = store(keyed.groupBy("text_key").agg(F.count("*").alias("n"), F.max(F.col("text").isNotNull()).alias("some")).where("n > 1"), "copies")
+    most = max(_SLOT_ROWS, int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // _SLOTTED)
+    slots = counts.where(F.col("n") > most).select("text_key", F.expr(f"cast(n div {most} + 1 as int)").alias("slots"))  # _SLOTTED rows at most
+    dealt = keyed.join(F.broadcast(slots), "text_key", "left").withColumn("text_slot", F.coalesce(F.pmod(F.spark_partition_id(), F.col("slots")), F.lit(0))).drop("slots")
+    copies = counts.where("some").select("text_key", F.lit(None).cast("binary").alias("places"), F.lit(True).alias("copied"))
+    windows = repeated_windows(dealt, length, anchor, slots).withColumn("copied", F.lit(False))
+    places, copied = ("_".join((*own.columns, x)) for x in ("places", "copied"))  # no column of docs has these names
+    found = windows.unionByName(copies).groupBy("text_key").agg(F.collect_list("places").alias(places), F.max("copied").alias(copied))
+    joined = dealt.join(_in_slots(found, slots), ["text_key", "text_slot"], "left")
     rest = list(own.columns)
-    others = [c for c in rest if c != "text"]
-    shape = joined.select("_places", "_copies", *others, "text")
-    fields = [f"`{c}` {t}" for c, t in joined.select(*rest).dtypes]
+    named = lambda *cs: [F.col(f"`{c}`") for c in cs]
+    shape = joined.select(*named(places, copied, *(c for c in rest if c != "text")), "text")
+    fields = [f"`{c}` {t}" for c, t in joined.select(*named(*rest)).dtypes]
     schema = ", ".join([*fields, "n_words bigint", "n_removed bigint", "kept_text string", "spans array<struct<first:int,end:int>>"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,6 +364,6 @@ def remove_repeats(docs: DataFrame, length: int = 35, anchor: int = 16) -> DataF
 
 
 def substring_digests(docs: DataFrame, length: int = 35, anchor: int = 16) -> DataFrame:
-    """doc_id, n_words, n_removed and the sha256 of the kept text."""
+    """doc_id, n_words, n_removed and the sha256 of the kept text, one row a row; null and empty texts keep nothing."""
     out = remove_repeats(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), length, anchor)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

@@ -38,7 +38,9 @@ def test_sliding_argmin(values, width):
 
 
 @pytest.mark.parametrize(("length", "anchor", "seed"), [(6, 3, 1), (5, 2, 2), (9, 4, 3)])
-def test_small_alphabets(spark, length, anchor, seed):
+def test_small_alphabets(spark, monkeypatch, length, anchor, seed):
+    if seed > 1:  # deal even a few copies of a text
+        monkeypatch.setattr(substring, "_SLOT_ROWS", 2)
     rng = np.random.default_rng(seed)
     passage = " ".join(rng.choice(list("pqrs"), 14))
     texts = [" ".join(rng.choice(list("abcdefgh"), int(rng.integers(0, 60)))) + rng.choice(["", " " + passage, "\n" + passage + " z"]) for _ in range(60)]
@@ -58,6 +60,23 @@ def test_whole_table(spark):
         assert got[r.doc_id].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_windows_with_one_hash(spark, monkeypatch):
+    """Where the first hash of all windows is one, the second tells them apart."""
+    plain = substring._scan.window_hashes
+    monkeypatch.setattr(substring._scan, "window_hashes", lambda words, k: plain(words, k) & np.uint64(0) if k == 6 and not first.append(0) and len(first) % 2 else plain(words, k))
+    first = []
+    texts = [f"a{i} b c d e f g h{i}" for i in range(4)] + ["b c d e f g", "q r s t u v w"]
+    data = [t.encode() for t in texts]
+    raw, offsets = np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data])))
+    w = substring._Words(raw, offsets, 6, 3)
+    values, checks = (substring._scan.window_hashes(x, 6)[w.windows] for x in (w.hashes, substring._scan.mix(w.hashes + substring._OTHER)))
+    assert not values.any() and len(set(checks.tolist())) == len({t for x in texts for t in zip(*[x.split()[k:] for k in range(6)], strict=False)})
+    hits = substring._settle(values, checks, w.row[w.windows].astype(np.uint64), w.windows - w.first[w.windows], 1, 8)
+    found = [substring._unpack(x.as_py(), 8, True) for x in hits.column(1)]
+    known = {(int(k), int(p)) for _, _, keys, pos, kind in found for k, p, n in zip(keys, pos, kind, strict=True) if n == 1}
+    assert known == {(i, 1) for i in range(4)} | {(4, 0)}
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(None, long, "a"), (7, long, "b"), (7, None, None), (8, "short", "c")], "doc_id bigint, text string, source string")
