@@ -1,7 +1,7 @@
 """Text normalisation, exactly in Python and as JVM columns.
 
 The order is fixed: Unicode form, strip, case folding, punctuation to spaces,
-white space. Columns equal the Python form for text that is in its Unicode form
+white space. Columns equal the Python form for text that is in NFC
 already and whose only letter with a longer folding is the German sharp s; they
 never leave the JVM. The exact form runs as an Arrow function.
 """
@@ -57,7 +57,9 @@ class TextNormalizer:
         return self(value).split()
 
     def column(self, text: Column) -> Column:
-        """The JVM form."""
+        """The JVM form, for text that is in NFC already; ValueError for another Unicode form."""
+        if self.unicode_form != "NFC":
+            raise ValueError("columns can't bring text into another Unicode form; use the exact form")
         out = F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
         if self.lowercase:
             out = F.replace(F.lower(out), F.lit("ß"), F.lit("ss"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 from decimal import Decimal
 
 import pytest
@@ -55,19 +56,27 @@ def test_hand_values():
 
 @pytest.mark.parametrize(("a", "b", "options", "want"), [
     ("42", "42.001", {"absolute_tolerance": "0.01"}, 1), (100, 100.5, {"relative_tolerance": 0.01}, 1), (100, 102, {"relative_tolerance": 0.01}, 0),
-    ("25%", 0.25, {}, 1), ("1,000", 1000, {}, 1), ("+12,345.67", "12345.67", {}, 1), ("-1,000e2", "-100000", {}, 1), ("١٢", 12, {}, 1), (".5", "0.5", {}, 1),
+    ("75 %", 0.75, {"allow_percent": True}, 1), ("9,876,543.21", "9876543.21", {"allow_commas": True}, 1), ("+10,500e-1", 1050, {"allow_commas": True}, 1), ("-7,250,000%", "-72500", {"allow_commas": True, "allow_percent": True}, 1),
+    ("١٢", 12, {}, 1), (".5", "0.5", {}, 1), ("8.", 8, {}, 1), ("1e-19", "2e-19", {}, 0), ("1e-19", "2e-19", {"absolute_tolerance": "1e-19"}, 1),
 ])
 def test_numbers(a, b, options, want):
     assert value(build_metric({"kind": "numeric_equivalence", **options}), a, b) == want
 
 
-@pytest.mark.parametrize("text", ["1,2,3", ",1", "1,,2", "1234,567", "1,23.00", "NaN", "", "1 2", True, None, {}, float("inf"), "50 %%"])
+@pytest.mark.parametrize("text", ["12,34", "1000,000", ",500", "7,", "7,,000", "3,000,00", "0.1,000", "NaN", "Infinity", "", ".", "-", "e5", "1 2", True, None, {}, [1], float("inf"), "50 %%", "1e99999999999999999999"])
 def test_no_numbers(text):
-    got = m.NumericEquivalence().evaluate(text, "n/a")
+    got = m.NumericEquivalence(allow_percent=True, allow_commas=True).evaluate(text, "n/a")
     assert got.score is None and got.reason == "unparseable reference and prediction"
     assert m.NumericEquivalence().evaluate("1", "x").reason == "unparseable prediction"
 
 
+def test_percent_and_commas_are_opt_in():
+    for text in ("50%", "2,500"):
+        assert m.NumericEquivalence().evaluate(text, "1").reason == "unparseable reference"
+    details = m.NumericEquivalence(Decimal("0.01"), Decimal(0)).evaluate("42", "42.001").details
+    assert details == {"reference": "42", "prediction": "42.001", "difference": "0.001", "allowed_difference": "0.01"}
+
+
 @pytest.mark.parametrize("config", [
     "nope", {"kind": 3}, {"kind": "rouge_l", "beta": 0}, {"kind": "rouge_l", "beta": float("nan")}, {"kind": "sentence_bleu", "max_order": 9}, {"kind": "sentence_bleu", "smooth": -1},
     {"kind": "exact_match", "x": 1}, {"kind": "exact_match", "normalizer": {"y": 1}}, {"kind": "numeric_equivalence", "absolute_tolerance": -1}, {"kind": "numeric_equivalence", "absolute_tolerance": "abc"},
@@ -96,24 +105,45 @@ def test_columns_equal_python(spark):
                 want = metric.evaluate(a, b)
                 assert got[i].score == pytest.approx(want.score, abs=1e-12), (metric, native, a, b)
                 details = json.loads(got[i].details)
-                for k in ("overlap", "lcs", "precision", "recall", "distance", "scale"):
+                for k in ("overlap", "lcs", "precision", "recall", "distance", "scale", "reference_tokens", "prediction_tokens", "orders", "matches_by_order", "totals_by_order", "precisions", "brevity_penalty"):
                     assert (k in details) == (k in want.details) or k in ("overlap", "lcs")
                     if k in details and k in want.details:
                         assert details[k] == pytest.approx(want.details[k])
 
 
-NUMBERS = ["1", "1.0", "25%", "0.25", "1,000", "1000.001", "n/a", "true", "-3", "+3", ".5", "5e-1", "12,34", "", " 7 ", "1e3"]
+NUMBERS = ["1", "1.0", "25%", "0.25", "1,000", "1000.001", "n/a", "true", "-3", "+3", ".5", "5e-1", "12,34", "", " 7 ", "1e3", "\t5\n", "5 %", "٣", "0.10000005", "0.1", "1.", "+.5", ".", "-", "1,234.5", "123456789012", "1e-19", "é1", "1e999999999999999999999"]
 
 
-def test_numeric_columns_equal_python(spark):
-    metric = m.NumericEquivalence(Decimal("0.001"), Decimal("0.0001"))
-    pairs = [(a, b) for a in NUMBERS for b in NUMBERS[::3]] + [(1, "1"), (2.5, 2.5), (True, "1"), (None, 0)]
+@pytest.mark.parametrize("metric", [
+    m.NumericEquivalence(Decimal("0.001"), Decimal("0.0001"), True, True), m.NumericEquivalence(), m.NumericEquivalence(Decimal(0), Decimal("0.000001"), True), m.NumericEquivalence(Decimal("1e-19"), allow_commas=True),
+])
+def test_numeric_columns_equal_python(spark, metric):
+    pairs = [(a, b) for a in NUMBERS for b in NUMBERS] + [(1, "1"), (2.5, 2.5), (True, "1"), (None, 0), (1e300, "1e300"), (10**30, str(10**30)), (0.1, "0.1"), ([1], {"a": 1})]
     cases = from_records(spark, [{"id": str(i), "reference": a, "prediction": b} for i, (a, b) in enumerate(pairs)])
     for native in (True, False):
         got = {int(r.case_id): r.raw for r in score(cases, metric, native).collect()}
         for i, (a, b) in enumerate(pairs):
             want = metric.evaluate(a, b)
             assert (got[i].score, got[i].reason) == (want.score, want.reason), (native, a, b)
+            assert {k: Decimal(v) for k, v in json.loads(got[i].details).items()} == {k: Decimal(v) for k, v in want.details.items()}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.decimals(-10**6, 10**6, places=4), st.decimals(-1, 1, places=7)), min_size=1, max_size=20), st.integers(0, 9), st.integers(0, 9))
+def test_native_tolerance_is_exact(spark, pairs, a, r):
+    metric = m.NumericEquivalence(Decimal(a).scaleb(-4), Decimal(r).scaleb(-6))
+    rows = [(f"{x:f}", f"{x + d:f}") for x, d in pairs]
+    cases = from_records(spark, [{"id": str(i), "reference": x, "prediction": y} for i, (x, y) in enumerate(rows)])
+    got = {int(q.case_id): q.raw.score for q in score(cases, metric, True).collect()}
+    assert got == {i: metric.evaluate(x, y).score for i, (x, y) in enumerate(rows)}
+
+
+def test_long_texts_are_quick(spark):
+    a, b = (" ".join(f"w{(i * k) % 997}" for i in range(4000)) for k in (3, 7))
+    cases = from_records(spark, [{"id": "x", "reference": a, "prediction": b}])
+    began = time.perf_counter()
+    got = score(cases, m.RougeL(), True).select("raw.score").first()[0]
+    assert got == m.RougeL().evaluate(a, b).score and time.perf_counter() - began < 20
 
 
 @settings(max_examples=100, deadline=None)
@@ -129,6 +159,11 @@ def test_lcs_and_edit_distance(a, b):
     assert m.edit_distance("".join(a), "".join(b)) == edit[-1][-1]
 
 
+def test_other_unicode_forms_have_no_column():
+    with pytest.raises(ValueError):
+        TextNormalizer(unicode_form="NFKC").column(F.lit("x"))
+
+
 def test_native_normalizer(spark):
     texts = [" A  b c\x1c", "don't — stop_1", "ÉTÉ straße", "áb", ""]
     for n in (TextNormalizer(), TextNormalizer(lowercase=True), TextNormalizer(lowercase=True, strip_punctuation=True), TextNormalizer(collapse_whitespace=False)):
