@@ -12,7 +12,7 @@ from ..functions.metrics import Metric
 from ..model import BootstrapConfig, UndefinedPolicy, finite
 from ..sources.cases import require_unique_ids
 from .stats import bootstrap_replicates, interval, sign_flip_p_value, vector
-from .suite import evaluate, exact_mean
+from .suite import evaluate, exact_sums
 
 
 def id_differences(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -36,10 +36,9 @@ def require_aligned(baseline: DataFrame, candidate: DataFrame) -> None:
     """ValueError with the first way in which two case sets do not align."""
     require_unique_ids(baseline, "baseline")
     require_unique_ids(candidate, "candidate")
-    missing = id_differences(baseline, candidate).orderBy(F.desc("missing_from"), "case_id").limit(100).collect()
+    missing = id_differences(baseline, candidate).groupBy("missing_from").agg(F.array_sort(F.collect_list("case_id")).alias("ids")).orderBy(F.desc("missing_from")).collect()
     if missing:
-        parts = [f"missing from {side}: {', '.join(r.case_id for r in missing if r.missing_from == side)}" for side in ("candidate", "baseline") if any(r.missing_from == side for r in missing)]
-        raise ValueError("; ".join(parts))
+        raise ValueError("; ".join(f"missing from {r.missing_from}: {', '.join(r.ids)}" for r in missing))
     first = case_differences(baseline, candidate).agg(F.min_by(F.struct("case_id", "differs"), "ordinal")).first()[0]
     if first:
         raise ValueError(f"{first.differs} of case {first.case_id!r} differs")
@@ -109,16 +108,17 @@ def compare_results(
     if one is not None:
         raise ValueError(f"case {one!r} is skipped on one side only")
     kept = rows.where("not omitted")
-    compared, omitted = kept.count(), rows.where("omitted").count()
+    compared, omitted = rows.agg(F.count_if(~F.col("omitted")), F.count_if("omitted")).first()
     xs = vector(kept, "delta", "ordinal").cache()
     replicates = bootstrap_replicates(xs, config).cache()
     lower, upper = interval(replicates, config)
     sign = 1.0 if direction == "higher" else -1.0
     better = replicates.select((F.col("value") * sign).alias("v"))
     mass = better.agg(F.avg(F.when(F.col("v") > 0, 1.0).when(F.col("v") == 0, 0.5).otherwise(0.0))).first()[0]
-    point = exact_mean(kept, "delta")
+    means = exact_sums(kept, ["delta", "left", "right"]).first()
+    point = means.mean_delta
     out = Comparison(
-        metric, direction, exact_mean(kept, "left"), exact_mean(kept, "right"), point, lower, upper, config.confidence, config.samples,
+        metric, direction, means.mean_left, means.mean_right, point, lower, upper, config.confidence, config.samples,
         mass, sign_flip_p_value(xs, point, config), compared, omitted, minimum_delta, minimum_lower_bound,
     )
     for frame in (replicates, xs, rows):
@@ -130,4 +130,7 @@ def compare_cases(baseline: DataFrame, candidate: DataFrame, metric: Metric, pol
     """Align two case sets, evaluate both with one metric, and compare."""
     require_aligned(baseline, candidate)
     left, right = (evaluate(x, metric, policy, native=native) for x in (baseline, candidate))
-    return compare_results(left, right, metric=metric.name, **options)
+    try:
+        return compare_results(left, right, metric=metric.name, **options)
+    finally:
+        left.unpersist(), right.unpersist()

@@ -19,11 +19,14 @@ ARRAY_ROWS = 5_000_000
 
 
 def vector(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """One row ``xs``: the non-null values in order. ValueError without values or beyond ``ARRAY_ROWS``."""
+    """One row ``xs``: the non-null values in order. ValueError without values, beyond ``ARRAY_ROWS``, or with one that is not finite."""
     own = rows.where(F.col(value).isNotNull())
-    n = own.count()
+    x = F.col(value).cast("double")
+    n, odd = own.agg(F.count("*"), F.count_if(F.isnan(x) | (F.abs(x) == float("inf")))).first()
     if not n:
         raise ValueError("there are no resolved scores")
+    if odd:
+        raise ValueError("resampling takes finite scores only")
     if n > ARRAY_ROWS:
         raise ValueError(f"resampling takes {ARRAY_ROWS} values at most; aggregate or split the cases first")
     return own.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x")))).alias("v")).select(F.transform("v", lambda s: s["x"]).alias("xs"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import builtins
 import json
 from collections.abc import Iterator
 from fractions import Fraction
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +56,8 @@ def native_value(metric: Metric, reference: Column, prediction: Column) -> Colum
 def score(cases: DataFrame, metric: Metric, native: bool = False) -> DataFrame:
     """``cases`` with ``raw``, the metric's value before any policy; lazy."""
     value = (native_value if native else exact_value)(metric, F.col("reference"), F.col("prediction"))
-    return cases.withColumn("raw", value)
+    # one element, exploded: a value whose fields are read several times is still computed once
+    return cases.drop("raw").select("*", F.explode(F.array(value)).alias("raw"))
 
 
 def resolve(scored: DataFrame, policy: UndefinedPolicy) -> DataFrame:
@@ -65,8 +68,12 @@ def resolve(scored: DataFrame, policy: UndefinedPolicy) -> DataFrame:
 
 
 def _raise(message: str) -> None:
+    """The metric's own exception again, if it is a built-in kind that takes a message; else a RuntimeError that names it."""
     kind, _, text = message.partition(": ")
-    raise {"TypeError": TypeError, "ValueError": ValueError}.get(kind, RuntimeError)(text)
+    found = getattr(builtins, kind, None)
+    if isinstance(found, type) and issubclass(found, Exception) and not issubclass(found, UnicodeError):
+        raise found(text)
+    raise RuntimeError(message)
 
 
 def evaluate(cases: DataFrame, metric: Metric, policy: UndefinedPolicy = UndefinedPolicy.ERROR, *, native: bool = False, check: bool = True) -> DataFrame:
@@ -74,7 +81,8 @@ def evaluate(cases: DataFrame, metric: Metric, policy: UndefinedPolicy = Undefin
 
     With ``check``, repeated ids are refused, then the first case in order with
     a metric error or (under ``error``) an undefined score raises; without it
-    the result is lazy and those rows have nulls.
+    the result is lazy and those rows have nulls. A checked result is cached, so that
+    no case is scored twice; ``unpersist`` it after use.
     """
     policy = UndefinedPolicy(policy)
     if check:
@@ -91,33 +99,69 @@ def evaluate(cases: DataFrame, metric: Metric, policy: UndefinedPolicy = Undefin
     return out
 
 
-def exact_mean(df: DataFrame, column: str) -> float | None:
-    """The correctly rounded sum of a column over its count; None without values.
+def _partial(values: np.ndarray) -> int:
+    """The exact sum of finite doubles, in units of 2**-1074."""
+    mantissa, exponent = np.frexp(values)
+    whole = (mantissa * 2.0**53).astype(np.int64)
+    kinds, group = np.unique(exponent, return_inverse=True)
+    high, low = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
+    np.add.at(high, group, whole >> 26)
+    np.add.at(low, group, whole & (1 << 26) - 1)
+    shift = lambda n, k: n << k if k >= 0 else n >> -k  # exact: a double has no bit below 2**-1074
+    return sum(shift((int(h) << 26) + int(v), int(e) - 53 + 1074) for h, v, e in zip(high, low, kinds, strict=True))
+
+
+def exact_sums(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Per key (all rows without keys): n_<column>, the non-null values, and mean_<column>, their correctly rounded sum over n.
 
-    Partitions sum exactly as fractions, so the result does not depend on them.
+    Partitions add in whole numbers, so the results depend neither on partitions nor
+    on order; each sends one row a key. A sum with a non-finite value is null.
     """
+    keys = keys or []
+    shape = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), *(f"`n{i}` bigint, `s{i}` string" for i in range(len(columns)))])
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = Fraction(0), 0
+        totals: dict[Any, list[Any]] = {}
         for frame in frames:
-            values = frame[column].dropna()
-            total += sum(map(Fraction, values.tolist()), Fraction(0))
-            n += len(values)
-        yield pd.DataFrame({"a": [str(total.numerator)], "b": [str(total.denominator)], "n": [n]})
+            for key, rows in frame.groupby(keys, dropna=False, sort=False) if keys else [((), frame)]:
+                own = totals.setdefault(key, [0, 0] * len(columns))
+                for i in range(len(columns)):
+                    values = rows[f"c{i}"].dropna().to_numpy(float)
+                    own[2 * i] += len(values)
+                    if own[2 * i + 1] is not None:
+                        own[2 * i + 1] = own[2 * i + 1] + _partial(values) if np.isfinite(values).all() else None
+        if totals:
+            yield pd.DataFrame([[*k, *(x if j % 2 == 0 or x is None else str(x) for j, x in enumerate(v))] for k, v in totals.items()], columns=[*keys, *(f"{x}{i}" for i in range(len(columns)) for x in "ns")])
+
+    @F.pandas_udf("double")
+    def mean(sums: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for parts, n in zip(sums, counts, strict=True):
+            known = n and all(p is not None for p in parts)
+            out.append(float(Fraction(sum(map(int, parts)), 1 << 1074)) / n if known else None)
+        return pd.Series(out, dtype=object)
+
+    partial = df.select(*(F.col(f"`{k}`") for k in keys), *(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns))).mapInPandas(part, shape)
+    listed = lambda i: F.collect_list(F.coalesce(F.col(f"s{i}"), F.lit("x"))).alias(f"l{i}")
+    found = partial.groupBy(*keys).agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(columns))), *(listed(i) for i in range(len(columns))))
+    sums = lambda i: F.transform(f"l{i}", lambda x: F.when(x != "x", x))
+    return found.select(*(F.col(f"`{k}`") for k in keys), *(x for i, c in enumerate(columns) for x in (F.coalesce(f"n{i}", F.lit(0)).alias(f"n_{c}"), mean(sums(i), F.coalesce(f"n{i}", F.lit(0))).alias(f"mean_{c}"))))
 
-    parts = df.select(column).mapInPandas(part, "a string, b string, n bigint").collect()
-    n = sum(p.n for p in parts)
-    total = sum((Fraction(int(p.a), int(p.b)) for p in parts), Fraction(0))
-    return float(total) / n if n else None
+
+def exact_mean(df: DataFrame, column: str) -> float | None:
+    """The correctly rounded sum of a column over its count; None without values."""
+    return exact_sums(df, [column]).first()[1]
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """One row: case_count, scored_count, skipped_count, mean_score."""
-    return results.agg(F.count("*").alias("case_count"), F.count("resolved_score").alias("scored_count"), F.count_if("skipped").alias("skipped_count"), F.avg("resolved_score").alias("mean_score"))
+    """One row: case_count, scored_count, skipped_count, mean_score (the exact mean)."""
+    one = F.lit(1).alias("k")
+    counts = results.agg(F.count("*").alias("case_count"), F.count("resolved_score").alias("scored_count"), F.count_if("skipped").alias("skipped_count")).select("*", one)
+    return counts.join(exact_sums(results, ["resolved_score"]).select(F.col("mean_resolved_score").alias("mean_score"), one), "k").drop("k")
 
 
 def summarize_by_tag(results: DataFrame, cases: DataFrame | None = None) -> DataFrame:
-    """Per tag: case_count (skipped ones included), scored_count, mean_score.
+    """Per tag: case_count (skipped ones included), scored_count, mean_score (the exact mean).
 
     ``cases`` gives tags to results without them; both must have the same ids.
     """
@@ -128,4 +172,7 @@ def summarize_by_tag(results: DataFrame, cases: DataFrame | None = None) -> Data
         if not both.where("l is null or r is null").isEmpty():
             raise ValueError("results and cases must have the same ids")
         rows = results.drop("tags").join(cases.select("case_id", "tags"), "case_id")
-    return rows.select(F.explode("tags").alias("tag"), "resolved_score").groupBy("tag").agg(F.count("*").alias("case_count"), F.count("resolved_score").alias("scored_count"), F.avg("resolved_score").alias("mean_score")).orderBy("tag")
+    tagged = rows.select(F.explode("tags").alias("tag"), "resolved_score")
+    counts = tagged.groupBy("tag").agg(F.count("*").alias("case_count"))
+    means = exact_sums(tagged, ["resolved_score"], ["tag"]).select("tag", F.col("n_resolved_score").alias("scored_count"), F.col("mean_resolved_score").alias("mean_score"))
+    return counts.join(means, "tag").orderBy("tag")

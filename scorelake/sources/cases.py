@@ -113,8 +113,8 @@ def load_cases(spark: SparkSession, path: str | Path) -> DataFrame:
     """Cases of a ``.jsonl`` file, or of any other file with one JSON array.
 
     The file is read by Spark as a whole and checked in one strict parse on an
-    executor, whose first error is raised here. Large inputs belong in tables
-    (``from_dataframe``).
+    executor, whose first error is raised here; whoever reads the cases often caches
+    them. Large inputs belong in tables (``from_dataframe``).
     """
     source = str(path)
     if "://" not in source and not Path(source).is_file():
@@ -139,7 +139,7 @@ def load_cases(spark: SparkSession, path: str | Path) -> DataFrame:
                     yield pd.DataFrame({"error": [None], "rows": [rows]})
 
     fields = "struct<" + ", ".join(f"{x.split(' ', 1)[0]}:{x.split(' ', 1)[1]}" for x in CASES.split(", ")) + ">"
-    parsed = raw.mapInPandas(parse, f"error string, rows array<{fields}>").cache()
+    parsed = raw.mapInPandas(parse, f"error string, rows array<{fields}>")
     error = parsed.where("error is not null").select("error").first()
     if error:
         raise CaseFormatError(error[0])
@@ -191,8 +191,8 @@ def from_records(spark: SparkSession, records: Iterable[dict[str, Any]]) -> Data
 
 
 def require_unique_ids(cases: DataFrame, what: str = "cases") -> DataFrame:
-    """``cases``, or ValueError with the first repeated ids in order."""
-    twice = [r[0] for r in cases.groupBy("case_id").count().where("count > 1").orderBy("case_id").limit(100).collect()]
+    """``cases``, or ValueError with all repeated ids in order."""
+    twice = [r[0] for r in cases.groupBy("case_id").count().where("count > 1").orderBy("case_id").collect()]
     if twice:
         raise ValueError(f"duplicate ids in {what}: {', '.join(twice)}")
     return cases
