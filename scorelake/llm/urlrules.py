@@ -1,10 +1,12 @@
 """URL filters: fixed host and path rules, then association rules mined by FP-growth.
 
-Labelled URLs become sets of tokens (host suffixes, path parts, query names).
-Spark's FP-growth finds the token combinations that go with the label; rules
-under the confidence or support are dropped, and so are rules that a smaller
-one implies; a rule may have any number of tokens. An inverted index keyed by each rule's rarest token finds the rules that
-a URL can satisfy; a URL is blocked if it has all tokens of one of them.
+Labelled URLs become sets of tokens (host suffixes and labels, path parts, numbers,
+endings, query names). Spark's FP-growth finds the token combinations that go with
+the label; rules under the confidence or support are dropped, those whose confidence
+is not clearly above the share of marked URLs too, and so are rules that a smaller
+one implies; a rule may have any number of tokens. An inverted index keyed by the
+token of a rule that fewest URLs have finds the rules that a URL can satisfy; a URL
+is blocked if it has all tokens of one of them.
 Everything on the main path is DataFrame functions and JVM code.
 """
 
@@ -22,6 +24,8 @@ from ._io import store
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The item of a marked URL; tokens never hold this character.
 _MARK = "\x00marked"
+#: Tasks that the rows of one URL are dealt to.
+_SLOTS = 8
 
 
 @dataclass(frozen=True)
@@ -76,38 +80,56 @@ def fixed_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> tuple[
 
 
 def tokens_of(url: Column) -> Column:
-    """The distinct tokens of a URL: its scheme, host suffixes and labels, path parts and query names.
+    """The distinct tokens of a URL.
 
-    Parts with a digit stand as their letters and a sign, so that numbers that
-    occur once make no tokens of their own.
+    Scheme, host suffixes, host labels but the last (and their parts between
+    hyphens), path parts, the last part's ending, query names and fragment. Digits
+    stand as a sign, so that numbers that occur once make no tokens of their
+    own; a part that is a number adds its length with its first digit.
     """
     host, path = host_of(url), path_of(url)
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.concat(F.lit("s:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     plain = lambda x: F.regexp_replace(x, "[0-9]+", "#")
-    parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("p:"), plain(x)))
-    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
-    names = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("q:"), plain(F.regexp_extract(x, "^[^=]*", 0))))
-    scheme = F.concat(F.lit("c:"), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^([^:/?#]*)://", 1)))
-    words = F.transform(labels, lambda x: F.concat(F.lit("h:"), plain(x)))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(F.array(scheme), suffixes, words, parts, names), lambda x: ~F.contains(x, F.lit("\x00")))))
+    some = lambda xs: F.filter(xs, lambda x: x != "")
+    named = lambda kind, xs: F.transform(xs, lambda x: F.concat(F.lit(kind), x))
+    labels = some(F.split(host, r"\."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    inner = F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0)))
+    words = F.concat(inner, F.flatten(F.transform(inner, lambda x: some(F.split(x, "-")))))
+    parts = some(F.split(path, "/"))
+    numbers = F.transform(F.filter(parts, lambda x: x.rlike("^[0-9]+")), lambda x: F.concat(F.length(F.regexp_extract(x, "^[0-9]+", 0)).cast("string"), F.lit(":"), F.substring(x, 1, 1)))
+    ending = F.regexp_extract(path, r"\.([A-Za-z]{1,8})$", 1)
+    whole = F.coalesce(url, F.lit(""))
+    query = F.transform(some(F.split(F.regexp_extract(whole, r"\?([^#]*)", 1), "&")), lambda x: plain(F.regexp_extract(x, "^[^=]*", 0)))
+    scheme = F.lower(F.regexp_extract(whole, "^([^:/?#]*)://", 1))
+    made = F.concat(
+        F.array(F.concat(F.lit("c:"), scheme)), named("s:", suffixes), named("h:", F.transform(words, plain)), named("p:", F.transform(parts, plain)),
+        named("n:", numbers), named("e:", some(F.array(ending))), named("q:", query), named("f:", some(F.array(plain(F.regexp_extract(whole, "#(.*)$", 1))))),
+    )
+    return F.array_sort(F.array_distinct(F.filter(made, lambda x: ~F.contains(x, F.lit("\x00")))))
 
 
-def mine(labelled: DataFrame, least_support: float = 0.02, least_confidence: float = 0.6, least_rows: int = 30) -> DataFrame:
+def mine(labelled: DataFrame, least_support: float = 0.005, least_confidence: float = 0.3, least_rows: int = 10, least_lift: float = 1.25, least_z: float = 2.58) -> DataFrame:
     """Rules (tokens array, confidence, support) from ``labelled(url, marked boolean)``.
 
     ``least_support`` is the share of labelled URLs that hold the tokens and the
     mark; it stands for ``least_rows`` of them at least, so that a few rows make no
-    rule by chance. Rules have as many tokens as they need. Null urls or marks are left out; without rows there are no rules.
+    rule by chance. A rule's confidence must also be ``least_lift`` times the share of
+    marked URLs and ``least_z`` standard errors above it: a fixed
+    confidence alone means little where marks are rare or common. Rules have as
+    many tokens as they need. Null urls or marks are left out; with fewer than
+    ``least_rows`` rows, or without a mark, there are no rules.
     """
     rows = labelled.where(F.col("url").isNotNull() & F.col("marked").isNotNull())
-    n = rows.count()
-    if n < least_rows:
+    n, marked = rows.agg(F.count("*"), F.count_if("marked")).first()
+    if n < least_rows or not marked:
         return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
     items = rows.select(F.concat(tokens_of(F.col("url")), F.when(F.col("marked"), F.array(F.lit(_MARK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=max(least_support, least_rows / n), minConfidence=least_confidence).fit(items)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == _MARK))
-    return _smallest(found.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    base = marked / n
+    z = (F.col("confidence") - base) / F.sqrt(base * (1 - base) / (F.col("support") * n / F.col("confidence")))
+    strong = found.where((F.col("confidence") >= least_lift * base) & (F.lit(marked == n) | (z >= least_z)))
+    return _smallest(strong.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
 
 
 def _smallest(rules: DataFrame) -> DataFrame:
@@ -129,11 +151,15 @@ def _smallest(rules: DataFrame) -> DataFrame:
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct ``urls(url)`` that have all tokens of a rule, found by an inverted index of the rules."""
+    """The distinct ``urls(url)`` that have all tokens of a rule, found by an inverted index of the rules.
+
+    A rule stands in the index under the token that the fewest URLs have; one
+    with a token that no URL has matches nothing.
+    """
     distinct = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("_tokens", tokens_of(F.col("url")))
     spread = rules.select("tokens", F.explode("tokens").alias("token"))
-    common = spread.groupBy("token").agg(F.count("*").alias("n"))
-    index = spread.join(common, "token").groupBy("tokens").agg(F.min(F.struct("n", "token")).alias("k")).select(F.col("k.token").alias("token"), F.col("tokens").alias("_needed"))
+    seen = distinct.select(F.explode("_tokens").alias("token")).join(spread.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    index = spread.join(seen, "token", "left").groupBy("tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("k")).select(F.col("k.token").alias("token"), F.col("tokens").alias("_needed"))
     hits = distinct.withColumn("token", F.explode("_tokens")).join(index, "token")
     return hits.where(F.size(F.array_except("_needed", "_tokens")) == 0).select("url").distinct()
 
@@ -143,13 +169,14 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame, rules: tuple[UrlRule, ..
 
     The longest fixed rule decides; without one the mined rules block, else the
     URL is allowed. Null urls have an empty host and path and are allowed.
-    Repeated rows are kept; other columns are ignored.
+    Repeated rows are kept; other columns are ignored. Of fixed rules of equal
+    length the first listed decides. Rows of one URL are dealt to ``_SLOTS`` tasks.
     """
-    rows = pages.select("page_id", F.col("url").cast("string"))
-    blocked = matched(rows, mine(labelled, **settings)).withColumn("_blocked", F.lit(True))
+    rows = pages.select("page_id", F.col("url").cast("string")).withColumn("_slot", F.pmod(F.xxhash64("page_id"), F.lit(_SLOTS)).cast("int"))
+    blocked = matched(rows, mine(labelled, **settings)).select("url", F.lit(True).alias("_blocked"), F.explode(F.sequence(F.lit(0), F.lit(_SLOTS - 1))).alias("_slot"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     text, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     return (
-        rows.join(blocked, "url", "left").withColumn("host", host).withColumn("path", path)
+        rows.join(blocked, ["url", "_slot"], "left").withColumn("host", host).withColumn("path", path)
         .select("page_id", "host", "path", text.alias("rule"), F.coalesce(verdict, F.when(F.col("_blocked"), "block").otherwise("allow")).alias("verdict"))
     )

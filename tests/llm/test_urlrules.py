@@ -58,10 +58,10 @@ def test_mined_rules(spark):
     n = len(rows)
     strong = {c for c in every if marked[c] / n >= 0.1 and marked[c] / every[c] >= 0.9}
     want = {c for c in strong if not any(set(o) < set(c) for o in strong)}
-    got = {tuple(r.tokens) for r in urlrules.mine(labelled, 0.1, 0.9, least_rows=5).collect()}
+    got = {tuple(r.tokens) for r in urlrules.mine(labelled, 0.1, 0.9, least_rows=5, least_lift=0, least_z=-99).collect()}
     assert got == want and want
     pages = spark.createDataFrame([(1, "https://spam.site.io/x"), (2, "http://blog.site.io/ads/9"), (3, "http://blog.site.io/news/9"), (4, "http://www.site.io/ads"), (5, None)], "page_id bigint, url string")
-    verdicts = {r.page_id: r.verdict for r in urlrules.url_verdicts(pages, labelled, least_support=0.1, least_confidence=0.9, least_rows=5).collect()}
+    verdicts = {r.page_id: r.verdict for r in urlrules.url_verdicts(pages, labelled, least_support=0.1, least_confidence=0.9, least_rows=5, least_lift=0, least_z=-99).collect()}
     assert verdicts == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
@@ -79,13 +79,62 @@ def test_mined_rules_of_four_tokens(spark):
     strong = {c for c in every if marked[c] / len(rows) >= 0.05 and marked[c] / every[c] >= 0.9}
     want = {c for c in strong if not any(set(o) < set(c) for o in strong)}
     assert {len(c) for c in want} == {1, 4}
-    found = urlrules.mine(labelled, 0.05, 0.9, least_rows=3).collect()
+    found = urlrules.mine(labelled, 0.05, 0.9, least_rows=3, least_lift=0, least_z=-99).collect()
     assert {tuple(r.tokens) for r in found} == want and len(found) == len(want)
     pages = spark.createDataFrame([(1, "http://spam.io/sale/cheap?ref=9"), (2, "http://spam.io/sale/cheap?id=9"), (3, "http://blog.io/sale/cheap?ref=9"), (4, "http://old.io/x")], "page_id bigint, url string")
-    verdicts = {r.page_id: r.verdict for r in urlrules.url_verdicts(pages, labelled, least_support=0.05, least_confidence=0.9, least_rows=3).collect()}
+    verdicts = {r.page_id: r.verdict for r in urlrules.url_verdicts(pages, labelled, least_support=0.05, least_confidence=0.9, least_rows=3, least_lift=0, least_z=-99).collect()}
     assert verdicts == {1: "block", 2: "allow", 3: "allow", 4: "block"}
 
 
+def every_rule(rows, support, confidence, least_rows, lift, z):
+    """Rules of (tokens, marked) rows by enumeration of all token sets, without those that a smaller one implies."""
+    every, marked = Counter(), Counter()
+    for tokens, m in rows:
+        for k in range(1, len(tokens) + 1):
+            for c in itertools.combinations(sorted(tokens), k):
+                every[c] += 1
+                marked[c] += m
+    n, base = len(rows), sum(m for _, m in rows) / len(rows)
+    good = lambda c: marked[c] / n >= max(support, least_rows / n) - 1e-12 and marked[c] / every[c] >= max(confidence, lift * base) and marked[c] / every[c] - base >= z * (base * (1 - base) / every[c]) ** 0.5
+    strong = {c for c in every if good(c)}
+    return {c for c in strong if not any(tuple(sorted(o)) in strong for k in range(1, len(c)) for o in itertools.combinations(c, k))}
+
+
+def test_whole_table_with_mined_rules(spark):
+    """The registered query with its own settings, rules and verdicts by enumeration."""
+    sf = "/root/testdata/sf0.01"
+    pages, labels = spark.read.parquet(f"{sf}/pages.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    token = urlrules.tokens_of(urlrules.F.col("url")).alias("t")
+    labelled = [(r.t, r.marked) for r in queries.labelled_urls(pages, labels).select(token, "marked").collect()]
+    want = every_rule(labelled, 0.005, 0.3, 10, 1.25, 2.58)
+    found = {tuple(r.tokens) for r in urlrules.mine(queries.labelled_urls(pages, labels)).collect()}
+    assert found == want
+    tokens = {r.page_id: set(r.t) for r in pages.select("page_id", token).collect()}
+    for r in queries.op9_url_filters(spark, sf).collect():
+        if r.rule is None:
+            assert r.verdict == ("block" if any(set(c) <= tokens[r.page_id] for c in want) else "allow")
+
+
+def test_rules_exist_and_rest_on_evidence(spark):
+    """Marks that go with a host label make rules; the same marks dealt at random make none that is as strong."""
+    rows = [(f"http://{h}.site.io/en/{1000 + i}.html", i % 10 < (6 if h == "spam" else 2)) for i in range(300) for h in ("spam", "blog")]
+    found = {tuple(r.tokens) for r in urlrules.mine(spark.createDataFrame(rows, "url string, marked boolean")).collect()}
+    assert ("h:spam",) in found and ("h:blog",) not in found
+
+
+def test_plan_is_native(spark):
+    frame = queries.op9_url_filters(spark, "/root/testdata/sf0.001")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_equal_rules_repeated_rows_and_a_long_url(spark, none):
+    rules = (urlrules.UrlRule("io/x/", "block"), urlrules.UrlRule("io/x/", "allow"))
+    df = spark.createDataFrame([(1, "http://a.io/x/1"), (1, "http://a.io/x/1"), (2, "http://b.io/" + "y/" * 200000)], "page_id bigint, url string")
+    got = sorted((r.page_id, r.rule or "", r.verdict) for r in urlrules.url_verdicts(df, none, rules).collect())
+    assert got == [(1, "io/x/", "block"), (1, "io/x/", "block"), (2, "", "allow")]
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{sf}/pages.parquet")
