@@ -1,15 +1,17 @@
 """HTML main-text extraction with boilerplate found by suffix arrays over each host's pages.
 
 Pages become blocks of text in page order, each with the region that it stands
-in. What the markup names as other than the article (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments) never counts, and
-where a page has an article or main element, that element's other blocks are the
-text. Blocks of the remaining pages are told apart by the host: their token
-streams are concatenated and sorted as suffixes, and runs of tokens that recur on
-a distinct page of the host are boilerplate; the unique runs are kept. A host
-with too many pages for one task gets the same result by a join: hashes of its
-windows of the shortest run that stand on two of its pages are found over all
-its pages, and what these windows cover goes.
+in: the article or main element, a region that the markup names as another (menus,
+headers, footers, sidebars, notices, adverts, forms, comments), or none. Scripts,
+styles and the like are no text. All blocks outside the main region go to the
+host's suffix array: the token streams of its pages are concatenated and sorted as
+suffixes, and runs of tokens that recur on a distinct page of the host are
+boilerplate. Where a page has a main region, that region's blocks are the text, and
+the array says how much of the rest is boilerplate; on other pages the unique
+runs of blocks in no named region are the text. The array never judges inside a main
+region, since articles may share passages. A host with too many pages for one task
+gets the same result by a join: hashes of its windows of the shortest run that stand
+on two of its pages are found over all its pages, and what these windows cover goes.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _OUT = frozenset("nav header footer aside form script style noscript template head iframe noembed noframes xmp svg math object canvas select button textarea title dialog menu audio video".split())
+#: Elements whose content is never shown as text.
+_HIDDEN = frozenset("script style noscript template head iframe noembed noframes xmp svg math object canvas select button textarea title menu audio video dialog".split())
 _CLOSES_P = _BLOCK - {"br", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "summary", "legend"}
 #: Words of class and id names, and ARIA roles, that mark other regions.
 _OUT_WORDS = frozenset("nav navbar navigation menu header masthead footer sidebar aside notice notices cookie cookies consent banner ad ads advert adverts advertisement sponsor sponsored promo promotion popup modal breadcrumb breadcrumbs share social related comment comments reply replies disqus newsletter subscribe signup login widget pagination pager skip".split())
@@ -61,31 +65,44 @@ def _is_main(tag: str, attributes: str) -> bool:
     return tag in ("article", "main") or "role" in attributes and re.search(r"\brole\s*=\s*[\"']?(main|article)\b", attributes) is not None
 
 
-def blocks(page: str | None) -> tuple[bool, list[tuple[bool, str]]]:
-    """Whether a page has a main region, and its blocks: (in the main region, text), other regions left out.
+#: Where a block stands: in the main region, in no named region, in another named region.
+MAIN, OPEN, OTHER = 0, 1, 2
+
+
+def blocks(page: str | None) -> tuple[bool, list[tuple[int, str]]]:
+    """Whether a page has a main region, and its blocks: (MAIN, OPEN or OTHER, text).
 
     Tags that are not closed end with their parents; a ``<`` that begins no tag is
     text; character references are decoded as in HTML, once.
     """
     text = page or ""
-    out: list[tuple[bool, str]] = []
+    out: list[tuple[int, str]] = []
     has_main = False
-    stack: list[tuple[str, bool, bool]] = []  # tag, out, main
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, hidden, other, main
     parts: list[str] = []
-    off = main = 0
+    aside: list[str] = []  # text of another region within the block that is open
+    hidden = off = main = 0
+
+    def add(text: str) -> None:
+        if not hidden:
+            (aside if off else parts).append(text)
 
-    def flush() -> None:
-        whole = _SPACE.sub(" ", "".join(parts)).strip()
-        parts.clear()
+    def flush(other: bool = False) -> None:
+        held = aside if other else parts
+        whole = _SPACE.sub(" ", "".join(held)).strip()
+        held.clear()
         if whole:
-            out.append((main > 0, whole))
+            out.append((OTHER if other else MAIN if main else OPEN, whole))
 
     def pop() -> None:
-        nonlocal off, main
-        tag, was_out, was_main = stack.pop()
-        if tag in _BLOCK:
+        nonlocal hidden, off, main
+        tag, was_hidden, was_other, was_main = stack.pop()
+        if tag in _BLOCK and not off:
             flush()
-        off -= was_out
+        if tag in _BLOCK or off == was_other:
+            flush(True)
+        hidden -= was_hidden
+        off -= was_other
         main -= was_main
 
     at, n = 0, len(text)
@@ -93,8 +110,8 @@ def blocks(page: str | None) -> tuple[bool, list[tuple[bool, str]]]:
         lt = text.find("<", at)
         if lt < 0:
             lt = n
-        if lt > at and not off:
-            parts.append(entities.unescape(text[at:lt]))
+        if lt > at:
+            add(entities.unescape(text[at:lt]))
         if lt == n:
             break
         if text.startswith("<!--", lt):
@@ -107,8 +124,7 @@ def blocks(page: str | None) -> tuple[bool, list[tuple[bool, str]]]:
             continue
         m = _TAG.match(text, lt)
         if m is None:
-            if not off:
-                parts.append("<")
+            add("<")
             at = lt + 1
             continue
         at = m.end()
@@ -119,7 +135,7 @@ def blocks(page: str | None) -> tuple[bool, list[tuple[bool, str]]]:
                     pop()
                 pop()
             elif tag in _BLOCK:
-                flush()
+                flush(off > 0)
             continue
         if tag in _CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
@@ -134,28 +150,32 @@ def blocks(page: str | None) -> tuple[bool, list[tuple[bool, str]]]:
             if stack and stack[-1][0] in same:
                 pop()
         if tag == "br":
-            parts.append(" ")
+            add(" ")
             continue
         if tag in _BLOCK:
-            flush()
+            flush(off > 0)
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK and tag not in _RAW:
             continue
-        is_out = _is_out(tag, m[3])
+        is_out, is_hidden = _is_out(tag, m[3]), tag in _HIDDEN
+        if is_out and not off and tag in _BLOCK:
+            flush()
         is_main = not is_out and not off and _is_main(tag, m[3])
         has_main |= is_main
         if tag in _RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.IGNORECASE).search(text, at)
-            if not is_out and not off:
-                parts.append(entities.unescape(text[at : end.start() if end else n]))
+            if not is_hidden:
+                add(entities.unescape(text[at : end.start() if end else n]))
             close = text.find(">", end.start()) if end else -1
             at = n if close < 0 else close + 1
             continue
-        stack.append((tag, is_out, is_main))
+        stack.append((tag, is_hidden, is_out, is_main))
+        hidden += is_hidden
         off += is_out
         main += is_main
     while stack:
         pop()
     flush()
+    flush(True)
     return has_main, out
 
 
@@ -226,6 +246,9 @@ def repeated_tokens(streams: list[np.ndarray], pages: list[int], least: int) ->
     return [marks[end - n - 1 : end - 1] for n, end in zip(lengths, ends.tolist(), strict=True)]
 
 
+_KEPT = "row bigint, block int, text string, gone bigint"
+
+
 def _unique_runs(group: pd.DataFrame, least: int) -> pd.DataFrame:
     """The blocks of a host without the token runs that other pages have too."""
     rows = group.sort_values(["row", "block"], kind="stable")
@@ -235,11 +258,12 @@ def _unique_runs(group: pd.DataFrame, least: int) -> pd.DataFrame:
     streams = [codes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     gone = np.concatenate(repeated_tokens(streams, pd.factorize(rows["row"])[0].tolist(), least)) if streams else np.zeros(0, bool)
     texts = [" ".join(w for w, g in zip(ws, gone[cuts[i] : cuts[i + 1]], strict=True) if not g) for i, ws in enumerate(words)]
-    return pd.DataFrame({"row": rows["row"].to_numpy(), "block": rows["block"].to_numpy(), "text": texts})
+    lost = [int(gone[a:b].sum()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pd.DataFrame({"row": rows["row"].to_numpy(), "block": rows["block"].to_numpy(), "text": texts, "gone": lost})
 
 
 def _kept_of_large(pages: DataFrame, least: int) -> DataFrame:
-    """``pages(host, row, rest)`` to (row, block, text) as from ``_unique_runs``, with no task that needs a whole host.
+    """``pages(host, row, rest)`` to (row, block, text, gone) as from ``_unique_runs``, with no task that needs a whole host.
 
     A run of ``least`` tokens or more recurs just where each of its windows of
     ``least`` tokens does. Windows are known by 128 bits within their host.
@@ -249,62 +273,66 @@ def _kept_of_large(pages: DataFrame, least: int) -> DataFrame:
     hashed = windows.select("host", "row", (F.shiftleft(F.col("block").cast("bigint"), 32) + F.col("at")).alias("place"), F.xxhash64("window").alias("h"), F.xxhash64(F.lit(1), "window").alias("g"))
     seeds = hashed.groupBy("host", "h", "g").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b").select("host", "h", "g")
     places = hashed.join(seeds.hint("merge"), ["host", "h", "g"], "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))  # a merge join: Spark splits a window that stands on every page
-    schema = pa.schema([("row", pa.int64()), ("block", pa.int32()), ("text", pa.string())])
+    schema = pa.schema([("row", pa.int64()), ("block", pa.int32()), ("text", pa.string()), ("gone", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, str]] = []
+            out: list[tuple[int, int, str, int]] = []
             for row, rest, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 starts: dict[int, list[int]] = {}
                 for place in found or ():
                     starts.setdefault(place >> 32, []).append(place & 0xFFFFFFFF)
                 for block, text in enumerate(rest):
+                    lost = 0
                     if block in starts:
                         ws = text.split(" ")
                         gone = bytearray(len(ws))
                         for at in starts[block]:
                             gone[at : at + least] = b"\x01" * least
+                        lost = sum(gone)
                         text = " ".join(w for w, g in zip(ws, gone, strict=True) if not g)
-                    out.append((row, block, text))
-            yield batch_of(schema, *([x[i] for x in out] for i in range(3)))
+                    out.append((row, block, text, lost))
+            yield batch_of(schema, *([x[i] for x in out] for i in range(4)))
 
-    return pages.select("row", "rest").join(places, "row", "left").mapInArrow(cut, "row bigint, block int, text string")
+    return pages.select("row", "rest").join(places, "row", "left").mapInArrow(cut, _KEPT)
 
 
 def main_text(pages: DataFrame, least_tokens: int = 6, share_pages: int = 2000) -> DataFrame:
-    """``pages(page_id, url, html)`` to (page_id, url, text, n_chars), one row a row.
-
-    Null and empty pages have an empty text. Rows with equal or null page_ids
-    are separate pages. Other columns are ignored. ``least_tokens`` is the shortest
-    run that counts as a host's boilerplate. A host with more than ``share_pages``
-    pages without a main region is compared by a join and no suffix array, with the
-    same result.
+    """``pages(page_id, url, html)`` to (page_id, url, text, n_chars, n_boilerplate), one row a row.
+
+    n_boilerplate counts the words outside the main region that stand in runs which
+    another page of the host has too. Null and empty pages have an empty text.
+    Rows with equal or null page_ids are separate pages, so two copies of
+    a page make each other's menus boilerplate. Other columns are ignored.
+    ``least_tokens`` is the shortest run that counts. A host with more than
+    ``share_pages`` pages is compared by a join and no suffix array, with the same result.
     """
     own = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("rest", pa.list_(pa.string()))])
+    lists = pa.list_(pa.string())
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("rest", lists), ("open", pa.list_(pa.int32()))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: list[str | None] = []
-            rest: list[list[str] | None] = []
+            rest: list[list[str]] = []
+            free: list[list[int]] = []
             for value in batch.column(2):
                 has_main, found = blocks(value.as_py())
-                if has_main or not found:
-                    texts.append(" ".join(t for m, t in found if m))
-                    rest.append(None)
-                else:
-                    texts.append(None)
-                    rest.append([t for _, t in found])
-            yield batch_of(schema, batch.column(0), batch.column(1), texts, rest)
-
-    parsed = store(own.mapInArrow(parse, "page_id bigint, url string, text string, rest array<string>"), "pages", compression="zstd").withColumn("row", F.monotonically_increasing_id())
-    open_pages = parsed.where("rest is not null").withColumn("host", host_of(F.col("url")))
-    large = open_pages.groupBy("host").count().where(F.col("count") > share_pages).select("host", F.lit(True).alias("large"))
-    dealt = open_pages.join(large, "host", "left").select("host", "row", "rest", "large")
+                outer = [(k, t) for k, t in found if k != MAIN]
+                texts.append(" ".join(t for k, t in found if k == MAIN) if has_main or not any(k == OPEN for k, _ in outer) else None)
+                rest.append([t for _, t in outer])
+                free.append([i for i, (k, _) in enumerate(outer) if k == OPEN])
+            yield batch_of(schema, batch.column(0), batch.column(1), texts, rest, free)
+
+    parsed = store(own.mapInArrow(parse, "page_id bigint, url string, text string, rest array<string>, open array<int>"), "pages", compression="zstd").withColumn("row", F.monotonically_increasing_id())
+    outside = parsed.where(F.size("rest") > 0).select("row", "rest", host_of(F.col("url")).alias("host"))
+    large = outside.groupBy("host").count().where(F.col("count") > share_pages).select("host", F.lit(True).alias("large"))
+    dealt = outside.join(large, "host", "left").select("host", "row", "rest", "large")
     small = dealt.where("large is null").select("host", "row", F.posexplode("rest").alias("block", "text"))
-    kept = small.groupBy("host").applyInPandas(lambda g: _unique_runs(g, least_tokens), "row bigint, block int, text string")
+    kept = small.groupBy("host").applyInPandas(lambda g: _unique_runs(g, least_tokens), _KEPT)
     kept = kept.union(_kept_of_large(dealt.where("large"), least_tokens))
-    runs = kept.where("text <> ''").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("b")).select("row", F.array_join(F.transform("b", lambda x: x["text"]), " ").alias("found"))
-    texts = parsed.where("rest is null").select("page_id", "url", "text")  # these need no join
-    found = parsed.where("rest is not null").join(runs, "row", "left").select("page_id", "url", F.coalesce("found", F.lit("")).alias("text"))
-    return texts.union(found).withColumn("n_chars", F.length("text").cast("bigint"))
+    runs = kept.groupBy("row").agg(F.sum("gone").alias("gone"), F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("block", "text")))).alias("b"))
+    whole = parsed.drop("rest").join(runs, "row", "left")
+    unique = F.array_join(F.transform(F.filter("b", lambda x: F.array_contains("open", x["block"])), lambda x: x["text"]), " ")
+    text = F.coalesce("text", unique, F.lit(""))
+    return whole.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"), F.coalesce("gone", F.lit(0)).cast("bigint").alias("n_boilerplate"))

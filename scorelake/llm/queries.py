@@ -119,7 +119,16 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 
 ORACLES["op8_html_main_text"] = r"""
 WITH
-a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<[^>]*>', ' ', 'g') AS x FROM pages),
-t AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM a)
-SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+p AS (SELECT page_id, url, coalesce(html, '') AS html, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages),
+a AS (SELECT page_id, url, regexp_replace(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<[^>]*>', ' ', 'g') AS x FROM p),
+t AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM a),
+r AS (SELECT page_id, host, regexp_replace(regexp_replace(regexp_replace(html, '<(article|script|style|title)[^>]*>.*?</(article|script|style|title)>', '<p>', 'gs'), '<!--.*?-->', '', 'gs'), '</?a[^>]*>', '', 'g') AS x FROM p),
+k AS (SELECT page_id, host, generate_subscripts(bs, 1) AS block, unnest(bs) AS b FROM (SELECT page_id, host, regexp_split_to_array(x, '<[^>]*>') AS bs FROM r)),
+w AS (SELECT page_id, host, block, regexp_extract_all(regexp_replace(b, '&[a-z]+;?', '&', 'g'), '[^\s]+') AS ws FROM k),
+g AS (SELECT page_id, host, block, unnest(range(1, len(ws) - 4)) AS i, ws FROM w WHERE len(ws) >= 6),
+h AS (SELECT page_id, host, block, i, array_to_string(ws[i:i + 5], ' ') AS v FROM g),
+m AS (SELECT host, v FROM h GROUP BY host, v HAVING count(DISTINCT page_id) > 1),
+c AS (SELECT page_id, block, unnest(range(i, i + 6)) AS place FROM h SEMI JOIN m USING (host, v)),
+n AS (SELECT page_id, count(DISTINCT (block, place)) AS n FROM c GROUP BY page_id)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars, CAST(coalesce(n.n, 0) AS BIGINT) AS n_boilerplate FROM t LEFT JOIN n USING (page_id)
 """

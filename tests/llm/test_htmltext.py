@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scorelake.llm import htmltext
+from scorelake.llm import htmltext, queries
 
 PAGES = [
     ("<article><h1>A &amp; B</h1><p>one\n two<br>three<p>f&ouml;ur &lt;x&gt;</article><footer>no</footer>", "A & B one two three föur <x>"),
@@ -91,3 +91,37 @@ def test_rare_boilerplate(spark, share):
     assert want[3].endswith(" tail3 " + " ".join(f"short3z{k}" for k in range(5)) + " a3") and len(want[60].split(" ")) == 37
     got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5), share_pages=share).collect()}
     assert got == want
+
+
+def test_regions():
+    page = "<nav>Home<ul><li>News</ul></nav><p>before <span class=ad>buy now</span>after</p><article>in</article><footer>end<script>no</script></footer>tail"
+    assert htmltext.blocks(page) == (True, [(2, "Home"), (2, "News"), (2, "buy now"), (1, "before after"), (0, "in"), (2, "end"), (1, "tail")])
+    assert htmltext.blocks("<p>" * 3000 + "deep" + "<div>" * 3000 + "x")[1] == [(1, "deep"), (1, "x")]
+
+
+@pytest.mark.parametrize("share", [2000, 3])
+def test_every_page_is_measured(spark, share):
+    """Pages with an article too: what stands outside it and on another page of the host is counted."""
+    menu, ad = "a menu of six words here", "an advert of only this one page"
+    rows = [(i, "http://one.io/", f"<nav>{menu}</nav><article>story {menu} {i}</article><div class=ad>{ad} {i if i else ''}</div>") for i in range(5)]
+    rows += [(9, "http://two.io/", rows[0][2]), (10, None, None), (11, "http://one.io/", "<article>" + "word " * 300000 + "</article>")]
+    got = {r.page_id: r for r in htmltext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), share_pages=share).collect()}
+    assert [got[i].n_boilerplate for i in (0, 1, 9, 10, 11)] == [6 + 7, 6 + 7, 0, 0, 0]
+    assert got[1].text == f"story {menu} 1" and got[9].text == f"story {menu} 0" and got[10].text == "" and got[11].n_chars == 5 * 300000 - 1
+
+
+def test_boilerplate_of_a_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    where, outer = {}, {}
+    for p in pages:
+        host = p.url.split("://")[1].split("/")[0].lower()
+        outer[p.page_id] = host, [b.split(" ") for k, b in htmltext.blocks(p.html)[1] if k != htmltext.MAIN]
+        for ws in outer[p.page_id][1]:
+            for k in range(len(ws) - 5):
+                where.setdefault((host, *ws[k : k + 6]), set()).add(p.page_id)
+    want = {}
+    for i, (host, found) in outer.items():
+        want[i] = sum(len({k + j for k in range(len(ws) - 5) if len(where[(host, *ws[k : k + 6])]) > 1 for j in range(6)}) for ws in found)
+    got = {r.page_id: r.n_boilerplate for r in queries.op8_html_main_text(spark, sf).collect()}
+    assert got == want and sum(v > 0 for v in want.values()) > 50
