@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -246,18 +247,21 @@ def repeated_tokens(streams: list[np.ndarray], pages: list[int], least: int) ->
     return [marks[end - n - 1 : end - 1] for n, end in zip(lengths, ends.tolist(), strict=True)]
 
 
+#: Hosts at most that are compared by a join, as their names are broadcast.
+_BROADCAST_HOSTS = 100_000
 _KEPT = "row bigint, block int, text string, gone bigint"
 
 
 def _unique_runs(group: pd.DataFrame, least: int) -> pd.DataFrame:
-    """The blocks of a host without the token runs that other pages have too."""
+    """The needed blocks of a host without the token runs that other pages have too, and how many tokens each block lost."""
     rows = group.sort_values(["row", "block"], kind="stable")
     words = [t.split(" ") for t in rows["text"]]
     codes, _ = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
     cuts = np.cumsum([0, *map(len, words)])
     streams = [codes[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     gone = np.concatenate(repeated_tokens(streams, pd.factorize(rows["row"])[0].tolist(), least)) if streams else np.zeros(0, bool)
-    texts = [" ".join(w for w, g in zip(ws, gone[cuts[i] : cuts[i + 1]], strict=True) if not g) for i, ws in enumerate(words)]
+    needed = rows["needed"].tolist()
+    texts = [" ".join(w for w, g in zip(ws, gone[cuts[i] : cuts[i + 1]], strict=True) if not g) if needed[i] else "" for i, ws in enumerate(words)]
     lost = [int(gone[a:b].sum()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return pd.DataFrame({"row": rows["row"].to_numpy(), "block": rows["block"].to_numpy(), "text": texts, "gone": lost})
 
@@ -278,7 +282,7 @@ def _kept_of_large(pages: DataFrame, least: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, str, int]] = []
-            for row, rest, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for row, rest, needed, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 starts: dict[int, list[int]] = {}
                 for place in found or ():
                     starts.setdefault(place >> 32, []).append(place & 0xFFFFFFFF)
@@ -291,10 +295,10 @@ def _kept_of_large(pages: DataFrame, least: int) -> DataFrame:
                             gone[at : at + least] = b"\x01" * least
                         lost = sum(gone)
                         text = " ".join(w for w, g in zip(ws, gone, strict=True) if not g)
-                    out.append((row, block, text, lost))
+                    out.append((row, block, text if needed else "", lost))
             yield batch_of(schema, *([x[i] for x in out] for i in range(4)))
 
-    return pages.select("row", "rest").join(places, "row", "left").mapInArrow(cut, _KEPT)
+    return pages.select("row", "rest", "needed").join(places, "row", "left").mapInArrow(cut, _KEPT)
 
 
 def main_text(pages: DataFrame, least_tokens: int = 6, share_pages: int = 2000) -> DataFrame:
@@ -305,34 +309,44 @@ def main_text(pages: DataFrame, least_tokens: int = 6, share_pages: int = 2000)
     Rows with equal or null page_ids are separate pages, so two copies of
     a page make each other's menus boilerplate. Other columns are ignored.
     ``least_tokens`` is the shortest run that counts. A host with more than
-    ``share_pages`` pages is compared by a join and no suffix array, with the same result.
+    ``share_pages`` pages (more where over ``_BROADCAST_HOSTS`` hosts could have so many)
+    is compared by a join and no suffix array, with the same result.
     """
     own = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    lists = pa.list_(pa.string())
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("rest", lists), ("open", pa.list_(pa.int32()))])
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("packed", pa.binary()), ("rest", pa.list_(pa.string())), ("open", pa.list_(pa.int32()))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts: list[str | None] = []
+            packed: list[bytes | None] = []
             rest: list[list[str]] = []
             free: list[list[int]] = []
             for value in batch.column(2):
                 has_main, found = blocks(value.as_py())
                 outer = [(k, t) for k, t in found if k != MAIN]
-                texts.append(" ".join(t for k, t in found if k == MAIN) if has_main or not any(k == OPEN for k, _ in outer) else None)
+                free.append([] if has_main else [i for i, (k, _) in enumerate(outer) if k == OPEN])
+                packed.append(None if free[-1] else zlib.compress(" ".join(t for k, t in found if k == MAIN).encode("utf-8", "replace")))
                 rest.append([t for _, t in outer])
-                free.append([i for i, (k, _) in enumerate(outer) if k == OPEN])
-            yield batch_of(schema, batch.column(0), batch.column(1), texts, rest, free)
-
-    parsed = store(own.mapInArrow(parse, "page_id bigint, url string, text string, rest array<string>, open array<int>"), "pages", compression="zstd").withColumn("row", F.monotonically_increasing_id())
-    outside = parsed.where(F.size("rest") > 0).select("row", "rest", host_of(F.col("url")).alias("host"))
-    large = outside.groupBy("host").count().where(F.col("count") > share_pages).select("host", F.lit(True).alias("large"))
-    dealt = outside.join(large, "host", "left").select("host", "row", "rest", "large")
-    small = dealt.where("large is null").select("host", "row", F.posexplode("rest").alias("block", "text"))
+            yield batch_of(schema, batch.column(0), batch.column(1), packed, rest, free)
+
+    # texts travel compressed from here to the end
+    parsed = store(own.mapInArrow(parse, "page_id bigint, url string, packed binary, rest array<string>, open array<int>"), "pages", compression="zstd").withColumn("row", F.monotonically_increasing_id())
+    outside = parsed.where(F.size("rest") > 0).select("row", "rest", (F.size("open") > 0).alias("needed"), host_of(F.col("url")).alias("host"))
+    most = max(share_pages, parsed.count() // _BROADCAST_HOSTS)
+    large = outside.groupBy("host").count().where(F.col("count") > most).select("host", F.lit(True).alias("large"))  # _BROADCAST_HOSTS rows at most
+    dealt = outside.join(F.broadcast(large), "host", "left")
+    small = dealt.where("large is null").select("host", "row", "needed", F.posexplode("rest").alias("block", "text"))
     kept = small.groupBy("host").applyInPandas(lambda g: _unique_runs(g, least_tokens), _KEPT)
     kept = kept.union(_kept_of_large(dealt.where("large"), least_tokens))
     runs = kept.groupBy("row").agg(F.sum("gone").alias("gone"), F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("block", "text")))).alias("b"))
     whole = parsed.drop("rest").join(runs, "row", "left")
     unique = F.array_join(F.transform(F.filter("b", lambda x: F.array_contains("open", x["block"])), lambda x: x["text"]), " ")
-    text = F.coalesce("text", unique, F.lit(""))
-    return whole.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"), F.coalesce("gone", F.lit(0)).cast("bigint").alias("n_boilerplate"))
+    joined = whole.select("page_id", "url", F.coalesce("gone", F.lit(0)).cast("bigint").alias("n_boilerplate"), "packed", unique.alias("found"))
+    final = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("n_boilerplate", pa.int64()), ("text", pa.string())])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [zlib.decompress(p.as_buffer()).decode() if p.is_valid else f.as_py() or "" for p, f in zip(batch.column(3), batch.column(4), strict=True)]
+            yield batch_of(final, *(batch.column(i) for i in range(3)), texts)
+
+    out = joined.mapInArrow(unpack, "page_id bigint, url string, n_boilerplate bigint, text string")
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_boilerplate")
