@@ -57,13 +57,13 @@ SELECT case_id, CAST(round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len
   ELSE 2 * (n / len(b)) * (n / len(a)) / (n / len(b) + n / len(a)) END, 9) AS DOUBLE) AS score FROM o"""
 
 
-def _rouge(beta: float) -> str:
+def _rouge(beta: float, table: str = "bench", cte: str = _BENCH) -> str:
     square = beta * beta
-    return f"""WITH {_BENCH}, w AS (SELECT case_id, {_tokens('ref')} AS a, {_tokens('pred')} AS b FROM bench),
+    return f"""WITH {cte}, w AS (SELECT case_id, {_tokens('ref')} AS a, {_tokens('pred')} AS b FROM {table}),
 o AS (SELECT *, CAST(list_last(list_reduce(a, lambda row, x: list_reduce(range(1, len(b) + 1), lambda new, j:
     list_append(new, CASE WHEN b[j] = x THEN (CASE WHEN j = 1 THEN 0 ELSE row[j - 1] END) + 1 ELSE greatest(row[j], CASE WHEN j = 1 THEN 0 ELSE new[j - 1] END) END), CAST([] AS BIGINT[])),
     list_transform(b, lambda y: CAST(0 AS BIGINT)))) AS DOUBLE) AS n FROM w)
-SELECT case_id, CAST(round(CASE WHEN n = 0 THEN 0 ELSE {1 + square} * (n / len(b)) * (n / len(a)) / (n / len(a) + {square} * (n / len(b))) END, 9) AS DOUBLE) AS score FROM o"""
+SELECT case_id, CAST(round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 WHEN n = 0 OR n IS NULL THEN 0 ELSE {1 + square} * (n / len(b)) * (n / len(a)) / (n / len(a) + {square} * (n / len(b))) END, 9) AS DOUBLE) AS score FROM o"""
 
 
 def _bleu(order: int, s: float, effective: bool) -> str:
@@ -104,9 +104,12 @@ ORACLES: dict[str, str] = {
     "rouge_l_beta2": _rouge(2.0),
     "sentence_bleu": _bleu(4, 1.0, True),
     "sentence_bleu_unsmoothed": _bleu(2, 0.0, False),
-    "levenshtein_similarity": f"""WITH {_BENCH}, w AS (SELECT case_id, {_norm('ref')} AS a, {_norm('pred')} AS b FROM bench
-  WHERE NOT regexp_matches(ref, '[^\\x00-\\x7F]') AND NOT regexp_matches(pred, '[^\\x00-\\x7F]'))
-SELECT case_id, CAST(round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END, 9) AS DOUBLE) AS score FROM w""",
+    # levenshtein counts bytes: each pair's code points are spelt anew as single bytes (a pair has fewer than 94 different ones)
+    "levenshtein_similarity": f"""WITH {_BENCH}, w AS (SELECT case_id, {_norm('ref')} AS a, {_norm('pred')} AS b FROM bench),
+l AS (SELECT *, list_distinct(string_split(a || b, '')) AS letters FROM w),
+s AS (SELECT case_id, length(a) AS la, length(b) AS lb, array_to_string(list_transform(string_split(a, ''), lambda c: chr(CAST(32 + list_position(letters, c) AS INTEGER))), '') AS x,
+  array_to_string(list_transform(string_split(b, ''), lambda c: chr(CAST(32 + list_position(letters, c) AS INTEGER))), '') AS y FROM l)
+SELECT case_id, CAST(round(CASE WHEN greatest(la, lb) = 0 THEN 1.0 ELSE 1 - levenshtein(x, y)::DOUBLE / greatest(la, lb) END, 9) AS DOUBLE) AS score FROM s""",
     "numeric_equivalence_skip": _numeric("NULL", "true"),
     "numeric_equivalence_zero": _numeric("0.0", "false"),
     "numeric_equivalence_one": _numeric("1.0", "false"),
@@ -137,7 +140,17 @@ CASE WHEN score IS NULL THEN 'skipped' ELSE 'scored' END || ' |' AS line FROM sc
 }
 
 
+ORACLES["rouge_l_conversations"] = _rouge(1.0, "conv", _CONV)
+ORACLES["numeric_equivalence_relative"] = f"""WITH {_NUM} SELECT case_id, CASE WHEN b IS NULL THEN NULL WHEN abs(a - b) <= 0.00001 * greatest(abs(a), abs(b)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
+CASE WHEN b IS NULL THEN 'unparseable prediction' END AS reason FROM parsed"""
+ORACLES["json_ingest"] = f"""WITH {_CONV.replace("turn AS case_id,", "turn AS case_id, conv_id * 1000 + turn AS ordinal,")} SELECT ordinal, case_id, 'str' AS reference_kind, ref AS reference,
+'int' AS prediction_kind, CAST(length(pred) AS VARCHAR) AS prediction, case_id AS tag FROM conv"""
+ORACLES["tag_summary_joined"] = ORACLES["tag_summary"]
+ORACLES["audit_deterministic"] = f"WITH {_BENCH} SELECT 'deterministic' AS rule, 'error' AS severity, case_id, 1.0::DOUBLE AS first, 0.5::DOUBLE AS again FROM bench"
+ORACLES["audit_coverage"] = "SELECT 'coverage' AS rule, 'warning' AS severity, CAST(NULL AS VARCHAR) AS case_id"
+ORACLES["markdown_escape"] = "SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '|', '&#124;'), '`', '&#96;'), '<', '&lt;'), '>', '&gt;'), chr(13) || chr(10), '<br>'), chr(13), '<br>'), chr(10), '<br>')) AS escaped_md5 FROM documents"
+ORACLES["confidence_interval"] = f"""WITH {_BOOT} SELECT (SELECT round(avg(d), 9) + 0.0 FROM x) AS point, round(quantile_cont(value, {_LOW}), 9) + 0.0 AS lower, round(quantile_cont(value, {1 - _LOW}), 9) + 0.0 AS upper, CAST(count(*) AS BIGINT) AS samples FROM boot"""
 ORACLES["token_f1"] = _f1_of("conv", _CONV, _tokens)
 ORACLES["character_f1"] = _f1_of("conv", _CONV, _split)
 ORACLES["plugin_udf"] = ORACLES["rouge_l"]
-ORACLES["audit_bounded"] = f"SELECT 'bounded' AS rule, 'error' AS severity, case_id FROM ({_f1_of('bench', _BENCH, _split)}) WHERE score > 0.8"
+ORACLES["audit_bounded"] = f"SELECT 'bounded' AS rule, 'error' AS severity, case_id, score AS observed FROM ({_f1_of('bench', _BENCH, _split)}) WHERE score > 0.8"

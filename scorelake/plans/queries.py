@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from decimal import Decimal
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
-from ..model import BootstrapConfig, Contract, UndefinedPolicy
+from ..model import BootstrapConfig, Contract, MetricValue, UndefinedPolicy
 from ..operators import audit as audits
 from ..operators import compare, stats, suite
 from ..registry import MetricRegistry
-from ..sinks.report import markdown_rows
-from ..sources.cases import from_dataframe
+from ..sinks.report import escape_column, markdown_rows
+from ..sources.cases import from_dataframe, from_json_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NUMERIC = m.NumericEquivalence(Decimal("0.001"), Decimal(0), True, True)
@@ -97,6 +98,11 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(benchmark_cases(spark, sf_dir), m.RougeL())
 
 
+@query
+def rouge_l_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(conversation_cases(spark, sf_dir), m.RougeL())
+
+
 @query
 def rouge_l_beta2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(benchmark_cases(spark, sf_dir), m.RougeL(beta=2.0))
@@ -114,7 +120,7 @@ def sentence_bleu_unsmoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def levenshtein_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(benchmark_cases(spark, sf_dir), m.LevenshteinSimilarity())  # the SQL counterpart has the ASCII pairs only
+    return _scores(benchmark_cases(spark, sf_dir), m.LevenshteinSimilarity())
 
 
 def _numeric(spark: SparkSession, sf_dir: str, policy: UndefinedPolicy) -> DataFrame:
@@ -132,6 +138,20 @@ for _policy in (UndefinedPolicy.SKIP, UndefinedPolicy.ZERO, UndefinedPolicy.ONE)
     _numeric_query(_policy)
 
 
+@query
+def numeric_equivalence_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metric = m.NumericEquivalence(Decimal(0), Decimal("0.00001"), True, True)
+    return suite.score(number_cases(spark, sf_dir), metric, native=True).select("case_id", F.col("raw.score").alias("score"), F.col("raw.reason").alias("reason"))
+
+
+@query
+def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as JSON records and read back by the strict parser."""
+    rows = conversation_cases(spark, sf_dir).select("ordinal", F.to_json(F.struct(F.col("case_id").alias("id"), F.col("reference.text").alias("reference"), F.length("prediction.text").alias("prediction"), F.array("case_id").alias("tags"))).alias("line"))
+    cases = from_json_lines(rows, text="line", ordinal="ordinal")
+    return cases.select("ordinal", "case_id", F.col("reference.kind").alias("reference_kind"), F.col("reference.text").alias("reference"), F.col("prediction.kind").alias("prediction_kind"), F.col("prediction.text").alias("prediction"), F.get("tags", F.lit(0)).alias("tag"))
+
+
 @query
 def suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suite.summary(_numeric(spark, sf_dir, UndefinedPolicy.SKIP)).withColumn("mean_score", F.round("mean_score", 9))
@@ -143,6 +163,14 @@ def tag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suite.summarize_by_tag(results).withColumn("mean_score", F.round("mean_score", 9))
 
 
+@query
+def tag_summary_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags from the cases, joined to results that have none."""
+    cases = label_cases(spark, sf_dir)[0]
+    results = suite.evaluate(cases, m.ExactMatch(), UndefinedPolicy.SKIP, native=True, check=False).drop("tags")
+    return suite.summarize_by_tag(results, cases).withColumn("mean_score", F.round("mean_score", 9))
+
+
 @query
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -188,7 +216,34 @@ def audit_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def audit_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(benchmark_cases(spark, sf_dir), m.CharacterF1(), Contract(maximum=0.8, identity_score=None)).select("rule", "severity", "case_id")
+    return _findings(benchmark_cases(spark, sf_dir), m.CharacterF1(), Contract(maximum=0.8, identity_score=None)).select("rule", "severity", "case_id", F.col("observed").cast("double").alias("observed"))
+
+
+class Alternating:
+    """A metric with state: every second call gives one half."""
+
+    name = "alternating"
+
+    def __init__(self) -> None:
+        self.calls = 0
+
+    def evaluate(self, reference: Any, prediction: Any) -> MetricValue:
+        self.calls += 1
+        return MetricValue(1.0 if self.calls % 2 else 0.5)
+
+
+@query
+def audit_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case is evaluated twice within one call, so the metric's state shows."""
+    found = audits.audit(benchmark_cases(spark, sf_dir), Alternating(), Contract(identity_score=None))
+    return found.select("rule", "severity", "case_id", F.get("observed", F.lit(0)).alias("first"), F.get("observed", F.lit(1)).alias("again"))
+
+
+@query
+def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit of no cases: those whose reference is unlike itself."""
+    none = benchmark_cases(spark, sf_dir).where("reference.text <> reference.text")
+    return audits.audit(none, m.TokenF1(), native=True).select("rule", "severity", "case_id")
 
 
 @query
@@ -241,6 +296,19 @@ def markdown_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_rows(_numeric(spark, sf_dir, UndefinedPolicy.SKIP)).select("line")
 
 
+@query
+def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(escape_column(F.col("text"))).alias("escaped_md5"))
+
+
+@query
+def confidence_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of one run's scores, here of the candidate's less the baseline's."""
+    found = stats.confidence_interval(_deltas(spark, sf_dir), "delta", "ordinal", CONFIG)
+    row = (*(round(found[k], 9) + 0.0 for k in ("point", "lower", "upper")), found["samples"])
+    return spark.createDataFrame([row], "point double, lower double, upper double, samples bigint")
+
+
 @query
 def registry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in MetricRegistry.with_builtins().names], "name string")

@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,8 +126,6 @@ def load_cases(spark: SparkSession, path: str | Path) -> DataFrame:
         raise CaseFormatError(f"cannot read {source}: {e}") from e
 
     def parse(frames: Iterator[Any]) -> Iterator[Any]:
-        import pandas as pd
-
         for frame in frames:
             for content in frame["content"]:
                 try:
@@ -190,6 +189,33 @@ def from_records(spark: SparkSession, records: Iterable[dict[str, Any]]) -> Data
     return spark.createDataFrame([tuple(r.values()) for r in rows], CASES)
 
 
+def from_json_lines(lines: DataFrame, *, text: str, ordinal: str) -> DataFrame:
+    """Cases of a table with one JSON record a row, each parsed and checked like a line of a case file.
+
+    Blank and null lines are skipped. The first bad line in order of ``ordinal``
+    raises CaseFormatError; every line is parsed once for that and once for each use.
+    """
+    fields = "struct<" + ", ".join(f"{x.split(' ', 1)[0]}:{x.split(' ', 1)[1]}" for x in CASES.split(", ")) + ">"
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out: list[tuple[int, str | None, dict[str, Any] | None]] = []
+            for place, line in zip(frame["o"], frame["t"], strict=True):
+                if line is None or not line.strip():
+                    continue
+                try:
+                    out.append((place, None, case_of(strict_json(line), place)))
+                except ValueError as e:
+                    out.append((place, str(e), None))
+            yield pd.DataFrame(out, columns=["o", "error", "r"])
+
+    parsed = lines.select(F.col(ordinal).cast("bigint").alias("o"), F.col(text).alias("t")).mapInPandas(parse, f"o bigint, error string, r {fields}")
+    first = parsed.where("error is not null").agg(F.min(F.struct("o", "error"))).first()[0]
+    if first is not None:
+        raise CaseFormatError(f"invalid JSON at line {first.o}: {first.error}")
+    return parsed.select("r.*")
+
+
 def require_unique_ids(cases: DataFrame, what: str = "cases") -> DataFrame:
     """``cases``, or ValueError with all repeated ids in order."""
     twice = [r[0] for r in cases.groupBy("case_id").count().where("count > 1").orderBy("case_id").collect()]

@@ -84,6 +84,23 @@ def test_exact_mean_does_not_depend_on_partitions(spark):
     assert suite.exact_mean(df.limit(0), "x") is None
 
 
+def test_summary_means_are_exact(spark):
+    values = [1e17, 1.0, -1e17, 5e-324, 0.1, None]
+    df = spark.createDataFrame([(i, f"c{i}", v, v is None, ["t", "u"][: 1 + i % 2]) for i, v in enumerate(values)], "ordinal bigint, case_id string, resolved_score double, skipped boolean, tags array<string>").repartition(3)
+    mean = lambda xs: float(sum(map(Fraction, xs))) / len(xs)
+    assert suite.summary(df).first().mean_score == mean(values[:5])
+    assert [r.mean_score for r in suite.summarize_by_tag(df).collect()] == [mean(values[:5]), mean([1.0, 5e-324])]
+    assert suite.exact_mean(spark.createDataFrame([(math.inf,), (1.0,)], "x double"), "x") is None
+    one = suite.exact_sums(df, ["resolved_score", "ordinal"], ["skipped"]).orderBy("skipped").collect()
+    assert [(r.n_resolved_score, r.mean_ordinal) for r in one] == [(5, 2.0), (0, 5.0)] and one[1].mean_resolved_score is None
+
+
+def test_resampling_refuses_non_finite_scores(spark):
+    for bad in (math.nan, math.inf):
+        with pytest.raises(ValueError, match="finite"):
+            stats.confidence_interval(results(spark, [0.5, bad]))
+
+
 def test_tags(spark):
     df = build(spark, [("a", "a"), ("a", "b")], {0: ["short", "english"], 1: ["english"]})
     got = [tuple(r) for r in suite.summarize_by_tag(suite.evaluate(df, m.ExactMatch())).collect()]
@@ -198,6 +215,27 @@ def test_case_files(spark, tmp_path):
         src.load_cases(spark, tmp_path / "line.jsonl")
 
 
+def test_json_lines_of_a_table(spark):
+    lines = [(3, '{"id": "b", "reference": 1, "prediction": true}'), (1, '{"id": "a", "reference": "x", "prediction": {"k": null}, "tags": ["t"]}'), (2, "  "), (4, None)]
+    df = spark.createDataFrame(lines, "n bigint, line string")
+    rows = src.from_json_lines(df, text="line", ordinal="n").orderBy("ordinal").collect()
+    assert [(r.ordinal, r.case_id, r.prediction.kind, r.tags) for r in rows] == [(1, "a", "object", ["t"]), (3, "b", "bool", [])]
+    bad = df.union(spark.createDataFrame([(9, "{"), (7, '{"id": "c", "id": "d"}')], df.schema))
+    with pytest.raises(CaseFormatError, match="line 7"):
+        src.from_json_lines(bad, text="line", ordinal="n")
+    assert src.from_json_lines(df.limit(0), text="line", ordinal="n").count() == 0
+
+
+def test_errors_name_every_id(spark):
+    a = build(spark, [("1", "x")] * 150)
+    with pytest.raises(ValueError) as caught:
+        compare.require_aligned(a, a.where("ordinal <= 20"))
+    assert str(caught.value).count(",") == 129
+    with pytest.raises(ValueError) as caught:
+        src.require_unique_ids(a.union(a))
+    assert str(caught.value).count(",") == 149
+
+
 class Entry:
     def __init__(self, name, loaded, value="v"):
         self.name, self.loaded, self.value, self.loads = name, loaded, value, 0
