@@ -319,7 +319,7 @@ def _set_table(docs: DataFrame, filled: np.ndarray, rule: Rule) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """(u, v) of the pairs (a, u, b, v) of sets and their documents that are similar enough.
+    """(u, v), perhaps repeated, of the pairs (a, u, b, v) of sets and their documents that are similar enough.
 
     The sets are made again from the texts, of the documents in the pairs alone.
     """
@@ -341,7 +341,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     sets = _set_table(docs, _bloom(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), bits), rule)
     first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("doc_id").alias("u"), F.col("members").alias("x")), ["a", "u"])
     second = first.join(sets.select(F.col("sid").alias("b"), F.col("doc_id").alias("v"), F.col("members").alias("y")), ["b", "v"])
-    return second.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint").distinct()
+    return second.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint")
 
 
 def _last_meeting(rows: DataFrame, rule: Rule, limit: int) -> DataFrame:
@@ -361,13 +361,15 @@ def _last_meeting(rows: DataFrame, rule: Rule, limit: int) -> DataFrame:
     return met.where(_near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)).select("a", "u", "b", "v")
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 1) -> DataFrame:
     """``docs(doc_id, text)`` to (doc_id, n_shingles, component_id, set_id), one row a row.
 
     component_id is the smallest doc_id that links reach. Rows without words
     have the empty set and stand alone, as do rows with a null doc_id (their
     component_id is null). Rows with one doc_id but different texts are
-    separate sets. Other columns are ignored.
+    separate sets. Other columns are ignored. Any number of ``star_rounds``, in
+    which a long list meets one more leader, gives the same components; a round
+    costs a pass over the texts and saves the last meeting work.
     """
     own = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     known = own.where(F.col("doc_id").isNotNull())
@@ -397,9 +399,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
     right = reps.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("v"), F.col("bits").alias("y"))
     first = lists.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b")
     pairs = store(first.where(_near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)).select("a", "u", "b", "v"), "pairs")
-    links = store(_verified(pairs, known, rule), "links")
+    roots = components(_verified(pairs, known, rule))
     release(lists, pairs)
-    roots = components(links)
     for turn in range(star_rounds + 1):
         labelled = (
             long.join(reps.select("sid", "rep"), "sid")
@@ -416,9 +417,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
             met = _last_meeting(rows.select("key", "slots", "slot", "a", "root").join(left, "a"), rule, limit)
         more = store(met.select("a", "u", "b", "v").distinct(), "pairs")
         if not more.isEmpty():
-            before, links = links, store(links.union(_verified(more, known, rule)), "links")
-            release(before)
-            roots = components(links)
+            # what is settled goes on as stars: a link a node, however many links made it
+            roots = components(_verified(more, known, rule).union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
         release(more)
     found = reps.select("sid", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("root", "rep").alias("root"))
     return members.join(found, "sid", "left").select(
