@@ -13,7 +13,6 @@ test, and only members of different components of one list meet afterwards.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +37,8 @@ _SHORT, _LEADERS = 6, 2
 _BLOOM, _BLOOM_MOST, _BLOOM_SHIFTS = 22, 27, (0, 18, 36)
 #: From so many sets on, one shingle's list is dealt to several tasks, to so many where only the key is known.
 _SPLIT, _SALTS = 2048, 64
-#: Rows of one list that meet in one task afterwards.
-_LIST_ROWS = 1024
+#: Rows of one list that meet as many in one task afterwards, and pairs of them that are screened at once.
+_LIST_ROWS, _PAIRS_AT_ONCE = 2048, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -344,21 +343,103 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return second.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint")
 
 
+def _folded(bits: list[np.ndarray], words: np.ndarray, to: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bitmaps of at least ``to`` words, combined down to ``to``, and each one's row in that matrix."""
+    at = np.flatnonzero(words >= to)
+    place = np.full(len(words), -1)
+    place[at] = np.arange(len(at))
+    return np.stack([np.bitwise_xor.reduce(bits[i].reshape(-1, to), axis=0) for i in at.tolist()]), place
+
+
+def _pairs_in_block(n: np.ndarray, root: np.ndarray, slot: np.ndarray, bits: list[np.ndarray], least: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different roots whose sizes and bits leave room, the larger one over ``least``.
+
+    Where the block joins two slots, only pairs across them. Rows are taken by
+    size, so that very different sizes never meet.
+    """
+    order = np.argsort(n, kind="stable")
+    n, root, slot = n[order].astype(np.int64), root[order], slot[order]
+    bits = [bits[i] for i in order.tolist()]
+    words = np.array([len(x) for x in bits])
+    across = slot.min() != slot.max()
+    ends = np.searchsorted(n * rule.num, n * rule.den, "right")
+    counts = np.maximum(ends - np.arange(len(n)) - 1, 0)
+    reach = np.cumsum(counts)
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    lo = 0
+    while lo < len(n):
+        done = int(reach[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(reach, done + _PAIRS_AT_ONCE, "right")))
+        own = counts[lo:hi]
+        i = np.repeat(np.arange(lo, hi), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(reach[lo:hi] - own - done, own)
+        ok = (root[i] != root[j]) & (n[j] > least)
+        if across:
+            ok &= slot[i] != slot[j]
+        i, j = i[ok], j[ok]
+        shorter = np.minimum(words[i], words[j])
+        for w in np.unique(shorter).tolist():
+            if w not in folded:
+                folded[w] = _folded(bits, words, w)
+            table, place = folded[w]
+            x, y = i[shorter == w], j[shorter == w]
+            apart = np.bitwise_count((table[place[x]] ^ table[place[y]]).view(_U)).sum(axis=1, dtype=np.int64)
+            near = apart * (rule.den + rule.num) <= (n[x] + n[y]) * (rule.den - rule.num)
+            left.append(order[x[near]])
+            right.append(order[y[near]])
+        lo = hi
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _last_meeting(rows: DataFrame, rule: Rule, limit: int) -> DataFrame:
     """Pairs (a, u, b, v) of sets in one list whose components differ and whose sizes and bits leave room.
 
-    A list meets in blocks of ``_LIST_ROWS`` by as many rows, and within them by
-    classes of size: similar sets are at most one class apart. So no task has a
-    whole list, and pairs of very different sizes never meet.
+    A list meets in blocks of ``_LIST_ROWS`` by as many rows, so no task has a
+    whole list. A row goes once to each block of its slot.
     """
-    size_class = F.floor(F.log(F.col("na").cast("double")) / math.log(rule.den / rule.num)).cast("int")
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)
-    classed = rows.withColumn("c", size_class)
-    first = classed.withColumn("slot2", F.explode(every)).withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
-    second = classed.select("key", F.col("slot").alias("slot2"), F.col("a").alias("b"), F.col("na").alias("nb"), F.col("u").alias("v"), F.col("x").alias("y"), F.col("root").alias("root2"), "c", F.explode(every).alias("slot"))
-    kinds = (F.col("key") % 2 != 0) | (F.greatest("na", "nb") > limit)
-    met = first.join(second, ["key", "slot", "slot2", "c"]).where((F.col("root") < F.col("root2")) & kinds)
-    return met.where(_near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)).select("a", "u", "b", "v")
+    schema = pa.schema([(c, pa.int64()) for c in "aubv"])
+    spark = rows.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def met(table: pa.Table) -> pa.RecordBatch | None:
+            table = table.combine_chunks()
+            key, first, second, slot, a, n, u, root = (table.column(i).to_numpy() for i in range(8))
+            if len(key) < 2 or (root == root[0]).all() or (first[0] != second[0] and (slot == slot[0]).all()):
+                return None
+            lists = table.column(8).chunk(0)
+            offsets = lists.offsets.to_numpy()
+            data = lists.values.to_numpy()
+            bits = [data[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            i, j = _pairs_in_block(n, root, slot, bits, 0 if key[0] & 1 else limit, rule)
+            i, j = np.where(root[i] < root[j], i, j), np.where(root[i] < root[j], j, i)
+            return batch_of(schema, a[i], u[i], a[j], u[j]) if len(i) else None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = [batch.column(i).to_numpy() for i in range(3)]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in block], axis=0)) + 1
+            if waiting and any(waiting[-1].column(i)[-1].as_py() != int(c[0]) for i, c in enumerate(block)):
+                cuts = np.append(0, cuts)
+            lo = 0
+            for hi in cuts.tolist():
+                out = met(pa.Table.from_batches([*waiting, batch.slice(lo, hi - lo)]))
+                waiting, lo = [], hi
+                if out is not None:
+                    yield out
+            waiting.append(batch.slice(lo))
+        if waiting and (out := met(pa.Table.from_batches(waiting))) is not None:
+            yield out
+
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1))
+    blocks = rows.withColumn("t", other).select(
+        "key", F.least("slot", "t").alias("s"), F.greatest("slot", "t").alias("t"), "slot", "a", F.col("na").cast("int").alias("na"), "u", "root", "x"
+    )
+    dealt = blocks.repartition(partitions(spark), "key", "s", "t").sortWithinPartitions("key", "s", "t")
+    return dealt.mapInArrow(run, "a bigint, u bigint, b bigint, v bigint")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int = 2) -> DataFrame:
