@@ -320,7 +320,8 @@ def _set_table(docs: DataFrame, filled: np.ndarray, rule: Rule) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """(u, v), perhaps repeated, of the pairs (a, u, b, v) of sets and their documents that are similar enough.
 
-    The sets are made again from the texts, of the documents in the pairs alone.
+    The sets are made again from the texts, of the documents in the pairs alone,
+    and stand as a table until the links do.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -337,10 +338,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 yield batch_of(schema, batch.column(0).take(at), batch.column(1).take(at))
 
     bits = min(_BLOOM_MOST, max(_BLOOM, (16 * pairs.count()).bit_length()))
-    sets = _set_table(docs, _bloom(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), bits), rule)
+    sets = store(_set_table(docs, _bloom(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), bits), rule), "members")
     first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("doc_id").alias("u"), F.col("members").alias("x")), ["a", "u"])
     second = first.join(sets.select(F.col("sid").alias("b"), F.col("doc_id").alias("v"), F.col("members").alias("y")), ["b", "v"])
-    return second.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint")
+    links = store(second.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint"), "links")
+    release(sets)
+    return links
 
 
 def _folded(bits: list[np.ndarray], words: np.ndarray, to: int) -> tuple[np.ndarray, np.ndarray]:
