@@ -455,6 +455,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
     which a long list meets one more leader, gives the same components; a round
     costs a pass over the texts and saves the last meeting work.
     """
+
+    def sides(of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(of.select(*(F.col(c).alias(d) for c, d in zip(("sid", "n", "rep", "bits"), names, strict=True))) for names in (("a", "na", "u", "x"), ("b", "nb", "v", "y")))
+
     own = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     known = own.where(F.col("doc_id").isNotNull())
     facts = store(_describe(own, rule), "sets")
@@ -479,15 +483,18 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
     alike = every.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("sid")).alias("h")).groupBy("n", "h", F.col("key") % 2).agg(F.min("key").alias("key"))
     salted = alike.select("key", F.expr(f"n div {_LIST_ROWS} + 1").alias("slots"), F.explode(F.sequence(F.lit(0).cast("bigint"), dealt(F.lit(_SALTS - 1)).cast("bigint"))).alias("salt"))
     long = store(every.join(salted, ["key", "salt"]).select("key", "sid", "slots", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("slots")).alias("slot")), "long")
-    left = reps.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rep").alias("u"), F.col("bits").alias("x"))
-    right = reps.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("v"), F.col("bits").alias("y"))
+    left, right = sides(reps)
     first = lists.where("kind = 0").select("a", "b").distinct().join(left, "a").join(right, "b")
     pairs = store(first.where(_near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)).select("a", "u", "b", "v"), "pairs")
-    roots = components(_verified(pairs, known, rule))
-    release(lists, pairs)
+    links = _verified(pairs, known, rule)
+    roots = components(links)
+    release(lists, pairs, links)
+    # only sets of long lists meet again
+    held = store(reps.join(long.select("sid").distinct(), "sid", "left_semi"), "held")
+    left, right = sides(held)
     for turn in range(star_rounds + 1):
         labelled = (
-            long.join(reps.select("sid", "rep"), "sid")
+            long.join(held.select("sid", "rep"), "sid")
             .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
             .select("key", "slots", "slot", F.col("sid").alias("a"), F.coalesce("root", "rep").alias("root"))
         )
@@ -502,8 +509,11 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
         more = store(met.select("a", "u", "b", "v").distinct(), "pairs")
         if not more.isEmpty():
             # what is settled goes on as stars: a link a node, however many links made it
-            roots = components(_verified(more, known, rule).union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+            links = _verified(more, known, rule)
+            roots = components(links.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+            release(links)
         release(more)
+    release(held, long)
     found = reps.select("sid", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("sid", F.coalesce("root", "rep").alias("root"))
     return members.join(found, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"), F.col("sid").alias("set_id")
