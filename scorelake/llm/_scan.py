@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK = 1024
-_CHUNK = 1 << 18
 
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -24,55 +24,55 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
-BYTES_LOWER = BYTES.copy()
-BYTES_LOWER[65:91] = BYTES[97:123]
-#: A second, independent pair of tables.
-OTHER_BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
-OTHER_LOWER = OTHER_BYTES.copy()
-OTHER_LOWER[65:91] = OTHER_BYTES[97:123]
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & _MASK, U64)
-    out[0] = 1
-    return np.cumprod(out, dtype=U64)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Slices longer than this are hashed and compared by library calls, one at a time.
+_LONG = 64
+
+
+def chunks_of(data: np.ndarray) -> np.ndarray:
+    """Entry i is ``data[i:i+8]`` as a little-endian number; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each ``data[start:end]``; ``lower`` takes A-Z for a-z, another ``salt`` gives an independent hash.
+
+    Chunks of eight bytes are mixed one after another, so every chunk passes
+    through the mixer with all before it; long slices take a keyed BLAKE2.
+    """
+    data = LOWER[data] if lower else data
+    chunks, sizes = chunks_of(data), ends - starts
+    h = mix((chunks[starts] & _MASKS[np.minimum(sizes, 8)]) + U64((salt * _BASE) & _MASK))
+    h = mix(h ^ (sizes.astype(U64) + U64(1)) * U64(_BASE))
+    more = np.flatnonzero((sizes > 8) & (sizes <= _LONG))
+    k = 8
+    while len(more):
+        h[more] = mix(h[more] ^ (chunks[starts[more] + k] & _MASKS[np.minimum(sizes[more] - k, 8)]))
+        k += 8
+        more = more[sizes[more] > k]
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
-_FINE, _FINE_INV = _powers(_BASE, _BLOCK), _powers(pow(_BASE, -1, 1 << 64), _BLOCK)
-_coarse = [_powers(pow(_BASE, _BLOCK, 1 << 64), 1024), _powers(pow(_BASE, -_BLOCK, 1 << 64), 1024)]
-
-
-def _coarse_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_coarse[0]) < n:
-        _coarse[:] = [_powers(pow(_BASE, _BLOCK, 1 << 64), 2 * n), _powers(pow(_BASE, -_BLOCK, 1 << 64), 2 * n)]
-    return _coarse[0], _coarse[1]
-
-
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTES) -> np.ndarray:
-    """A hash of each ``data[start:end]`` (ascending, disjoint slices), from prefix sums of a polynomial."""
-    out = np.empty(len(starts), U64)
-    i, n = 0, len(starts)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _CHUNK)))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        m = -(-(hi - lo) // _BLOCK) or 1
-        up, down = _coarse_powers(m)
-        v = np.zeros(m * _BLOCK, U64)
-        v[: hi - lo] = table[data[lo:hi]]
-        grid = v.reshape(m, _BLOCK)
-        grid *= _FINE
-        grid *= up[:m, None]
-        sums = np.empty(m * _BLOCK + 1, U64)
-        sums[0] = 0
-        np.cumsum(v, out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        h = (sums[e] - sums[s]) * down[s >> 10]
-        h *= _FINE_INV[s & (_BLOCK - 1)]
-        h += (e - s).astype(U64) * U64(0xA0761D6478BD642F)
-        out[i:j] = mix(h)
-        i = j
-    return out
+def same_slices(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether each pair of slices of the given sizes has the same bytes."""
+    left = chunks_of(a)
+    right = left if a is b else chunks_of(b)
+    at = np.arange(len(sizes))
+    k = 0
+    while len(at):
+        mask = _MASKS[np.minimum(sizes[at] - k, 8)]
+        if ((left[a_starts[at] + k] ^ right[b_starts[at] + k]) & mask).any():
+            return False
+        k += 8
+        at = at[sizes[at] > k]
+        if k == _LONG:
+            break
+    return all(np.array_equal(a[x : x + n], b[y : y + n]) for x, y, n in zip(a_starts[at].tolist(), b_starts[at].tolist(), sizes[at].tolist(), strict=True))
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,6 +94,12 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & _MASK, U64)
+    out[0] = 1
+    return np.cumprod(out, dtype=U64)
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each ``k`` consecutive entries; there are ``len(words) - k + 1`` (or none)."""
     n = len(words)

@@ -5,7 +5,7 @@ codepoint is a function from state to state; functions compose associatively,
 so blocks of text are composed side by side, the blocks' functions are scanned
 by doubling, and a last sweep with known states marks the boundaries. No
 regular expression runs over a text. Each distinct piece is merged once and kept
-in a bounded cache keyed by two hashes and its length.
+in a bounded cache that compares bytes.
 
 The automaton stands for the public pattern of ``public_tokenizers.PATTERN``:
 contractions, letters, numbers and other signs with one optional space before

@@ -57,7 +57,7 @@ class Rule:
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row (A-Z are lower-cased)."""
     starts, ends, reach = _scan.word_bounds(data, offsets)
-    words = _scan.slice_hashes(data, starts, ends, _scan.BYTES_LOWER)
+    words = _scan.slice_hashes(data, starts, ends, lower=True)
     grams = _scan.window_hashes(words, k)
     out = []
     for lo, hi in zip(reach[:-1].tolist(), reach[1:].tolist(), strict=True):

@@ -41,8 +41,8 @@ _PLACES_A_ROW = 8
 _HELD = 1 << 19
 #: Copies of one text that meet in one task, and the most texts that are dealt to several.
 _SLOT_ROWS, _SLOTTED = 1024, 50_000
-#: Sets the second hash of a window apart from the first.
-_OTHER = np.uint64(0x9FB21C651E98DF25)
+#: Salt of the words' second hash, so that the two hashes of a window have nothing in common.
+_OTHER = 1
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -67,6 +67,7 @@ class _Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, anchor: int):
         self.starts, self.ends, self.reach = _scan.word_bounds(data, offsets)
+        self.data = data
         self.hashes = _scan.slice_hashes(data, self.starts, self.ends)
         self.grams = _scan.window_hashes(self.hashes, anchor)
         counts = np.diff(self.reach)
@@ -77,6 +78,10 @@ class _Words:
         picked = sliding_argmin(self.grams, length - anchor + 1) if len(self.windows) else np.empty(0, np.int64)
         self.selected = picked[self.windows]
 
+    def other_hashes(self) -> np.ndarray:
+        """Hashes of the words that are independent of ``hashes``."""
+        return _scan.slice_hashes(self.data, self.starts, self.ends, salt=_OTHER)
+
 
 def _planes(x: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of integers, byte by byte, so that small numbers compress."""
@@ -278,7 +283,7 @@ def repeated_windows(texts: DataFrame, length: int = 35, anchor: int = 16, slots
                 if not len(at):
                     continue
                 keys = own.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                values, checks = (_scan.window_hashes(x, length)[at] for x in (w.hashes, _scan.mix(w.hashes + _OTHER)))
+                values, checks = (_scan.window_hashes(x, length)[at] for x in (w.hashes, w.other_hashes()))
                 out = held.add(values, checks, keys[w.row[at]], at - w.first[at])
                 if out is not None:
                     yield out

@@ -2,7 +2,7 @@
 
 The public word-level BPE vocabulary drops white space and never merges over it,
 so a text's ids are the ids of its white-space-separated words in order. Words
-are looked up in one bounded cache by two hashes and their length; the library
+are looked up in one bounded cache that compares their bytes; the library
 encodes each word that the cache lacks.
 """
 
@@ -31,7 +31,7 @@ class WordEncoder:
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         between = self._plain(_BETWEEN.decode())
         self.between = between[0] if len(between) == 1 else None
-        self.cache = SliceCache(capacity, np.int32, (_scan.BYTES_LOWER, _scan.OTHER_LOWER))
+        self.cache = SliceCache(capacity, np.int32, lower=True)
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids

@@ -69,7 +69,7 @@ def test_windows_with_one_hash(spark, monkeypatch):
     data = [t.encode() for t in texts]
     raw, offsets = np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data])))
     w = substring._Words(raw, offsets, 6, 3)
-    values, checks = (substring._scan.window_hashes(x, 6)[w.windows] for x in (w.hashes, substring._scan.mix(w.hashes + substring._OTHER)))
+    values, checks = (substring._scan.window_hashes(x, 6)[w.windows] for x in (w.hashes, w.other_hashes()))
     assert not values.any() and len(set(checks.tolist())) == len({t for x in texts for t in zip(*[x.split()[k:] for k in range(6)], strict=False)})
     hits = substring._settle(values, checks, w.row[w.windows].astype(np.uint64), w.windows - w.first[w.windows], 1, 8)
     found = [substring._unpack(x.as_py(), 8, True) for x in hits.column(1)]
