@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 
 U64 = np.uint64
 _MASK = (1 << 64) - 1
@@ -75,11 +76,28 @@ def same_slices(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np
     return all(np.array_equal(a[x : x + n], b[y : y + n]) for x, y, n in zip(a_starts[at].tolist(), b_starts[at].tolist(), sizes[at].tolist(), strict=True))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of rows, and each row's range of words."""
+def distinct_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each slice, equal for equal bytes, and the first slice with each number."""
+    codes, keys = pd.factorize(slice_hashes(data, starts, ends))
+    sizes = ends - starts
+
+    def firsts(n: int) -> np.ndarray:
+        first = np.empty(n, np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        return first
+
+    same = firsts(len(keys))[codes]
+    if (sizes[same] != sizes).any() or not same_slices(data, starts, data, starts[same], sizes):  # two slices with one hash
+        raw = data.tobytes()
+        codes, keys = pd.factorize(np.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object))
+    return codes, firsts(len(keys))
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = WHITESPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of rows, and each row's range of words; ``space`` marks other bytes that end a word."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    ink = ~WHITESPACE[data]
+    ink = ~space[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     heads = offsets[:-1]

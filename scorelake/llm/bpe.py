@@ -16,19 +16,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._cache import SliceCache
+from ._cache import SliceCache, gathered
 from ._io import batch_of, row_slices, text_buffers
 
 # Symbols: letter, number, other, apostrophe before a contraction of one or of two letters,
 # white space before white space or the end, a last space, another last white space.
-_LETTER, _NUMBER, _OTHER, _ONE, _TWO, _INNER, _SPACE, _LAST = range(8)
+LETTER, NUMBER, OTHER, _ONE, _TWO, _INNER, _SPACE, _LAST = range(8)
 # States: inside letters, numbers, others or white space; a space that the next run takes;
 # one or two letters of a contraction to come; nothing open.
 _IN_L, _IN_N, _IN_O, _IN_W, _TAKEN, _NEED1, _NEED2, _FREE = range(8)
@@ -38,15 +38,15 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Next state and boundary-before for each symbol (rows; 8 more where a text begins) and state."""
     after = np.empty((16, 8), np.uint8)
     cut = np.ones((16, 8), bool)
-    after[_LETTER], after[_NUMBER], after[_OTHER] = _IN_L, _IN_N, _IN_O
+    after[LETTER], after[NUMBER], after[OTHER] = _IN_L, _IN_N, _IN_O
     after[_ONE], after[_TWO] = _NEED1, _NEED2
     after[_INNER], after[_SPACE], after[_LAST] = _IN_W, _TAKEN, _FREE
-    after[_LETTER, _NEED1], after[_LETTER, _NEED2] = _FREE, _NEED1
-    cut[_LETTER, [_IN_L, _TAKEN, _NEED1, _NEED2]] = False
-    cut[_NUMBER, [_IN_N, _TAKEN]] = False
+    after[LETTER, _NEED1], after[LETTER, _NEED2] = _FREE, _NEED1
+    cut[LETTER, [_IN_L, _TAKEN, _NEED1, _NEED2]] = False
+    cut[NUMBER, [_IN_N, _TAKEN]] = False
     for apostrophe in (_ONE, _TWO):
         after[apostrophe, [_IN_O, _TAKEN]] = _IN_O
-    for sign in (_OTHER, _ONE, _TWO):
+    for sign in (OTHER, _ONE, _TWO):
         cut[sign, [_IN_O, _TAKEN]] = False
     cut[_INNER, _IN_W] = False
     after[8:] = after[:8, _FREE][:, None]
@@ -59,13 +59,14 @@ _WIDTH = 64
 _classes: list[np.ndarray] = []
 
 
-def _classes_of_codepoints() -> np.ndarray:
+def classes_of_codepoints() -> np.ndarray:
+    """The class of each codepoint: letter, number, other or white space."""
     if not _classes:
         import regex
 
-        table = np.full(0x110000, _OTHER, np.uint8)
+        table = np.full(0x110000, OTHER, np.uint8)
         every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        for pattern, symbol in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER), (r"\p{White_Space}+", _INNER)):
+        for pattern, symbol in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", _INNER)):
             for m in regex.finditer(pattern, every):
                 lo, hi = m.span()
                 table[np.frombuffer(every[lo:hi].encode("utf-32-le"), "<u4")] = symbol
@@ -73,10 +74,10 @@ def _classes_of_codepoints() -> np.ndarray:
     return _classes[0]
 
 
-def _symbols(points: np.ndarray, heads: np.ndarray) -> np.ndarray:
+def _symbols(points: np.ndarray, heads: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Symbols of codepoints; ``heads`` marks the first of each text."""
     n = len(points)
-    out = _classes_of_codepoints()[points]
+    out = classes[points]
     white = out == _INNER
     ends = np.empty(n, bool)
     ends[:-1] = heads[1:]
@@ -99,14 +100,14 @@ def _symbols(points: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundaries(points: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """True where a piece begins."""
+def boundaries(points: np.ndarray, heads: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
+    """True where a piece begins; ``classes`` stands in for ``classes_of_codepoints``."""
     n = len(points)
     if not n:
         return np.zeros(0, bool)
     rows = -(-n // _WIDTH)
-    symbols = np.full(rows * _WIDTH, _OTHER, np.uint8)
-    symbols[:n] = _symbols(points, heads)
+    symbols = np.full(rows * _WIDTH, OTHER, np.uint8)
+    symbols[:n] = _symbols(points, heads, classes_of_codepoints() if classes is None else classes)
     columns = np.ascontiguousarray(symbols.reshape(rows, _WIDTH).T).astype(np.uint16) << 3
     whole = np.tile(np.arange(8, dtype=np.uint8), (rows, 1))
     for column in columns:
@@ -126,7 +127,7 @@ def boundaries(points: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return marks.T.ravel()[:n]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, offsets: np.ndarray, classes: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts of all pieces of rows of UTF-8 bytes, and each row's range of pieces."""
     if not len(data):
         return np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -136,7 +137,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     heads = np.zeros(len(points), bool)
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
     heads[np.searchsorted(at, firsts)] = True
-    starts = at[boundaries(points, heads)]
+    starts = at[boundaries(points, heads, classes(points) if classes else None)]
     return starts, np.searchsorted(starts, offsets)
 
 
@@ -149,22 +150,25 @@ class ByteBpe:
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self._merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        size = max(ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in ranks.items():
-            tokens[rank] = token
+        self._set_tokens({rank: token for token, rank in ranks.items()}, capacity)
+
+    def _set_tokens(self, words: dict[int, bytes], capacity: int) -> None:
+        tokens = [words.get(i, b"") for i in range(max(words) + 1)]
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.token_lengths = np.array([len(t) for t in tokens], np.int64)
         self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
         self.cache = SliceCache(capacity, np.uint32)
 
+    #: Classes for the given codepoints, where they aren't ``classes_of_codepoints``.
+    _classes: Callable[[np.ndarray], np.ndarray] | None = None
+
     def _learn(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         merged = [self._merge(piece) for piece in found]
         return np.array([i for m in merged for i in m], np.uint32), np.array([len(m) for m in merged], np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and each row's offsets in them."""
-        starts, rows = pieces(data, offsets)
+        starts, rows = pieces(data, offsets, self._classes)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
@@ -178,9 +182,7 @@ class ByteBpe:
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of ids, and each id's offsets in them."""
-        lengths = self.token_lengths[ids]
-        reach = np.concatenate(([0], np.cumsum(lengths)))
-        return self.token_bytes[np.repeat(self.token_starts[ids] - reach[:-1], lengths) + np.arange(reach[-1])], reach
+        return gathered(self.token_bytes, self.token_starts[ids], self.token_lengths[ids])
 
 
 _coders: dict[str, ByteBpe] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gif, htmltext, jaccard, packing, quality, rules, substring, tokenfile, urlrules
+from . import align, bpe, collocations, gif, htmltext, jaccard, packing, quality, rules, substring, tokenfile, urlrules, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,6 +86,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrase_collocations(_documents(spark, sf_dir).select("lang", "text"))
+
+
+@query
+def op12_best_fit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_windows(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_counts(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLES["op1_ngram_jaccard"] = f"""
@@ -132,3 +147,28 @@ c AS (SELECT page_id, block, unnest(range(i, i + 6)) AS place FROM h SEMI JOIN m
 n AS (SELECT page_id, count(DISTINCT (block, place)) AS n FROM c GROUP BY page_id)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars, CAST(coalesce(n.n, 0) AS BIGINT) AS n_boilerplate FROM t LEFT JOIN n USING (page_id)
 """
+
+ORACLES["op11_phrase_collocations"] = r"""
+WITH
+d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, k, unnest(CASE WHEN len(ws) >= k THEN list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' ')) ELSE [] END) AS phrase
+  FROM w, (VALUES (1), (2), (3), (4)) v(k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+x AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT x.lang, x.phrase, x.a, x.cut, l.a AS l, r.a AS r, (CAST(2000000 AS HUGEINT) * x.a) // (l.a + r.a) AS score
+  FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.ws[1:x.cut], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.ws[x.cut + 1:x.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+e AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, array_to_string(ws[1:k - 1], ' ') AS phrase, a FROM c UNION ALL SELECT lang, array_to_string(ws[2:k], ' ') AS phrase, a FROM c) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, n.n, CAST(score AS BIGINT) AS score
+FROM b JOIN n USING (lang) LEFT JOIN e ON e.lang = b.lang AND e.phrase = b.phrase
+WHERE NOT coalesce(100 * CAST(e.longer AS HUGEINT) >= 80 * CAST(b.a AS HUGEINT), false)
+QUALIFY rank <= 2000
+"""
