@@ -35,7 +35,7 @@ from ._io import batch_of, row_slices, store, text_buffers
 #: Words in the longest phrase.
 ORDER = 4
 #: Bytes of text that are cut into windows at once, and bytes of text whose windows meet in one task; raise the second with the executors' memory.
-BLOCK_BYTES, PARTITION_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, PARTITION_BYTES = 6 << 20, 12 << 20
 #: Phrases of a part of a count stream.
 STREAM_ROWS = 50_000
 #: Rows whose windows choose the partitions' edges, and about as many windows of them that come to the driver. Edges decide the balance, not the result.
@@ -64,52 +64,54 @@ def _sorted_words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tu
 
 
 class Windows:
-    """Distinct windows in prefix order: columns lang and four words (0: none, else rank + 1), counts, and the words' bytes."""
-
-    def __init__(self, columns: np.ndarray, counts: np.ndarray, langs: list[str], raw: np.ndarray, reach: np.ndarray):
-        v = len(reach)  # words and one more
-        high = (columns[0] * v + columns[1]) * v + columns[2]
-        highs, at_high = np.unique(high, return_inverse=True)
-        lows, at_low = np.unique(columns[3] * v + columns[4], return_inverse=True)
-        both = at_high * len(lows) + at_low
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.empty(0, np.int64)
+    """Distinct windows in prefix order, with counts and the words' bytes.
+
+    A window is two numbers: ``high`` from lang and the first two words, ``low`` from
+    the other two, where a word is its rank plus one, and 0 is none.
+    """
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, counts: np.ndarray, langs: list[str], raw: np.ndarray, reach: np.ndarray):
+        self.v, self.langs, self.raw, self.reach = len(reach), langs, raw, reach
+        order = np.lexsort((low, high))
+        high, low = high[order], low[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        first = np.flatnonzero(fresh)
+        self.high, self.low = high[first], low[first]
         self.counts = np.add.reduceat(counts[order], first) if len(first) else np.empty(0, np.int64)
-        x, y = highs[both[first] // len(lows)] if len(first) else both, lows[both[first] % len(lows)] if len(first) else both
-        self.columns = np.stack((x // v // v, x // v % v, x % v, y // v, y % v))
-        self.langs, self.raw, self.reach = langs, raw, reach
+
+    def level(self, k: int, rows: Any) -> np.ndarray:
+        """Column ``k`` of some rows: 0 the lang, then the words."""
+        v = self.v
+        return (self.high[rows] // (v * v), self.high[rows] // v % v, self.high[rows] % v)[k] if k < 3 else (self.low[rows] // v, self.low[rows] % v)[k - 3]
 
     def edges(self, bounds: list[tuple[bytes, ...]]) -> list[int]:
         """The first window that is not before each bound."""
-        raw = self.raw.tobytes()
+        raw, v = self.raw.tobytes(), self.v
         words = [raw[a:b] for a, b in zip(self.reach[:-1].tolist(), self.reach[1:].tolist(), strict=True)]
         langs = [x.encode() for x in self.langs]
-        out = []
+        highs, lows = [], []
         for bound in bounds:
-            lo, hi = 0, len(self.counts)
-            for level, value in enumerate(bound):
-                names = words if level else langs
-                place = bisect_left(names, value) if value or not level else -1
-                exact = place < 0 or place < len(names) and names[place] == value
-                number = place + (level > 0)
-                own = self.columns[level][lo:hi]
-                hi = lo + int(np.searchsorted(own, number, "right")) if exact else hi
-                lo += int(np.searchsorted(own, number))
-                if not exact or lo == hi:
-                    break
-            out.append(lo)
-        return out
+            numbers, exact = [], True
+            for k, value in enumerate(bound):
+                names = words if k else langs
+                place = bisect_left(names, value) if exact else 0
+                numbers.append(place + (k > 0) if exact and (value or not k) else 0)
+                exact = exact and (bool(k and not value) or place < len(names) and names[place] == value)
+            highs.append((numbers[0] * v + numbers[1]) * v + numbers[2])
+            lows.append(numbers[3] * v + numbers[4])
+        low, high = (np.searchsorted(self.high, np.array(highs, np.int64), side).tolist() for side in ("left", "right"))
+        return [a + int(np.searchsorted(self.low[a:b], x)) for a, b, x in zip(low, high, lows, strict=True)]
 
     def packed(self, lo: int, hi: int) -> bytes:
         """A run of windows with its own words."""
-        columns = self.columns[:, lo:hi]
+        columns = np.stack([self.level(k, slice(lo, hi)) for k in range(ORDER + 1)])
         used = np.unique(columns[1:])
         used = used[used > 0]
         sizes = np.diff(self.reach)[used - 1]
         raw, _ = gathered(self.raw, self.reach[:-1][used - 1], sizes)
-        local = np.searchsorted(used, columns[1:]) + (columns[1:] > 0)
-        buffers = [np.stack((columns[0], *local)).astype("<i4").tobytes(), self.counts[lo:hi].astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), raw.tobytes()]
+        columns[1:] = np.searchsorted(used, columns[1:]) + (columns[1:] > 0)
+        buffers = [columns.astype("<i4").tobytes(), self.counts[lo:hi].astype("<i8").tobytes(), sizes.astype("<i4").tobytes(), raw.tobytes()]
         whole = np.array([len(b) for b in buffers], "<i8").tobytes() + b"".join(buffers)
         return len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True)
 
@@ -117,25 +119,27 @@ class Windows:
         """Every ``step``-th window as bytes of lang and words."""
         raw = self.raw.tobytes()
         word = lambda k: raw[self.reach[k - 1] : self.reach[k]] if k else b""
-        return [(self.langs[x[0]].encode(), *(word(k) for k in x[1:])) for x in self.columns[:, ::step].T.tolist()]
+        rows = zip(*(self.level(k, slice(None, None, step)).tolist() for k in range(ORDER + 1)), strict=True)
+        return [(self.langs[x[0]].encode(), *(word(k) for k in x[1:])) for x in rows]
 
     def phrases(self, least: int) -> pa.RecordBatch:
         """Counts of all phrases that begin a window: at least ``least``, or at an edge of the run. The empty phrase counts all words."""
         langs: list[np.ndarray] = []
         texts: list[pa.Array] = []
         totals: list[np.ndarray] = []
+        every = slice(None)
         changed = np.zeros(len(self.counts), bool)
         changed[:1] = True
-        blank = np.zeros(0, np.int64)
         for level in range(ORDER + 1):
-            changed[1:] |= self.columns[level][1:] != self.columns[level][:-1]
+            column = self.level(level, every)
+            changed[1:] |= column[1:] != column[:-1]
             first = np.flatnonzero(changed)
-            total = np.add.reduceat(self.counts, first) if len(first) else blank
+            total = np.add.reduceat(self.counts, first)
             keep = (total >= least) | (level == 0)
             keep[:1] = keep[-1:] = True
-            keep &= self.columns[level][first] > 0 if level else True
+            keep &= (column[first] > 0) | (level == 0)
             first = first[keep]
-            words = self.columns[1 : level + 1, first] - 1
+            words = np.stack([self.level(k, first) - 1 for k in range(1, level + 1)]) if level else np.empty((0, len(first)), np.int64)
             sizes = self.reach[words + 1] - self.reach[words]
             width = sizes.sum(0) + max(level - 1, 0)
             ends = np.cumsum(width)
@@ -145,7 +149,7 @@ class Windows:
                 raw, reach = gathered(self.raw, self.reach[words[k]], sizes[k])
                 text[np.repeat(at - reach[:-1], sizes[k]) + np.arange(len(raw))] = raw
                 at = at + sizes[k] + 1
-            langs.append(self.columns[0][first])
+            langs.append(self.level(0, first))
             texts.append(pa.Array.from_buffers(pa.large_string(), len(first), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64)), pa.py_buffer(text)]).cast(pa.string()))
             totals.append(total[keep])
         return batch_of(_PHRASES, pa.array(self.langs, pa.string()).take(pa.array(np.concatenate(langs))), pa.concat_arrays(texts), np.concatenate(totals))
@@ -157,44 +161,49 @@ def windows_of(langs: pa.Array, data: np.ndarray, offsets: np.ndarray) -> Window
     starts, ends, reach = _scan.word_bounds(data, offsets, _ENDS_WORD)
     codes, first = _scan.distinct_slices(data, starts, ends)
     rank, raw, bounds = _sorted_words(data, starts[first], (ends - starts)[first])
+    n, v = len(starts), len(bounds)
     word = np.concatenate((rank[codes] + 1, np.zeros(ORDER - 1, np.int64))).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(reach))
     piece = np.concatenate((np.cumsum(_ENDS_PIECE[data])[starts] + row, np.full(ORDER - 1, -1)))
-    n = len(starts)
     names = pc.fill_null(langs.cast(pa.string()), "und").dictionary_encode()
     known = names.dictionary.to_pylist()
     order = sorted(range(len(known)), key=lambda k: known[k].encode())
     place = np.empty(len(known), np.int64)
     place[order] = np.arange(len(known))
-    columns = [place[names.indices.to_numpy(zero_copy_only=False)][row], word[:n]]
-    columns += [np.where(piece[k : n + k] == piece[:n], word[k : n + k], 0) for k in range(1, ORDER)]
-    return Windows(np.stack(columns), np.ones(n, np.int64), [known[k] for k in order], raw, bounds)
+    after = lambda k: np.where(piece[k : n + k] == piece[:n], word[k : n + k], 0)
+    high = (place[names.indices.to_numpy(zero_copy_only=False)][row] * v + word[:n]) * v + after(1)
+    return Windows(high, after(2) * v + after(3), np.ones(n, np.int64), [known[k] for k in order], raw, bounds)
+
+
+def _unpacked(blob: bytes) -> list[memoryview]:
+    whole = memoryview(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+    ends = 32 + np.cumsum(np.frombuffer(whole[:32], "<i8"))
+    return [whole[a:b] for a, b in zip([32, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def merged(runs: list[tuple[list[str], bytes]]) -> Windows:
-    """The windows of several packed runs as one."""
-    columns, counts, sizes, raws = [], [], [], []
+    """The windows of several packed runs as one; each run is unpacked twice, for its words and for its windows."""
     known = sorted({x for langs, _ in runs for x in langs}, key=str.encode)
-    words = 0
-    for langs, blob in runs:
-        whole = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
-        at, parts = 32, []
-        for n in np.frombuffer(whole[:32], "<i8").tolist():
-            parts.append(whole[at : at + n])
-            at += n
-        own = np.frombuffer(parts[0], "<i4").reshape(ORDER + 1, -1).astype(np.int64)
-        own[0] = np.array([known.index(x) for x in langs], np.int64)[own[0]]
-        own[1:] += np.where(own[1:] > 0, words, 0)
-        columns.append(own), counts.append(np.frombuffer(parts[1], "<i8")), sizes.append(np.frombuffer(parts[2], "<i4").astype(np.int64)), raws.append(np.frombuffer(parts[3], np.uint8))
-        words += len(sizes[-1])
+    sizes, raws = [], []
+    for _, blob in runs:
+        parts = _unpacked(blob)
+        sizes.append(np.frombuffer(parts[2], "<i4").astype(np.int64)), raws.append(np.frombuffer(bytes(parts[3]), np.uint8))
     data, size = np.concatenate(raws), np.concatenate(sizes)
-    ends = np.cumsum(size)
-    codes, first = _scan.distinct_slices(data, ends - size, ends)
-    rank, raw, bounds = _sorted_words(data, (ends - size)[first], size[first])
-    number = np.concatenate(([0], rank[codes] + 1))
-    every = np.concatenate(columns, 1)
-    every[1:] = number[every[1:]]
-    return Windows(every, np.concatenate(counts), known, raw, bounds)
+    starts = np.cumsum(size) - size
+    codes, first = _scan.distinct_slices(data, starts, starts + size)
+    rank, raw, bounds = _sorted_words(data, starts[first], size[first])
+    number, v, at = rank[codes] + 1, len(bounds), 0
+    highs, lows, counts = [], [], []
+    for (langs, blob), own in zip(runs, sizes, strict=True):
+        parts = _unpacked(blob)
+        columns = np.frombuffer(parts[0], "<i4").reshape(ORDER + 1, -1)
+        names = np.concatenate(([0], number[at : at + len(own)]))
+        lang = np.array([known.index(x) for x in langs], np.int64)
+        highs.append((lang[columns[0]] * v + names[columns[1]]) * v + names[columns[2]])
+        lows.append(names[columns[3]] * v + names[columns[4]])
+        counts.append(np.frombuffer(bytes(parts[1]), "<i8"))
+        at += len(own)
+    return Windows(np.concatenate(highs), np.concatenate(lows), np.concatenate(counts), known, raw, bounds)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Windows]:
@@ -229,8 +238,8 @@ def phrase_counts(docs: DataFrame, least: int = 30, partition_bytes: int = PARTI
         for w in _blocks(batches):
             edges = [0, *w.edges(bounds), len(w.counts)]
             spans = [(part, lo, hi) for part, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
-            for part, lo, hi in spans:
-                yield batch_of(_PARTS, [part], [w.langs], [w.packed(lo, hi)])
+            if spans:
+                yield batch_of(_PARTS, [x[0] for x in spans], [w.langs] * len(spans), [w.packed(lo, hi) for _, lo, hi in spans])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = [(langs, blob) for b in batches for langs, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
