@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import CONFIG
+from .queries import CONFIG, RESPELT
 
 _WS = r"[\t\n\v\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -154,3 +154,18 @@ ORACLES["token_f1"] = _f1_of("conv", _CONV, _tokens)
 ORACLES["character_f1"] = _f1_of("conv", _CONV, _split)
 ORACLES["plugin_udf"] = ORACLES["rouge_l"]
 ORACLES["audit_bounded"] = f"SELECT 'bounded' AS rule, 'error' AS severity, case_id, score AS observed FROM ({_f1_of('bench', _BENCH, _split)}) WHERE score > 0.8"
+
+
+def _respelt(x: str) -> str:
+    for plain, other in RESPELT.items():
+        x = f"replace({x}, '{plain}', '{other}')"
+    return x
+
+
+def _refolded(x: str) -> str:
+    return f"replace(nfc_normalize({x}), '\ufb01', 'fi')"
+
+
+ORACLES["exact_match_folded"] = f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, text, {_respelt('text')} || CASE WHEN doc_id % 5 = 0 THEN ' x' ELSE '' END AS other FROM documents)
+SELECT case_id, CASE WHEN {_norm(_refolded('text'), True)} = {_norm(_refolded('other'), True)} THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM d"""
+ORACLES["token_f1_folded"] = _f1_of("other", f"{_CONV}, other AS (SELECT case_id, {_refolded('ref')} AS ref, {_refolded(_respelt('pred'))} AS pred FROM conv)", _tokens)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
+from ..functions.text import TextNormalizer
 from ..model import BootstrapConfig, Contract, MetricValue, UndefinedPolicy
 from ..operators import audit as audits
 from ..operators import compare, stats, suite
@@ -83,6 +84,31 @@ def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(label_cases(spark, sf_dir)[0], m.ExactMatch())
 
 
+#: Spellings that case folding and composition undo: a ligature, the sharp s, and letters before combining marks.
+RESPELT = {"fi": "\ufb01", "ss": "ß", "é": "e\u0301", "ü": "u\u0308", "e": "E"}
+
+
+def respelt(text: Column) -> Column:
+    for plain, other in RESPELT.items():
+        text = F.replace(text, F.lit(plain), F.lit(other))
+    return text
+
+
+@query
+def exact_match_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against their other spelling, every fifth with a word more."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(respelt(F.col("text")), F.when(F.col("doc_id") % 5 == 0, " x").otherwise("")).alias("other"))
+    cases = from_dataframe(docs, case_id="doc_id", reference="text", prediction="other", ordinal="doc_id")
+    return _scores(cases, m.ExactMatch(TextNormalizer(lowercase=True)))
+
+
+@query
+def token_f1_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose answers have the other spelling."""
+    cases = conversation_cases(spark, sf_dir)
+    return _scores(cases.withColumn("prediction", F.col("prediction").withField("text", respelt(F.col("prediction.text")))), m.TokenF1())
+
+
 @query
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(conversation_cases(spark, sf_dir), m.TokenF1())
