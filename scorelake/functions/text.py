@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 #: White space as str.split sees it.
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same as a pattern that is quick in the JVM.
+_WHITE = r"(?U)[\s\x1c-\x1f]"
+_WHITES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 _RUN = re.compile(r"\s+")
 _SIGN = re.compile(r"[^\w\s]")
@@ -104,8 +107,9 @@ class TextNormalizer:
 
     def plain(self, text: Column) -> Column:
         """Whether a text has plain code points only; ASCII is known by its length."""
-        others = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in plain_runs(self.unicode_form))
-        return (F.length(text) == F.octet_length(text)) | ~text.rlike(f"[^{others}]")
+        runs = plain_runs(self.unicode_form)
+        beyond = lambda own: text.rlike("[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in own) + "]")
+        return (F.length(text) == F.octet_length(text)) | ~beyond([r for r in runs if r[1] < 0x250]) | ~beyond(runs)
 
     def exact(self, text: Column) -> Column:
         """The Python form as an Arrow function; null for null."""
@@ -117,7 +121,7 @@ class TextNormalizer:
         return run(text)
 
     def _plain_column(self, text: Column) -> Column:
-        out = F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+        out = F.btrim(text, F.lit(_WHITES))
         if self.lowercase:
             letters, folded = _refolded(self.unicode_form)
             full = F.replace(F.lower(F.translate(out, letters, folded)), F.lit("ß"), F.lit("ss"))
@@ -125,17 +129,16 @@ class TextNormalizer:
         if self.strip_punctuation:
             out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}_{SPACES}]", " ")
         if self.collapse_whitespace:
-            out = F.trim(F.regexp_replace(out, f"[{SPACES}]+", " "))
+            out = F.trim(F.regexp_replace(out, f"{_WHITE}+", " "))
         return out
 
     def column(self, text: Column) -> Column:
         """The normalised text; equal to the Python form for all input."""
-        plain = self.plain(text)
-        return F.when(plain, self._plain_column(text)).otherwise(self.exact(F.when(~plain, text)))
+        return F.coalesce(self.exact(F.when(~self.plain(text), text)), self._plain_column(text))
 
     def tokens(self, text: Column) -> Column:
         """The JVM form of ``tokenize``."""
-        return F.filter(F.split(self.column(text), f"[{SPACES}]+"), lambda t: t != "")
+        return F.filter(F.split(self.column(text), f"{_WHITE}+"), lambda t: t != "")
 
     def to_dict(self) -> dict[str, Any]:
         return asdict(self)
