@@ -169,3 +169,5 @@ def _refolded(x: str) -> str:
 ORACLES["exact_match_folded"] = f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS case_id, text, {_respelt('text')} || CASE WHEN doc_id % 5 = 0 THEN ' x' ELSE '' END AS other FROM documents)
 SELECT case_id, CASE WHEN {_norm(_refolded('text'), True)} = {_norm(_refolded('other'), True)} THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM d"""
 ORACLES["token_f1_folded"] = _f1_of("other", f"{_CONV}, other AS (SELECT case_id, {_refolded('ref')} AS ref, {_refolded(_respelt('pred'))} AS pred FROM conv)", _tokens)
+ORACLES["bootstrap_blocked"] = ORACLES["bootstrap_replicates"]
+ORACLES["sign_flip_blocked"] = ORACLES["sign_flip"]

@@ -300,6 +300,17 @@ def sign_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.sign_replicates(stats.vector(_deltas(spark, sf_dir), "delta", "ordinal"), CONFIG).select("r", F.round("value", 12).alias("value"))
 
 
+@query
+def bootstrap_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same replicates from values in blocks of positions, as beyond the size of an array."""
+    return stats.bootstrap_replicates(stats.vector(_deltas(spark, sf_dir), "delta", "ordinal", 0, 256), CONFIG).select("r", F.round("value", 12).alias("value"))
+
+
+@query
+def sign_flip_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.sign_replicates(stats.vector(_deltas(spark, sf_dir), "delta", "ordinal", 0, 256), CONFIG).select("r", F.round("value", 12).alias("value"))
+
+
 def _compared(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
     c = compare.compare_cases(*label_cases(spark, sf_dir), m.ExactMatch(), UndefinedPolicy.SKIP, native=True, config=CONFIG, direction=direction)
     better = c.improvement

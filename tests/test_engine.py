@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import os
+import random
 import sys
 from fractions import Fraction
 
@@ -162,6 +163,31 @@ def test_resampling_follows_the_formula(spark):
             BootstrapConfig(**bad)
 
 
+@pytest.mark.parametrize("block", [1, 7, 64, 5000])
+def test_blocks_give_the_doubles_of_the_array(spark, block):
+    """Values of very different sizes, so that every other order of a sum gives another double."""
+    some = random.Random(block)
+    values = [some.choice([1e16, -1e16, 1.0, 0.1, -0.3, 1e-9, 0.0, -0.0]) * some.random() for _ in range(211)]
+    rows = spark.createDataFrame([(i // 2, x if i % 17 else None) for i, x in enumerate(values)], "ordinal bigint, score double").repartition(5)
+    c = BootstrapConfig(samples=23, seed=5)
+    array, blocked = stats.vector(rows, "score", "ordinal"), stats.vector(rows, "score", "ordinal", 10, block)
+    assert array.columns == ["xs"] and blocked.columns == ["block", "xs", "n"]
+    assert [x for r in blocked.orderBy("block").collect() for x in r.xs] == array.first().xs
+    for replicates in (stats.bootstrap_replicates, stats.sign_replicates):
+        one, other = ([(r.r, r.value.hex()) for r in replicates(v, c).orderBy("r").collect()] for v in (array, blocked))
+        assert one == other
+
+
+def test_comparison_beyond_the_array(spark, monkeypatch):
+    rows = [({"id": f"c{i}", "reference": "a b c", "prediction": "a b"}, {"id": f"c{i}", "reference": "a b c", "prediction": "a b c" if i % 3 else "x"}) for i in range(40)]
+    left, right = (src.from_records(spark, [r[k] for r in rows]) for k in (0, 1))
+    config = BootstrapConfig(samples=50, seed=2)
+    whole = compare.compare_cases(left, right, m.TokenF1(), config=config)
+    plain = compare.vector
+    monkeypatch.setattr(compare, "vector", lambda *x: plain(*x, 8, 16))
+    assert compare.compare_cases(left, right, m.TokenF1(), config=config) == whole
+
+
 def test_paired_comparison(spark):
     c = BootstrapConfig(samples=200)
     left, right = results(spark, [0.0, 0.5, 1.0, None]), results(spark, [0.5, 0.5, 1.0, None])
