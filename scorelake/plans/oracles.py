@@ -171,3 +171,11 @@ SELECT case_id, CASE WHEN {_norm(_refolded('text'), True)} = {_norm(_refolded('o
 ORACLES["token_f1_folded"] = _f1_of("other", f"{_CONV}, other AS (SELECT case_id, {_refolded('ref')} AS ref, {_refolded(_respelt('pred'))} AS pred FROM conv)", _tokens)
 ORACLES["bootstrap_blocked"] = ORACLES["bootstrap_replicates"]
 ORACLES["sign_flip_blocked"] = ORACLES["sign_flip"]
+_LINES = f"""WITH {_CONV.replace("turn AS case_id,", "turn AS case_id, conv_id * 1000 + turn AS place,")} SELECT CAST(row_number() OVER (ORDER BY place) AS BIGINT) AS ordinal, case_id,
+regexp_replace(ref, '[\\v\\f\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]', ' ', 'g') AS reference, 'int' AS prediction_kind, CAST(length(pred) AS VARCHAR) AS prediction FROM conv"""
+ORACLES["jsonl_file_ingest"] = ORACLES["json_array_ingest"] = _LINES
+ORACLES["markdown_file"] = f"""WITH {_NUM}, n AS (SELECT count(*) AS n, count(score) AS k, avg(score) AS mean FROM scored)
+SELECT unnest(['# Metric report: `numeric_equivalence`', '- Contract status: **PASS**', '- Cases: ' || n || ' (' || k || ' scored, ' || (n - k) || ' skipped)', '- Macro mean: ' || printf('%.6f', mean),
+  '## Cases', '| Case | Raw | Resolved | State |', '|---|---:|---:|---|', '## Contract findings', 'No contract findings.']) AS line FROM n UNION ALL
+SELECT '| `' || case_id || '` | ' || coalesce(printf('%.6f', score), 'undefined') || ' | ' || coalesce(printf('%.6f', score), '—') || ' | ' || CASE WHEN score IS NULL THEN 'skipped' ELSE 'scored' END || ' |' FROM scored"""
+ORACLES["json_file"] = f"WITH {_NUM} SELECT case_id, score AS raw_score, coalesce(score, 0.0) AS resolved_score, false AS skipped, CASE WHEN score IS NULL THEN 'unparseable prediction' END AS undefined_reason FROM scored"

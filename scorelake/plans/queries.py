@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
@@ -14,9 +15,10 @@ from ..functions.text import TextNormalizer
 from ..model import BootstrapConfig, Contract, MetricValue, UndefinedPolicy
 from ..operators import audit as audits
 from ..operators import compare, stats, suite
+from ..operators.shared import assembled, shared_folder
 from ..registry import MetricRegistry
-from ..sinks.report import escape_column, markdown_rows
-from ..sources.cases import from_dataframe, from_json_lines
+from ..sinks.report import Report, escape_column, listed, markdown_rows, write_json, write_markdown
+from ..sources.cases import from_dataframe, from_json_lines, load_cases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NUMERIC = m.NumericEquivalence(Decimal("0.001"), Decimal(0), True, True)
@@ -178,6 +180,33 @@ def json_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select("ordinal", "case_id", F.col("reference.kind").alias("reference_kind"), F.col("reference.text").alias("reference"), F.col("prediction.kind").alias("prediction_kind"), F.col("prediction.text").alias("prediction"), F.get("tags", F.lit(0)).alias("tag"))
 
 
+def _lines_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON records of the conversation cases in order, with raw line separators inside the references as spaces."""
+    plain = F.translate("reference.text", "\v\f\x1c\x1d\x1e\x85\u2028\u2029", "        ")
+    record = F.struct(F.col("case_id").alias("id"), plain.alias("reference"), F.length("prediction.text").alias("prediction"))
+    return conversation_cases(spark, sf_dir).select("ordinal", F.to_json(record).alias("line"))
+
+
+def _shown(cases: DataFrame) -> DataFrame:
+    return cases.select("ordinal", "case_id", F.col("reference.text").alias("reference"), F.col("prediction.kind").alias("prediction_kind"), F.col("prediction.text").alias("prediction"))
+
+
+def _file(spark: SparkSession, suffix: str) -> str:
+    return f"{shared_folder(spark)}/files/{uuid.uuid4().hex}{suffix}"
+
+
+@query
+def jsonl_file_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as one JSONL file and read back in byte ranges."""
+    return _shown(load_cases(spark, assembled(_file(spark, ".jsonl"), [_lines_of_cases(spark, sf_dir)], spark)))
+
+
+@query
+def json_array_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases written as one JSON array and read back in byte ranges."""
+    return _shown(load_cases(spark, assembled(_file(spark, ".json"), ["[", listed(_lines_of_cases(spark, sf_dir)), "]"], spark)))
+
+
 @query
 def suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suite.summary(_numeric(spark, sf_dir, UndefinedPolicy.SKIP)).withColumn("mean_score", F.round("mean_score", 9))
@@ -333,6 +362,21 @@ def markdown_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_rows(_numeric(spark, sf_dir, UndefinedPolicy.SKIP)).select("line")
 
 
+@query
+def markdown_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of a Markdown report that executors wrote."""
+    report = Report("numeric_equivalence", _numeric(spark, sf_dir, UndefinedPolicy.SKIP))
+    return spark.read.text(write_markdown(report, _file(spark, ".md"))).where("value <> ''").select(F.col("value").alias("line"))
+
+
+@query
+def json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results in a JSON report that executors wrote."""
+    report = Report("numeric_equivalence", _numeric(spark, sf_dir, UndefinedPolicy.ZERO))
+    whole = spark.read.json(write_json(report, _file(spark, ".json")), multiLine=True, schema="results array<struct<case_id:string,raw_score:double,resolved_score:double,skipped:boolean,undefined_reason:string>>")
+    return whole.select(F.explode("results").alias("r")).select("r.*")
+
+
 @query
 def markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(escape_column(F.col("text"))).alias("escaped_md5"))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.audit import ordered, passed
 from ..operators.compare import Comparison
+from ..operators.shared import assembled
 from ..operators.suite import exact_mean, summary
 
 SCHEMA_VERSION = 1
@@ -45,18 +49,31 @@ class Report:
         return self.findings is None or passed(self.findings)
 
 
-def report_to_dict(report: Report) -> dict[str, Any]:
-    """The whole report as an object; its size follows the number of cases."""
+def _summary(report: Report) -> dict[str, Any]:
     counts = summary(report.results).first()
+    return {"case_count": counts.case_count, "scored_count": counts.scored_count, "skipped_count": counts.skipped_count, "mean_score": exact_mean(report.results, "resolved_score"), "passed_contracts": report.passed_contracts}
+
+
+def _result(r: dict[str, Any]) -> dict[str, Any]:
+    return {"case_id": r["case_id"], "raw_score": r["raw"]["score"], "resolved_score": r["resolved_score"], "undefined_reason": r["raw"]["reason"], "skipped": r["skipped"], "details": json.loads(r["raw"]["details"] or "{}")}
+
+
+def _finding(f: dict[str, Any]) -> dict[str, Any]:
+    seen = f["observed"]
+    observed = None if seen is None or f["rule"] == "identity" and seen[0] is None else seen[0] if len(seen) == 1 else list(seen)
+    return {"rule": f["rule"], "severity": f["severity"], "message": f["message"], "case_id": f["case_id"], "observed": observed}
+
+
+def report_to_dict(report: Report) -> dict[str, Any]:
+    """The whole report as an object on the driver; ``write_json`` is for results of any size."""
     rows = report.results.orderBy("ordinal").select("case_id", "raw", "resolved_score", "skipped").collect()
     found = ordered(report.findings).collect() if report.findings is not None else []
-    observed = lambda f: None if f.observed is None or f.rule == "identity" and f.observed[0] is None else f.observed[0] if len(f.observed) == 1 else list(f.observed)
     return {
         "schema_version": SCHEMA_VERSION,
         "metric": report.metric,
-        "summary": {"case_count": counts.case_count, "scored_count": counts.scored_count, "skipped_count": counts.skipped_count, "mean_score": exact_mean(report.results, "resolved_score"), "passed_contracts": report.passed_contracts},
-        "results": [{"case_id": r.case_id, "raw_score": r.raw.score, "resolved_score": r.resolved_score, "undefined_reason": r.raw.reason, "skipped": r.skipped, "details": json.loads(r.raw.details or "{}")} for r in rows],
-        "findings": [{"rule": f.rule, "severity": f.severity, "message": f.message, "case_id": f.case_id, "observed": observed(f)} for f in found],
+        "summary": _summary(report),
+        "results": [_result(r.asDict(recursive=True)) for r in rows],
+        "findings": [_finding(f.asDict(recursive=True)) for f in found],
     }
 
 
@@ -77,21 +94,67 @@ def markdown_rows(results: DataFrame) -> DataFrame:
     return results.select("ordinal", F.concat(F.lit("| `"), escape_column(F.col("case_id")), F.lit("` | "), raw, F.lit(" | "), resolved, F.lit(" | "), escape_column(state), F.lit(" |")).alias("line"))
 
 
-def render_markdown(report: Report) -> str:
-    whole = report_to_dict(report)
-    s = whole["summary"]
+def _finding_lines(findings: DataFrame) -> DataFrame:
+    """(phase, ordinal, rank, line): the list entry of each finding."""
+    where = F.when(F.col("case_id") != "", F.concat(F.lit(" (`"), escape_column(F.col("case_id")), F.lit("`)"))).otherwise("")
+    line = F.concat(F.lit("- **"), F.upper("severity"), F.lit("** `"), escape_column(F.col("rule")), F.lit("`"), F.coalesce(where, F.lit("")), F.lit(": "), escape_column(F.col("message")))
+    return findings.select("phase", "ordinal", "rank", line.alias("line"))
+
+
+def _markdown_parts(report: Report) -> list[str | DataFrame]:
+    s = _summary(report)
     mean = "n/a" if s["mean_score"] is None else f"{s['mean_score']:.6f}"
-    lines = [
+    # The report's headings and labels.
+    head = [
         f"# Metric report: `{escape(report.metric)}`", "",
         f"- Contract status: **{'PASS' if s['passed_contracts'] else 'FAIL'}**",
         f"- Cases: {s['case_count']} ({s['scored_count']} scored, {s['skipped_count']} skipped)",
-        f"- Macro mean: {mean}", "", "## Cases", "", "| Case | Raw | Resolved | State |", "|---|---:|---:|---|",
-        *(r.line for r in markdown_rows(report.results).orderBy("ordinal").collect()), "", "## Contract findings", "",
+        f"- Macro mean: {mean}", "", "## Cases", "", "| Case | Raw | Resolved | State |", "|---|---:|---:|---|", "",
     ]
-    for f in whole["findings"]:
-        where = f" (`{escape(f['case_id'])}`)" if f["case_id"] else ""
-        lines.append(f"- **{f['severity'].upper()}** `{escape(f['rule'])}`{where}: {escape(f['message'])}")
-    return "\n".join(lines if whole["findings"] else [*lines, "No contract findings."]) + "\n"
+    none = report.findings is None or report.findings.isEmpty()
+    return ["\n".join(head), markdown_rows(report.results), "\n## Contract findings\n\n", "No contract findings.\n" if none else _finding_lines(report.findings)]
+
+
+def render_markdown(report: Report) -> str:
+    """The Markdown report as a text on the driver; ``write_markdown`` is for results of any size."""
+    lines = lambda part: "".join(f"{r.line}\n" for r in part.orderBy(*(c for c in part.columns if c != "line")).collect())
+    return "".join(part if isinstance(part, str) else lines(part) for part in _markdown_parts(report))
+
+
+def write_markdown(report: Report, path: str | Path) -> str:
+    """The text of ``render_markdown`` as a file, whose cases and findings executors write."""
+    return assembled(str(path), _markdown_parts(report), report.results.sparkSession)
+
+
+def listed(lines: DataFrame) -> DataFrame:
+    """``lines`` with a comma after all but the last in order of its other columns, which tell rows apart."""
+    keys = F.struct(*(c for c in lines.columns if c != "line"))
+    last = lines.agg(F.max(keys).alias("_last"))
+    return lines.join(F.broadcast(last)).select(*(c for c in lines.columns if c != "line"), F.concat("line", F.when(keys == F.col("_last"), "").otherwise(",")).alias("line"))
+
+
+def _items(rows: DataFrame | None, keys: list[str], shape: Callable[[dict[str, Any]], dict[str, Any]]) -> list[str | DataFrame]:
+    """A list inside the report object; each row is rendered where it stands."""
+    if rows is None or rows.isEmpty():
+        return ["[]"]
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["\n".join(f"    {x}" for x in _json(shape(r))[:-1].split("\n")) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(texts, pa.string())], [*keys, "line"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return ["[\n", listed(rows.mapInArrow(render, f"{kinds}, line string")), "  ]"]
+
+
+def write_json(report: Report, path: str | Path) -> str:
+    """The text of ``render_json`` as a file, whose cases and findings executors write."""
+    head = _json({"metric": report.metric})[4:-3]
+    tail = _json({"schema_version": SCHEMA_VERSION, "summary": _summary(report)})[2:]
+    results = report.results.select("ordinal", "case_id", "raw", "resolved_score", "skipped")
+    findings = report.findings
+    parts = ['{\n  "findings": ', *_items(findings, ["phase", "ordinal", "rank"], _finding), f",\n  {head},\n  \"results\": ", *_items(results, ["ordinal"], _result), ",\n" + tail]
+    return assembled(str(path), parts, report.results.sparkSession)
 
 
 def comparison_to_dict(c: Comparison) -> dict[str, Any]:

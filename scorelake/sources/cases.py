@@ -8,7 +8,7 @@ are structs (kind, text, canon): kind tells JSON types apart, text is the value
 from __future__ import annotations
 
 import json
-import math
+import re
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 from typing import Any
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import CaseFormatError
+from . import files
 
 PAYLOAD = "struct<kind:string,text:string,canon:string>"
 CASES = f"ordinal bigint, case_id string, reference {PAYLOAD}, prediction {PAYLOAD}, tags array<string>, metadata string"
@@ -49,7 +50,7 @@ def value_of(p: Any) -> Any:
 
 
 def strict_json(text: str) -> Any:
-    """JSON without NaN, infinities and repeated keys."""
+    """JSON without the constants NaN and Infinity and without repeated keys; a number beyond a double's range is infinite."""
 
     def refuse(name: str) -> Any:
         raise CaseFormatError(f"{name} is not JSON")
@@ -62,13 +63,7 @@ def strict_json(text: str) -> Any:
             out[k] = v
         return out
 
-    def number(text: str) -> float:
-        value = float(text)
-        if not math.isfinite(value):
-            raise CaseFormatError(f"{text} is out of range")
-        return value
-
-    return json.loads(text, parse_constant=refuse, parse_float=number, object_pairs_hook=once)
+    return json.loads(text, parse_constant=refuse, object_pairs_hook=once)
 
 
 def case_of(item: Any, position: int) -> dict[str, Any]:
@@ -91,58 +86,51 @@ def case_of(item: Any, position: int) -> dict[str, Any]:
     return {"ordinal": position, "case_id": item["id"], "reference": payload(item["reference"]), "prediction": payload(item["prediction"]), "tags": tags, "metadata": json.dumps(extra_data, ensure_ascii=False)}
 
 
-def _parsed(name: str, text: str) -> Iterator[dict[str, Any]]:
-    def load(part: str, line: int | None) -> Any:
-        try:
-            return strict_json(part)
-        except json.JSONDecodeError as e:
-            raise CaseFormatError(f"invalid JSON in {name} at line {line or e.lineno}, column {e.colno}") from e
-        except CaseFormatError as e:
-            raise CaseFormatError(f"invalid JSON in {name}{f' at line {line}' if line else ''}: {e}") from e
+_ROW = "struct<" + ", ".join(f"{x.split(' ', 1)[0]}:{x.split(' ', 1)[1]}" for x in CASES.split(", ")) + ">"
 
-    if name.lower().endswith(".jsonl"):
-        items: Iterable[Any] = [load(x, i) for i, x in enumerate(text.splitlines(), 1) if x.strip()]
-    else:
-        items = load(text, None)
-        if not isinstance(items, list):
-            raise CaseFormatError("a JSON case file must hold an array")
-    for position, item in enumerate(items, 1):
-        yield case_of(item, position)
+
+def _array_error(spark: SparkSession, source: str) -> str:
+    """Why a file holds no array: one strict parse of the whole file in a task."""
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                try:
+                    strict_json(bytes(content).decode("utf-8"))
+                    said = "a JSON case file must hold an array"
+                except UnicodeDecodeError:
+                    said = f"cannot read {source}: it is not UTF-8"
+                except json.JSONDecodeError as e:
+                    said = f"invalid JSON in {source} at line {e.lineno}, column {e.colno}"
+                except CaseFormatError as e:
+                    said = f"invalid JSON in {source}: {e}"
+                yield pd.DataFrame({"error": [said]})
+
+    found = spark.read.format("binaryFile").load(source).select("content").mapInPandas(parse, "error string").first()
+    return found[0] if found else f"invalid JSON in {source} at line 1, column 1"  # an empty file has no row
 
 
 def load_cases(spark: SparkSession, path: str | Path) -> DataFrame:
     """Cases of a ``.jsonl`` file, or of any other file with one JSON array.
 
-    The file is read by Spark as a whole and checked in one strict parse on an
-    executor, whose first error is raised here; whoever reads the cases often caches
-    them. Large inputs belong in tables (``from_dataframe``).
+    Files are read in byte ranges by as many tasks as they are long; the first
+    error in the file is raised here, with the line, column or position that a
+    strict parse of the whole file gives. The cases stand in the shared folder, so
+    they are parsed once.
     """
     source = str(path)
-    if "://" not in source and not Path(source).is_file():
+    if not re.match("[A-Za-z][A-Za-z0-9+.-]+:", source) and not Path(source).is_file():
         raise CaseFormatError(f"no case file {source}")
     try:
-        raw = spark.read.format("binaryFile").load(source).select("content")
+        spark.read.text(source)
     except Exception as e:
         raise CaseFormatError(f"cannot read {source}: {e}") from e
-
-    def parse(frames: Iterator[Any]) -> Iterator[Any]:
-        for frame in frames:
-            for content in frame["content"]:
-                try:
-                    rows = list(_parsed(source, bytes(content).decode("utf-8")))
-                except UnicodeDecodeError as e:
-                    yield pd.DataFrame({"error": [f"cannot read {source}: {e}"], "rows": [None]})
-                except CaseFormatError as e:
-                    yield pd.DataFrame({"error": [str(e)], "rows": [None]})
-                else:
-                    yield pd.DataFrame({"error": [None], "rows": [rows]})
-
-    fields = "struct<" + ", ".join(f"{x.split(' ', 1)[0]}:{x.split(' ', 1)[1]}" for x in CASES.split(", ")) + ">"
-    parsed = raw.mapInPandas(parse, f"error string, rows array<{fields}>")
-    error = parsed.where("error is not null").select("error").first()
-    if error:
-        raise CaseFormatError(error[0])
-    return parsed.select(F.explode("rows").alias("r")).select("r.*")
+    if source.lower().endswith(".jsonl"):
+        return files.load_lines(spark, source, strict_json, case_of, _ROW)
+    found = files.load_array(spark, source, strict_json, case_of, _ROW)
+    if found is None:
+        raise CaseFormatError(_array_error(spark, source))
+    return found
 
 
 def load_metric_config(path: str | Path) -> dict[str, Any]:
@@ -195,7 +183,6 @@ def from_json_lines(lines: DataFrame, *, text: str, ordinal: str) -> DataFrame:
     Blank and null lines are skipped. The first bad line in order of ``ordinal``
     raises CaseFormatError; every line is parsed once for that and once for each use.
     """
-    fields = "struct<" + ", ".join(f"{x.split(' ', 1)[0]}:{x.split(' ', 1)[1]}" for x in CASES.split(", ")) + ">"
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -209,7 +196,7 @@ def from_json_lines(lines: DataFrame, *, text: str, ordinal: str) -> DataFrame:
                     out.append((place, str(e), None))
             yield pd.DataFrame(out, columns=["o", "error", "r"])
 
-    parsed = lines.select(F.col(ordinal).cast("bigint").alias("o"), F.col(text).alias("t")).mapInPandas(parse, f"o bigint, error string, r {fields}")
+    parsed = lines.select(F.col(ordinal).cast("bigint").alias("o"), F.col(text).alias("t")).mapInPandas(parse, f"o bigint, error string, r {_ROW}")
     first = parsed.where("error is not null").agg(F.min(F.struct("o", "error"))).first()[0]
     if first is not None:
         raise CaseFormatError(f"invalid JSON at line {first.o}: {first.error}")
