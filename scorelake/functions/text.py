@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 SPACES = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: The same as a pattern that is quick in the JVM.
 _WHITE = r"(?U)[\s\x1c-\x1f]"
-_WHITES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+WHITES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 _RUN = re.compile(r"\s+")
 _SIGN = re.compile(r"[^\w\s]")
@@ -121,7 +121,7 @@ class TextNormalizer:
         return run(text)
 
     def _plain_column(self, text: Column) -> Column:
-        out = F.btrim(text, F.lit(_WHITES))
+        out = F.btrim(text, F.lit(WHITES))
         if self.lowercase:
             letters, folded = _refolded(self.unicode_form)
             full = F.replace(F.lower(F.translate(out, letters, folded)), F.lit("ß"), F.lit("ss"))

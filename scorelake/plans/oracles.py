@@ -136,7 +136,9 @@ FROM k, x, n GROUP BY r""",
     "paired_comparison_lower": _compared("-1"),
     "markdown_cases": f"""WITH {_NUM} SELECT '| `' || case_id || '` | ' || coalesce(printf('%.6f', score), 'undefined') || ' | ' || coalesce(printf('%.6f', score), '—') || ' | ' ||
 CASE WHEN score IS NULL THEN 'skipped' ELSE 'scored' END || ' |' AS line FROM scored""",
-    "registry_list": "SELECT unnest(['character_f1', 'exact_match', 'levenshtein_similarity', 'numeric_equivalence', 'rouge_l', 'sentence_bleu', 'token_f1']) AS name",
+    # one letter against one letter: equal or not, but smoothing gives sentence BLEU a half
+    "registry_list": f"""WITH {_LAB} SELECT unnest(['character_f1', 'exact_match', 'levenshtein_similarity', 'numeric_equivalence', 'rouge_l', 'sentence_bleu', 'token_f1']) AS name,
+  count(*) FILTER (q = 1) AS ones, count(*) FILTER (q <> 1) AS less, CAST(0 AS BIGINT) AS undefined FROM lab""",
 }
 
 
@@ -179,3 +181,6 @@ SELECT unnest(['# Metric report: `numeric_equivalence`', '- Contract status: **P
   '## Cases', '| Case | Raw | Resolved | State |', '|---|---:|---:|---|', '## Contract findings', 'No contract findings.']) AS line FROM n UNION ALL
 SELECT '| `' || case_id || '` | ' || coalesce(printf('%.6f', score), 'undefined') || ' | ' || coalesce(printf('%.6f', score), '—') || ' | ' || CASE WHEN score IS NULL THEN 'skipped' ELSE 'scored' END || ' |' FROM scored"""
 ORACLES["json_file"] = f"WITH {_NUM} SELECT case_id, score AS raw_score, coalesce(score, 0.0) AS resolved_score, false AS skipped, CASE WHEN score IS NULL THEN 'unparseable prediction' END AS undefined_reason FROM scored"
+ORACLES["map_references"] = "SELECT CAST(doc_id AS VARCHAR) AS case_id, 'reference' AS differs FROM documents WHERE doc_id % 7 = 0"
+ORACLES["table_case_rules"] = """SELECT doc_id AS ordinal, CASE doc_id % 11 WHEN 1 THEN 'id must be a string' WHEN 2 THEN 'id must not be blank' WHEN 3 THEN 'tags must be unique' ELSE 'tags must be a list of strings' END AS rule
+FROM documents WHERE doc_id % 11 IN (1, 2, 3, 4)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 from decimal import Decimal
@@ -18,7 +19,7 @@ from ..operators import compare, stats, suite
 from ..operators.shared import assembled, shared_folder
 from ..registry import MetricRegistry
 from ..sinks.report import Report, escape_column, listed, markdown_rows, write_json, write_markdown
-from ..sources.cases import from_dataframe, from_json_lines, load_cases
+from ..sources.cases import broken_rules, from_dataframe, from_json_lines, load_cases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NUMERIC = m.NumericEquivalence(Decimal("0.001"), Decimal(0), True, True)
@@ -242,6 +243,27 @@ def align_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.case_differences(*perturbed_label_cases(spark, sf_dir)).select("case_id", "differs")
 
 
+@query
+def map_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that are maps: the candidate has the same entries in another order, but every seventh has another value."""
+    docs = _table(spark, sf_dir, "documents").withColumn("about", F.struct("source", F.array("n_chars", F.lit(None)).alias("sizes")))
+    changed = F.when(F.col("doc_id") % 7 == 0, F.struct("source", F.array(F.col("n_chars"), F.lit(0).cast("bigint")).alias("sizes"))).otherwise(F.col("about"))
+    left = docs.select("doc_id", "lang", F.create_map(F.lit("a\n"), "about", F.lit("b"), "about", F.col("lang"), "about").alias("r"))
+    right = docs.select("doc_id", "lang", F.create_map("lang", changed, F.lit("b"), "about", F.lit("a\n"), "about").alias("r"))
+    return compare.case_differences(*(from_dataframe(x, case_id="doc_id", reference="r", prediction="lang", ordinal="doc_id") for x in (left, right))).select("case_id", "differs")
+
+
+@query
+def table_case_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as cases of which some have no id, a blank one, or tags that repeat or are null."""
+    k = F.col("doc_id") % 11
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.when(k == 1, F.lit(None)).when(k == 2, "\u2003\t").otherwise(F.col("doc_id").cast("string")).alias("id"),
+        F.when(k == 3, F.array("lang", "source", "lang")).when(k == 4, F.array("lang", F.lit(None))).when(k == 5, F.lit(None)).otherwise(F.array("lang", "source")).alias("tags"),
+    )
+    return broken_rules(from_dataframe(docs, case_id="id", reference="text", prediction="text", ordinal="doc_id", tags="tags", check=False))
+
+
 @query
 def paired_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = (suite.evaluate(c, m.ExactMatch(), UndefinedPolicy.SKIP, native=True, check=False) for c in label_cases(spark, sf_dir))
@@ -392,7 +414,12 @@ def confidence_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def registry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in MetricRegistry.with_builtins().names], "name string")
+    """Every registered metric, built by its name, over all label cases: how many it scores as one, as less, and not at all."""
+    registry = MetricRegistry.with_builtins()
+    cases = label_cases(spark, sf_dir)[0].cache()
+    rows = [suite.score(cases, registry.build({"kind": name}), native=True).select(F.lit(name).alias("name"), "raw") for name in registry.names]
+    every = functools.reduce(DataFrame.unionByName, [r.select("name", "raw.score") for r in rows])
+    return every.groupBy("name").agg(F.count_if(F.col("score") == 1).alias("ones"), F.count_if(F.col("score") < 1).alias("less"), F.count_if(F.col("score").isNull()).alias("undefined"))
 
 
 @query

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import WHITES
 from ..model import CaseFormatError
 from . import files
 
@@ -146,10 +147,41 @@ def load_metric_config(path: str | Path) -> dict[str, Any]:
     return loaded
 
 
+def _quoted(text: Column) -> Column:
+    """A string as JSON writes it, with all but quotes, backslashes and control characters as they are."""
+    for sign, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
+        text = F.replace(text, F.lit(sign), F.lit(shown))
+    control = lambda x: (x != "") & (F.ascii(x) < 32)
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda x: F.when(control(x), F.format_string("\\u%04x", F.ascii(x))).otherwise(x)), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), spelt).otherwise(text), F.lit('"'))
+
+
+def canonical(c: Column, kind: T.DataType) -> Column:
+    """A column as JSON with sorted keys, built from its type: equal for equal values, whatever the order of a map's entries or a struct's fields.
+
+    Whole and fractional numbers stay apart, and nulls inside are kept. Fractions are
+    spelt as Spark spells them.
+    """
+    if isinstance(kind, T.ArrayType):
+        shown = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical(x, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.StructType):
+        fields = [x for f in sorted(kind.fields, key=lambda f: f.name) for x in (F.lit(f"{json.dumps(f.name, ensure_ascii=False)}: "), canonical(c.getField(f.name), f.dataType), F.lit(", "))]
+        shown = F.concat(F.lit("{"), *fields[:-1], F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("k"), canonical(e["value"], kind.valueType).alias("v")))
+        shown = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(_quoted(e["k"]), F.lit(": "), e["v"])), ", "), F.lit("}"))
+    elif isinstance(kind, T.BooleanType | T.NumericType):
+        shown = c.cast("string")
+    else:
+        shown = _quoted(F.base64(c) if isinstance(kind, T.BinaryType) else c.cast("string"))
+    return F.coalesce(shown, F.lit("null"))
+
+
 def payload_column(df: DataFrame, name: str) -> Column:
     """A table column as a payload, by its type."""
     kind = df.schema[name].dataType
     c = F.col(name)
+    canon = None
     if isinstance(kind, T.StringType):
         made, text = "str", c
     elif isinstance(kind, T.BooleanType):
@@ -159,16 +191,37 @@ def payload_column(df: DataFrame, name: str) -> Column:
     elif isinstance(kind, T.FractionalType):
         made, text = "float", c.cast("string")
     else:
-        made, text = "array" if isinstance(kind, T.ArrayType) else "object", F.to_json(c)
-    return F.when(c.isNull(), F.struct(F.lit("null").alias("kind"), F.lit("null").alias("text"), F.lit("null").alias("canon"))).otherwise(F.struct(F.lit(made).alias("kind"), text.alias("text"), text.alias("canon")))
+        made, text = "array" if isinstance(kind, T.ArrayType) else "object", F.to_json(c, {"ignoreNullFields": "false"})
+        canon = canonical(c, kind)
+    return F.when(c.isNull(), F.struct(F.lit("null").alias("kind"), F.lit("null").alias("text"), F.lit("null").alias("canon"))).otherwise(F.struct(F.lit(made).alias("kind"), text.alias("text"), (text if canon is None else canon).alias("canon")))
+
+
+def broken_rules(cases: DataFrame) -> DataFrame:
+    """(ordinal, rule): the first rule that each case breaks, as for a file's records."""
+    tags = F.col("tags")
+    rule = (
+        F.when(F.col("ordinal").isNull(), "ordinal must not be null").when(F.col("case_id").isNull(), "id must be a string")
+        .when(F.btrim("case_id", F.lit(WHITES)) == "", "id must not be blank").when(F.exists(tags, lambda t: t.isNull()), "tags must be a list of strings")
+        .when(F.size(F.array_distinct(tags)) < F.size(tags), "tags must be unique")
+    )
+    return cases.select("ordinal", rule.alias("rule")).where("rule is not null")
+
 
+def from_dataframe(df: DataFrame, *, case_id: str, reference: str, prediction: str, ordinal: str, tags: str | None = None, check: bool = True) -> DataFrame:
+    """Cases of a table; ``ordinal`` names the bigint column that orders them. Null tags are none.
 
-def from_dataframe(df: DataFrame, *, case_id: str, reference: str, prediction: str, ordinal: str, tags: str | None = None) -> DataFrame:
-    """Cases of a table; ``ordinal`` names the bigint column that orders them."""
-    return df.select(
+    With ``check`` one pass over ids and tags finds the first case in order that
+    breaks a rule, which raises CaseFormatError.
+    """
+    none = F.array().cast("array<string>")
+    cases = df.select(
         F.col(ordinal).cast("bigint").alias("ordinal"), F.col(case_id).cast("string").alias("case_id"), payload_column(df, reference).alias("reference"), payload_column(df, prediction).alias("prediction"),
-        (F.col(tags) if tags else F.array().cast("array<string>")).alias("tags"), F.lit("{}").alias("metadata"),
+        (F.coalesce(F.col(tags), none) if tags else none).alias("tags"), F.lit("{}").alias("metadata"),
     )
+    first = broken_rules(cases).agg(F.min(F.struct("ordinal", "rule"))).first()[0] if check else None
+    if first is not None:
+        raise CaseFormatError(f"case {first.ordinal}: {first.rule}")
+    return cases
 
 
 def from_records(spark: SparkSession, records: Iterable[dict[str, Any]]) -> DataFrame:

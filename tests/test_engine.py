@@ -327,6 +327,30 @@ def test_numbers_beyond_a_double(spark, tmp_path):
     assert (src.value_of(row.reference), src.value_of(row.prediction)) == (math.inf, -math.inf)
 
 
+def test_table_cases_are_checked(spark):
+    def made(*rows):
+        df = spark.createDataFrame(rows, "n bigint, id string, tags array<string>")
+        return src.from_dataframe(df, case_id="id", reference="id", prediction="id", ordinal="n", tags="tags")
+
+    assert [r.tags for r in made((2, "b", None), (1, "a", ["x", "y"])).orderBy("ordinal").collect()] == [["x", "y"], []]
+    good = (1, "a", ["x"])
+    for row, said in (((7, None, []), "case 7: id must be a string"), ((6, " \u2003", []), "case 6: id must not be blank"), ((5, "b", ["x", "x"]), "case 5: tags must be unique"), ((4, "c", [None]), "case 4: tags must be a list"), ((None, "d", []), "ordinal")):
+        with pytest.raises(CaseFormatError, match=said):
+            made(good, row, (9, "", []))
+
+
+def test_canonical_columns(spark):
+    """Table columns have the canonical text of the same JSON value in a file, but for spellings of fractions."""
+    kind = "i int, m map<string,struct<z:array<int>,a:double>>, s struct<b:string,a:map<int,boolean>>, t string, l array<string>"
+    rows = [(1, {"y": ([1, None], 1.0), "x\n\x01é\"\\": (None, 2.5)}, ("q", {10: True, 9: None}), "\t", [])]
+    df = spark.createDataFrame(rows, kind)
+    got = df.select(*(src.payload_column(df, c)["canon"].alias(c) for c in df.columns)).first()
+    want = {"i": 1, "m": {"y": {"z": [1, None], "a": 1.0}, "x\n\x01é\"\\": {"z": None, "a": 2.5}}, "s": {"b": "q", "a": {"10": True, "9": None}}, "l": []}
+    for c, x in want.items():
+        assert got[c] == src.payload(x)["canon"]
+    assert got["t"] == "\t"
+
+
 def test_json_lines_of_a_table(spark):
     lines = [(3, '{"id": "b", "reference": 1, "prediction": true}'), (1, '{"id": "a", "reference": "x", "prediction": {"k": null}, "tags": ["t"]}'), (2, "  "), (4, None)]
     df = spark.createDataFrame(lines, "n bigint, line string")
