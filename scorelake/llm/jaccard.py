@@ -299,20 +299,28 @@ def _bloom(wanted: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _row_key(sid: Column, doc_id: Column) -> Column:
+    """A set and a document as one number for the filter; ``_set_table`` makes the same."""
+    return sid.bitwiseXOR(F.shiftleft(doc_id, 21).bitwiseOR(F.shiftrightunsigned(doc_id, 43)))
+
+
 def _set_table(docs: DataFrame, filled: np.ndarray, rule: Rule) -> DataFrame:
-    """(sid, doc_id, members): the sorted shingles of the sets that pass the filter, once a task."""
+    """(sid, doc_id, members): the sorted shingles of the sets whose set and document pass the filter, once a task for rows that repeat."""
     schema = pa.schema([("sid", pa.int64()), ("doc_id", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch, sets in _sliced(batches, rule.words):
             ids = np.array([set_id(s) for s in sets], np.int64)
+            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+            keys = (ids.view(_U) ^ (doc << _U(21) | doc >> _U(43))).view(np.int64)
             keep = np.ones(len(ids), bool)
             for k in _BLOOM_SHIFTS:
-                p = (ids >> k) & ((len(filled) << 6) - 1)
+                p = (keys >> k) & ((len(filled) << 6) - 1)
                 keep &= (filled[p >> 6] >> (p & 63)) & 1 == 1
-            at = np.flatnonzero(keep)
-            if len(at):
-                yield batch_of(schema, ids[at], batch.column(0).take(pa.array(at)), [sets[i].astype("<u8").tobytes() for i in at.tolist()])
+            at = [i for i in np.flatnonzero(keep).tolist() if int(keys[i]) not in seen and not seen.add(int(keys[i]))]
+            if at:
+                yield batch_of(schema, ids[at], batch.column(0).take(pa.array(at)), [sets[i].astype("<u8").tobytes() for i in at])
 
     return docs.mapInArrow(run, "sid bigint, doc_id bigint, members binary")
 
@@ -320,8 +328,9 @@ def _set_table(docs: DataFrame, filled: np.ndarray, rule: Rule) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """(u, v), perhaps repeated, of the pairs (a, u, b, v) of sets and their documents that are similar enough.
 
-    The sets are made again from the texts, of the documents in the pairs alone,
-    and stand as a table until the links do.
+    The sets are made again from the texts, of the documents in the pairs alone:
+    copies under other ids and repeated rows are left out. They stand as a table
+    until the links do.
     """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -338,7 +347,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 yield batch_of(schema, batch.column(0).take(at), batch.column(1).take(at))
 
     bits = min(_BLOOM_MOST, max(_BLOOM, (16 * pairs.count()).bit_length()))
-    sets = store(_set_table(docs, _bloom(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), bits), rule), "members")
+    sets = store(_set_table(docs, _bloom(pairs.select(F.explode(F.array(_row_key(F.col("a"), F.col("u")), _row_key(F.col("b"), F.col("v")))).alias("sid")).distinct(), bits), rule), "members")
     first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("doc_id").alias("u"), F.col("members").alias("x")), ["a", "u"])
     second = first.join(sets.select(F.col("sid").alias("b"), F.col("doc_id").alias("v"), F.col("members").alias("y")), ["b", "v"])
     links = store(second.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint"), "links")

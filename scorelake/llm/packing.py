@@ -121,7 +121,8 @@ def pack(cut: DataFrame, max_length: int = 2048) -> DataFrame:
     ``SHARE_ROWS`` pieces, or more where that would give over ``MOST_SHARES``
     shares. The plan is looked up by length and block of ranks, so neither a task
     nor a lookup holds all pieces of a common length. Pieces with equal
-    (doc_id, piece) are told apart by their place in a share alone.
+    (doc_id, piece) go in order of their ids' checksums; those that are equal in all
+    of it are interchangeable.
     """
     spark = cut.sparkSession
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_length rows at most
@@ -138,7 +139,7 @@ def pack(cut: DataFrame, max_length: int = 2048) -> DataFrame:
     blocks = slots_df.withColumn("_block", F.explode(F.sequence(F.expr(f"_lo div {share_rows}"), F.expr(f"(_hi - 1) div {share_rows}"))))
     if len(slots) + sum(counts.values()) // share_rows <= BROADCAST_ROWS:
         blocks = F.broadcast(blocks)
-    within = Window.partitionBy("length", "_share").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "_share").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = (
         salted.withColumn("_n", F.row_number().over(within) - 1)
         .join(F.broadcast(bases_df), ["length", "_share"])

@@ -137,3 +137,16 @@ def test_components(spark, links):
     got = {r.node: r.root for r in graph.components(df).collect()}
     linked = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: root(x) for x in linked}
+
+
+def test_repeated_rows_are_not_squared(spark):
+    """Two near texts, each on many rows with one doc_id and on rows with other ids: one member blob a task."""
+    words = [f"w{i}" for i in range(40)]
+    one, two = " ".join(words), " ".join([*words[:-1], "z"])
+    rows = [(1, one)] * 300 + [(2, two)] * 300 + [(k, one) for k in range(3, 200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sets = {r.a: r.b for r in jaccard._describe(docs, jaccard.Rule()).where("kind = 0").select("a", "b").collect()}
+    pairs = spark.createDataFrame([(sets[1], 1, sets[2], 2)], "a bigint, u bigint, b bigint, v bigint")
+    links = jaccard._verified(pairs, docs, jaccard.Rule())
+    assert {(r.u, r.v) for r in links.collect()} == {(1, 2)} and links.count() <= 9
+    assert {r.component_id for r in jaccard.jaccard_components(docs).collect()} == {1}

@@ -134,3 +134,15 @@ def test_plan_is_best_fit_decreasing(counts):
         else:
             rooms.append(30 - length)
     assert len(bins) <= len(rooms) + 1
+
+
+def test_packing_of_rows_with_one_id(spark):
+    """Different texts with one doc_id tie in (doc_id, piece): each piece still has one place, in any order of rows."""
+    rows = [(7, f"text {i} " * (i % 5 + 1)) for i in range(60)]
+    want = None
+    for parts in (1, 5):
+        got = packing.best_fit_packing(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts), max_length=16).collect()
+        shown = sorted((r.ids_crc32, r.length, r.sequence_id, r.offset) for r in got)
+        assert len(got) == 60 or len({(r.sequence_id, r.offset) for r in got}) == len(got)
+        want = want or shown
+        assert shown == want
