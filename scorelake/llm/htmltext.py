@@ -312,8 +312,8 @@ def main_text(pages: DataFrame, least_tokens: int = 6, share_pages: int = 2000)
     ``share_pages`` pages (more where over ``_BROADCAST_HOSTS`` hosts could have so many)
     is compared by a join and no suffix array, with the same result.
     """
-    own = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("packed", pa.binary()), ("rest", pa.list_(pa.string())), ("open", pa.list_(pa.int32()))])
+    own = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"), F.monotonically_increasing_id().alias("row"))
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("packed", pa.binary()), ("rest", pa.list_(pa.string())), ("open", pa.list_(pa.int32())), ("row", pa.int64())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,10 +326,10 @@ def main_text(pages: DataFrame, least_tokens: int = 6, share_pages: int = 2000)
                 free.append([] if has_main else [i for i, (k, _) in enumerate(outer) if k == OPEN])
                 packed.append(None if free[-1] else zlib.compress(" ".join(t for k, t in found if k == MAIN).encode("utf-8", "replace")))
                 rest.append([t for _, t in outer])
-            yield batch_of(schema, batch.column(0), batch.column(1), packed, rest, free)
+            yield batch_of(schema, batch.column(0), batch.column(1), packed, rest, free, batch.column(3))
 
-    # texts travel compressed from here to the end
-    parsed = store(own.mapInArrow(parse, "page_id bigint, url string, packed binary, rest array<string>, open array<int>"), "pages", compression="zstd").withColumn("row", F.monotonically_increasing_id())
+    # texts travel compressed from here to the end; rows get their number once, in the stored table
+    parsed = store(own.mapInArrow(parse, "page_id bigint, url string, packed binary, rest array<string>, open array<int>, row bigint"), "pages", compression="zstd")
     outside = parsed.where(F.size("rest") > 0).select("row", "rest", (F.size("open") > 0).alias("needed"), host_of(F.col("url")).alias("host"))
     most = max(share_pages, parsed.count() // _BROADCAST_HOSTS)
     large = outside.groupBy("host").count().where(F.col("count") > most).select("host", F.lit(True).alias("large"))  # _BROADCAST_HOSTS rows at most
