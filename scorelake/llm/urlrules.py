@@ -1,17 +1,19 @@
 """URL filters: fixed host and path rules, then association rules mined by FP-growth.
 
 Labelled URLs become sets of tokens (host suffixes and labels, path parts, numbers,
-endings, query names). Spark's FP-growth finds the token combinations that go with
-the label; rules under the confidence or support are dropped, those whose confidence
+endings, query names); tokens that always stand together are one class. Spark's
+FP-growth finds the combinations of classes in marked URLs, a join counts them in
+the others; rules under the confidence or support are dropped, those whose confidence
 is not clearly above the share of marked URLs too, and so are rules that a smaller
 one implies; a rule may have any number of tokens. An inverted index keyed by the
-token of a rule that fewest URLs have finds the rules that a URL can satisfy; a URL
-is blocked if it has all tokens of one of them.
+class of a rule that fewest URLs have finds the rules that a URL can satisfy; a URL
+is blocked if it has a token of each class of one of them.
 Everything on the main path is DataFrame functions and JVM code.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -22,8 +24,6 @@ from pyspark.sql import functions as F
 from ._io import store
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The item of a marked URL; tokens never hold this character.
-_MARK = "\x00marked"
 #: Tasks that the rows of one URL are dealt to.
 _SLOTS = 8
 
@@ -108,28 +108,86 @@ def tokens_of(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(made, lambda x: ~F.contains(x, F.lit("\x00")))))
 
 
-def mine(labelled: DataFrame, least_support: float = 0.005, least_confidence: float = 0.3, least_rows: int = 10, least_lift: float = 1.25, least_z: float = 2.58) -> DataFrame:
-    """Rules (tokens array, confidence, support) from ``labelled(url, marked boolean)``.
+def _classed(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Classes (class, members, n, m) of tokens, and the rows as (items, n, m) in them.
+
+    Tokens that stand in the same rows are one class, named by its smallest
+    token. Row sets are compared by count and two hashes of the distinct token
+    sets. Tokens with fewer than ``least`` marked rows are in no rule and left out.
+    """
+    whole = rows.groupBy(tokens_of(F.col("url")).alias("t")).agg(F.count("*").alias("n"), F.count_if("marked").alias("m"))
+    sets = store(whole.withColumn("_slot", F.pmod(F.xxhash64("t"), F.lit(_SLOTS)).cast("int")), "token-sets")
+    alike = sets.select("n", "m", F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"), F.explode("t").alias("token")).groupBy("token")
+    known = alike.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("sets"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g")).where(F.col("m") >= least)
+    classes = store(known.groupBy("n", "m", "sets", "h", "g").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.get("members", F.lit(0)).alias("class"), "members", "n", "m"), "classes")
+    named = classes.select("class", F.col("class").alias("token")).withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(_SLOTS - 1))))
+    found = sets.select("t", "n", "m", "_slot", F.explode("t").alias("token")).join(named, ["token", "_slot"])
+    items = found.groupBy("t", "n", "m").agg(F.array_sort(F.collect_list("class")).alias("items"))
+    return classes, store(items.groupBy("items").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "class-sets")
+
+
+def _counted(itemsets: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``itemsets(items, freq)`` with n, the rows that hold all items.
+
+    An item set meets only the rows that hold its rarest item; rows are dealt to
+    slots, so a frequent one is never one task's.
+    """
+    sizes = classes.select("class", F.col("n").alias("all"))
+    rarest = itemsets.select("items", "freq", F.explode("items").alias("class")).join(sizes, "class").groupBy("items", "freq").agg(F.min(F.struct("all", "class")).alias("k"))
+    index = rarest.select(F.col("items").alias("needed"), "freq", F.col("k.class").alias("class"), F.explode(F.sequence(F.lit(0), F.lit(_SLOTS - 1))).alias("_slot"))
+    spread = rows.select("items", "n", F.pmod(F.xxhash64("items"), F.lit(_SLOTS)).cast("int").alias("_slot"), F.explode("items").alias("class"))
+    hits = spread.join(index, ["class", "_slot"]).where(F.size(F.array_except("needed", "items")) == 0)
+    return hits.groupBy(F.col("needed").alias("items"), "freq").agg(F.sum("n").alias("n"))
+
+
+def mine_classes(labelled: DataFrame, least_support: float = 0.005, least_confidence: float = 0.3, least_rows: int = 10, least_lift: float = 1.25, least_z: float = 2.58) -> DataFrame:
+    """Rules (needed array<array<string>>, confidence, support) from ``labelled(url, marked boolean)``.
+
+    A URL fits a rule if it has a token of each array in ``needed``. Tokens that
+    stand in the same labelled URLs are one array, and FP-growth mines
+    these classes over the marked URLs alone, so tokens that always come together
+    don't multiply item sets; the other URLs are counted by a join.
 
     ``least_support`` is the share of labelled URLs that hold the tokens and the
     mark; it stands for ``least_rows`` of them at least, so that a few rows make no
     rule by chance. A rule's confidence must also be ``least_lift`` times the share of
     marked URLs and ``least_z`` standard errors above it: a fixed
     confidence alone means little where marks are rare or common. Rules have as
-    many tokens as they need. Null urls or marks are left out; with fewer than
-    ``least_rows`` rows, or without a mark, there are no rules.
+    many tokens as they need. Null urls or marks are left out, repeated rows
+    count each; with fewer than ``least_rows`` rows, or without a mark, there are no rules.
     """
+    none = labelled.sparkSession.createDataFrame([], "needed array<array<string>>, confidence double, support double")
     rows = labelled.where(F.col("url").isNotNull() & F.col("marked").isNotNull())
     n, marked = rows.agg(F.count("*"), F.count_if("marked")).first()
-    if n < least_rows or not marked:
-        return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
-    items = rows.select(F.concat(tokens_of(F.col("url")), F.when(F.col("marked"), F.array(F.lit(_MARK))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(least_support, least_rows / n), minConfidence=least_confidence).fit(items)
-    found = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == _MARK))
+    least = max(1, math.ceil(max(least_support * n, least_rows) - 1e-9))
+    if n < least_rows or marked < least:
+        return none
+    classes, sets = _classed(rows, least)
+    if classes.isEmpty():
+        return none
+    baskets = sets.where("m > 0").select("items", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("copy"))
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / marked).fit(baskets)  # half a row less: no rounding of the product
+    frequent = store(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "item-sets")
     base = marked / n
-    z = (F.col("confidence") - base) / F.sqrt(base * (1 - base) / (F.col("support") * n / F.col("confidence")))
-    strong = found.where((F.col("confidence") >= least_lift * base) & (F.lit(marked == n) | (z >= least_z)))
-    return _smallest(strong.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"))
+    held = _counted(frequent, classes, sets).withColumn("confidence", F.col("freq") / F.col("n"))
+    z = (F.col("confidence") - base) / F.sqrt(base * (1 - base) / F.col("n"))
+    strong = held.where((F.col("confidence") >= max(least_confidence, least_lift * base)) & (F.lit(marked == n) | (z >= least_z)))
+    rules = store(_smallest(strong.select(F.col("items").alias("tokens"), "confidence", (F.col("freq") / n).alias("support"))), "rules")
+    members = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("class")).join(classes.select("class", "members"), "class")
+    return members.groupBy("tokens", "confidence", "support").agg(F.collect_list("members").alias("needed")).select("needed", "confidence", "support")
+
+
+def mine(labelled: DataFrame, *settings: float, **named: float) -> DataFrame:
+    """Rules (tokens array, confidence, support): those of ``mine_classes`` spelt out, for reports.
+
+    Each choice of one token a class is a rule of its own, so rules over large
+    classes are many; ``matched`` takes the classes as they are.
+    """
+    chosen = F.aggregate(
+        "needed", F.array(F.array().cast("array<string>")),
+        lambda acc, some: F.flatten(F.transform(acc, lambda x: F.transform(some, lambda t: F.concat(x, F.array(t))))),
+    )
+    return mine_classes(labelled, *settings, **named).select(F.explode(chosen).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
 
 
 def _smallest(rules: DataFrame) -> DataFrame:
@@ -151,17 +209,20 @@ def _smallest(rules: DataFrame) -> DataFrame:
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct ``urls(url)`` that have all tokens of a rule, found by an inverted index of the rules.
+    """The distinct ``urls(url)`` that fit one of ``rules(needed)``, found by an inverted index of the rules.
 
-    A rule stands in the index under the token that the fewest URLs have; one
-    with a token that no URL has matches nothing.
+    A rule stands in the index under the tokens of the class that the fewest URLs
+    have; one with a class that no URL has matches nothing. URLs are dealt to
+    slots, so a frequent token is never one task's.
     """
-    distinct = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("_tokens", tokens_of(F.col("url")))
-    spread = rules.select("tokens", F.explode("tokens").alias("token"))
-    seen = distinct.select(F.explode("_tokens").alias("token")).join(spread.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    index = spread.join(seen, "token", "left").groupBy("tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("k")).select(F.col("k.token").alias("token"), F.col("tokens").alias("_needed"))
-    hits = distinct.withColumn("token", F.explode("_tokens")).join(index, "token")
-    return hits.where(F.size(F.array_except("_needed", "_tokens")) == 0).select("url").distinct()
+    distinct = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("_tokens", tokens_of(F.col("url"))).withColumn("_slot", F.pmod(F.xxhash64("url"), F.lit(_SLOTS)).cast("int"))
+    spread = rules.select("needed", F.explode("needed").alias("class")).withColumn("token", F.explode("class"))
+    seen = distinct.select(F.explode("_tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).join(spread.select("token").distinct(), "token", "left_semi")
+    sizes = spread.join(seen, "token", "left").groupBy("needed", "class").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rarest = sizes.groupBy("needed").agg(F.min(F.struct("n", "class")).alias("k")).where("k.n > 0")
+    index = rarest.select(F.col("needed").alias("_needed"), F.explode("k.class").alias("token"), F.sequence(F.lit(0), F.lit(_SLOTS - 1)).alias("_slots")).select("_needed", "token", F.explode("_slots").alias("_slot"))
+    hits = distinct.withColumn("token", F.explode("_tokens")).join(index, ["token", "_slot"])
+    return hits.where(F.forall("_needed", lambda some: F.arrays_overlap(some, F.col("_tokens")))).select("url").distinct()
 
 
 def url_verdicts(pages: DataFrame, labelled: DataFrame, rules: tuple[UrlRule, ...] = DEFAULT_RULES, **settings: float) -> DataFrame:
@@ -173,7 +234,7 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame, rules: tuple[UrlRule, ..
     length the first listed decides. Rows of one URL are dealt to ``_SLOTS`` tasks.
     """
     rows = pages.select("page_id", F.col("url").cast("string")).withColumn("_slot", F.pmod(F.xxhash64("page_id"), F.lit(_SLOTS)).cast("int"))
-    blocked = matched(rows, mine(labelled, **settings)).select("url", F.lit(True).alias("_blocked"), F.explode(F.sequence(F.lit(0), F.lit(_SLOTS - 1))).alias("_slot"))
+    blocked = matched(rows, mine_classes(labelled, **settings)).select("url", F.lit(True).alias("_blocked"), F.explode(F.sequence(F.lit(0), F.lit(_SLOTS - 1))).alias("_slot"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     text, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     return (

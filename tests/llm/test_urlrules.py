@@ -115,6 +115,37 @@ def test_whole_table_with_mined_rules(spark):
             assert r.verdict == ("block" if any(set(c) <= tokens[r.page_id] for c in want) else "allow")
 
 
+def test_long_shared_paths(spark):
+    """Tokens that come together are one class: 25 shared parts make no more item sets than one, alone or with a host."""
+    deep, chain = "/".join(f"deep{chr(97 + i)}" for i in range(25)), "/".join(f"q{chr(97 + i)}" for i in range(12))
+    rows = [(f"http://one.io/{deep}/{i}", True) for i in range(40)] + [(f"http://h{chr(97 + i % 20)}.io/x/{i}", i % 50 == 0) for i in range(1500)]
+    rows += [(f"http://m.io/{chain}/{i}", True) for i in range(30)] + [(f"http://m.io/y/{i}", False) for i in range(120)] + [(f"http://n.io/{chain}/{i}", False) for i in range(120)]
+    labelled = spark.createDataFrame(rows, "url string, marked boolean")
+    tokens = [(r.t, r.marked) for r in labelled.select("marked", urlrules.tokens_of(urlrules.F.col("url")).alias("t")).collect()]
+    held = {}
+    for i, (ts, _) in enumerate(tokens):
+        for t in ts:
+            held.setdefault(t, set()).add(i)
+    members = {}
+    for t, at in held.items():
+        members.setdefault(frozenset(at), []).append(t)
+    name = {t: min(ts) for ts in members.values() for t in ts}
+    assert max(map(len, members.values())) > 25
+    small = every_rule([(sorted({name[t] for t in ts}), m) for ts, m in tokens], 0.005, 0.3, 10, 1.25, 2.58)
+    by_name = {min(ts): ts for ts in members.values()}
+    want = {tuple(sorted(c)) for rule in small for c in itertools.product(*(by_name[k] for k in rule))}
+    found = [tuple(r.tokens) for r in urlrules.mine(labelled).collect()]
+    assert set(found) == want and len(found) == len(want) and {1, 2} <= {len(c) for c in want}
+    pages = spark.createDataFrame([(1, "http://a.io/deepc/1"), (2, "http://m.io/qd/1"), (3, "http://m.io/z/1"), (4, "http://a.io/qd/1")], "page_id bigint, url string")
+    verdicts = {r.page_id: r.verdict for r in urlrules.url_verdicts(pages, labelled, ()).collect()}
+    assert verdicts == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_no_common_token(spark):
+    labelled = spark.createDataFrame([(f"s{i}://h{i}x{'abcdefghijklmnopqrst'[i]}.d{'abcdefghijklmnopqrst'[i]}", True) for i in range(20)], "url string, marked boolean")
+    assert urlrules.mine(labelled).count() == 0 and urlrules.mine(labelled.limit(0)).count() == 0
+
+
 def test_rules_exist_and_rest_on_evidence(spark):
     """Marks that go with a host label make rules; the same marks dealt at random make none that is as strong."""
     rows = [(f"http://{h}.site.io/en/{1000 + i}.html", i % 10 < (6 if h == "spam" else 2)) for i in range(300) for h in ("spam", "blog")]
