@@ -13,6 +13,7 @@ test, and only members of different components of one list meet afterwards.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -278,6 +279,16 @@ def _sized(na: Column, nb: Column, rule: Rule) -> Column:
     return F.least(na, nb) * rule.den >= F.greatest(na, nb) * rule.num
 
 
+def _size_class(n: Column, rule: Rule) -> Column:
+    """A number for sizes; those of two sets that may be similar differ by one at most.
+
+    The classes are a trifle wider than the ratio that the rule allows, so rounding
+    parts no pair.
+    """
+    ratio = rule.den / rule.num
+    return F.floor(F.log(n.cast("double")) / (math.log(ratio) * 1.0001)) if ratio > 1 else n.cast("bigint")
+
+
 def _near(x: Column, y: Column, na: Column, nb: Column, rule: Rule) -> Column:
     """Whether sizes and parity bits leave room for the similarity; never false for a similar pair."""
 
@@ -503,16 +514,19 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
     left, right = sides(held)
     for turn in range(star_rounds + 1):
         labelled = (
-            long.join(held.select("sid", "rep"), "sid")
+            long.join(held.select("sid", "n", "rep"), "sid")
             .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-            .select("key", "slots", "slot", F.col("sid").alias("a"), F.coalesce("root", "rep").alias("root"))
+            .select("key", "slots", "slot", F.col("sid").alias("a"), "n", F.coalesce("root", "rep").alias("root"), _size_class(F.col("n"), rule).alias("class"))
         )
-        # each list has a leader of its own, so lists with the same sets try different ones
-        mixed = labelled.groupBy("key", "slots").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("a", "key", F.lit(turn)).alias("r"), "a", "root")).alias("lead")).where("lo <> hi")
-        rows = labelled.join(mixed.select("key", "lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("slot")), ["key", "slot"])
+        # sets of two different components can only meet in neighbouring classes of size;
+        # each list and class has a leader of its own, so lists with the same sets try different ones
+        own_class = labelled.groupBy("key", "slots", "class").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("a", "key", F.lit(turn)).alias("r"), "a", "root", "n")).alias("lead"))
+        near_class = own_class.withColumn("class", F.explode(F.array(F.col("class") - 1, "class", F.col("class") + 1)))
+        mixed = near_class.groupBy("key", "slots", "class").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("lead").alias("lead")).where("lo <> hi")
+        rows = labelled.join(mixed.select("key", "class", "lead", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)).alias("slot")), ["key", "slot", "class"])
         near = _near(F.col("x"), F.col("y"), F.col("na"), F.col("nb"), rule)
         if turn < star_rounds:
-            met = rows.where(F.col("root") != F.col("lead.root")).select("a", F.col("lead.a").alias("b")).distinct().join(left, "a").join(right, "b").where(near)
+            met = rows.where((F.col("root") != F.col("lead.root")) & _sized(F.col("n"), F.col("lead.n"), rule)).select("a", F.col("lead.a").alias("b")).distinct().join(left, "a").join(right, "b").where(near)
         else:
             met = _last_meeting(rows.select("key", "slots", "slot", "a", "root").join(left, "a"), rule, limit)
         more = store(met.select("a", "u", "b", "v").distinct(), "pairs")
