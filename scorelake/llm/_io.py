@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 from typing import Any
 from weakref import WeakKeyDictionary
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
-_written: dict[str, SparkSession] = {}
+_written: dict[str, tuple[SparkSession, int]] = {}
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -38,7 +39,7 @@ def new_place(spark: SparkSession, what: str) -> str:
     path = f"{scratch_root(spark)}/scorelake/{what}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(release)
-    _written[path] = spark
+    _written[path] = spark, threading.get_ident()
     return path
 
 
@@ -57,8 +58,8 @@ def store(df: DataFrame, what: str, **options: str) -> DataFrame:
 
 
 def written() -> set[str]:
-    """The paths that stand at present."""
-    return set(_written)
+    """The paths that stand at present and that this thread wrote."""
+    return {path for path, (_, thread) in list(_written.items()) if thread == threading.get_ident()}
 
 
 def place_of(df: DataFrame) -> str | None:
@@ -72,7 +73,7 @@ def release(*paths: str | DataFrame) -> None:
     Only tables that no later plan reads may be given.
     """
     for path in [p if isinstance(p, str) else place_of(p) for p in paths] if paths else list(_written):
-        spark = _written.pop(path, None) if path else None
+        spark, _ = _written.pop(path, (None, 0)) if path else (None, 0)
         if spark is None:
             continue
         try:
