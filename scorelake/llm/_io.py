@@ -7,6 +7,8 @@ import os
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 from weakref import WeakKeyDictionary
 
@@ -18,6 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, tuple[SparkSession, int]] = {}
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_tidy: dict[str, int | str | None] = {"writers": 0, "before": None}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -43,15 +48,37 @@ def new_place(spark: SparkSession, what: str) -> str:
     return path
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end meanwhile delete their shuffle files at once, not when the driver happens to collect garbage."""
+    with _lock:
+        if not _tidy["writers"]:
+            _tidy["before"] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _tidy["writers"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _tidy["writers"] -= 1
+            if not _tidy["writers"]:
+                if _tidy["before"] is None:
+                    spark.conf.unset(_CLEANUP)
+                else:
+                    spark.conf.set(_CLEANUP, _tidy["before"])
+
+
 def store(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor never makes the work before it run
-    again, and every reader sees the same rows.
+    again, and every reader sees the same rows. The write's shuffle files go
+    when the table stands.
     """
     spark = df.sparkSession
     path = new_place(spark, what)
-    df.write.options(**options).parquet(path)
+    with _shuffles_dropped(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
     return out
