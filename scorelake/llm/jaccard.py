@@ -158,11 +158,11 @@ def boundary(sizes: dict[int, int], repetition: float, rule: Rule) -> int:
 
 
 def _postings(docs: DataFrame, rule: Rule, limit: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(slot, key, sid, n): pairs of small sets (odd keys) and prefix shingles (even keys).
+    """(share, key, sid, n): pairs of small sets (odd keys) and prefix shingles (even keys).
 
-    A key's second bit says that its list is dealt to several slots.
+    A key's second bit says that its list is dealt to several shares.
     """
-    schema = pa.schema([("slot", pa.int64()), ("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("share", pa.int32()), ("key", pa.int64()), ("sid", pa.int64()), ("n", pa.int32())])
     values, counts = frequent
     met = rule.needed(limit + 1)  # small sets from this size on can be similar to large ones
 
@@ -213,10 +213,10 @@ def _postings(docs: DataFrame, rule: Rule, limit: int, frequent: tuple[np.ndarra
                 sid = np.repeat(np.array([o[0] for o in owners], np.int64), reps)
                 shares = (w // _SPLIT + 1).astype(_U)
                 key |= (shares > 1).astype(_U) << _U(1)
-                slot = np.where(shares > 1, _scan.mix(key + (_scan.mix(sid.view(_U)) % shares)), key)
-                yield batch_of(schema, slot.view(np.int64), key.view(np.int64), sid, np.repeat(np.array([o[1] for o in owners], np.int32), reps))
+                share = (_scan.mix(sid.view(_U)) % shares).astype(np.int32)
+                yield batch_of(schema, share, key.view(np.int64), sid, np.repeat(np.array([o[1] for o in owners], np.int32), reps))
 
-    return docs.mapInArrow(run, "slot bigint, key bigint, sid bigint, n int").repartition(partitions(docs.sparkSession), "slot")
+    return docs.mapInArrow(run, "share int, key bigint, sid bigint, n int").repartition(partitions(docs.sparkSession), "key", "share")
 
 
 def _may_link(na: np.ndarray, nb: np.ndarray, rule: Rule) -> np.ndarray:
@@ -249,7 +249,7 @@ def _scan_lists(postings: DataFrame, rule: Rule, limit: int) -> DataFrame:
                 for j in range(i + 1, m):
                     left.append(at + i)
                     right.append(at + j)
-        dealt = key[heads] & 2 != 0  # such a list has company in other slots, even if it is short here
+        dealt = key[heads] & 2 != 0  # such a list has company in other shares, even if it is short here
         long = np.flatnonzero((sizes > _SHORT) | dealt)
         rank = _scan.mix(sid.view(_U))
         rows = []
