@@ -6,7 +6,8 @@ the order of their positions, from left to right. Up to ``ARRAY_ROWS`` values
 travel as one array that is joined to the replicates. More of them stand in blocks
 of positions: a replicate's draws for one run of positions look up the blocks
 that they hit by a join, come back in order, and its sum goes on from run to run. Both
-forms give the same doubles, bit for bit.
+forms give the same doubles, bit for bit. Tasks follow the number of values, not
+that of the blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .suite import exact_mean
 
 #: Values that travel as one array (8 MB a million), and positions of a block beyond that.
 ARRAY_ROWS, BLOCK_ROWS = 5_000_000, 1 << 16
+#: Values that are put in order by one task, and positions that a replicate draws at once.
+TASK_ROWS, RUN_ROWS = 1 << 16, 1 << 20
 _INDEX = (1 << 33) - 1
 
 
@@ -44,14 +47,14 @@ def vector(rows: DataFrame, value: str, order: str, array_rows: int = ARRAY_ROWS
     pairs = own.select(F.col(order).alias("o"), x.alias("x"))
     if n <= array_rows:
         return pairs.agg(F.array_sort(F.collect_list(F.struct("o", "x"))).alias("v")).select(F.transform("v", lambda s: s["x"]).alias("xs"))
-    parts = -(-n // block_rows)
+    spark = rows.sparkSession
+    parts = max(-(-n // TASK_ROWS), min(spark.sparkContext.defaultParallelism, -(-n // block_rows)))
     ranked = pairs.repartitionByRange(parts, "o", "x").sortWithinPartitions("o", "x")
     placed = cut(ranked.select("x", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(_INDEX).alias("i")))
     before, bases = 0, []
     for r in placed.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # one row a part
         bases.append((r.part, before))
         before += r.n
-    spark = rows.sparkSession
     at = placed.join(F.broadcast(spark.createDataFrame(bases, "part int, base bigint")), "part").select("x", (F.col("base") + F.col("i")).alias("p"))
     blocks = at.groupBy(F.expr(f"p div {block_rows}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("v"))
     return cut(blocks.select("block", F.transform("v", lambda s: s["x"]).alias("xs"), F.lit(n).cast("bigint").alias("n")))
@@ -85,24 +88,27 @@ def _draw(domain: str, seed: int, replicate: int, position: int) -> bytes:
 def _blocked_bootstrap(blocks: DataFrame, config: BootstrapConfig) -> DataFrame:
     spark = blocks.sparkSession
     n, size = _size_of(blocks)
-    runs = -(-n // size)
+    step = max(size, RUN_ROWS)
+    runs = -(-n // step)
     samples, domain, seed = config.samples, config.bootstrap_domain, config.seed
 
     def draws(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The draws of one replicate for one run of positions, by the block that they hit."""
         for frame in frames:
             for r, run in zip((frame["id"] // runs).tolist(), (frame["id"] % runs).tolist(), strict=True):
-                first = run * size
-                hit = np.array([int.from_bytes(_draw(domain, seed, r, p)[:8], "big") % n for p in range(first, min(n, first + size))], np.int64)
+                first = run * step
+                last = min(n, first + step)
+                hit = np.fromiter((int.from_bytes(_draw(domain, seed, r, p)[:8], "big") % n for p in range(first, last)), np.int64, last - first)
                 order = np.argsort(hit // size, kind="stable")
                 block = (hit // size)[order]
                 edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
                 cuts = [*zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True)]
                 yield pd.DataFrame({"r": r, "run": run, "block": block[edges], "at": [order[a:b].astype(np.int32) for a, b in cuts], "inner": [(hit[order[a:b]] % size).astype(np.int32) for a, b in cuts]})
 
-    tasks = min(samples * runs, max(spark.sparkContext.defaultParallelism, samples * runs // 64))
+    tasks = min(samples * runs, max(spark.sparkContext.defaultParallelism, samples * n >> 24))
     drawn = spark.range(0, samples * runs, 1, tasks).mapInPandas(draws, "r bigint, run bigint, block bigint, at array<int>, inner array<int>")
-    found = drawn.join(blocks.select("block", "xs"), "block").select("r", "run", "at", F.transform("inner", lambda i: F.get("xs", i)).alias("x"))
+    # without the hint Spark takes the draws for a table as small as the range and sends them all through the driver
+    found = drawn.hint("merge").join(blocks.select("block", "xs"), "block").select("r", "run", "at", F.transform("inner", lambda i: F.get("xs", i)).alias("x"))
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums of replicates whose parts arrive run by run; one run's values are held."""

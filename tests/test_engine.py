@@ -178,6 +178,25 @@ def test_blocks_give_the_doubles_of_the_array(spark, block):
         assert one == other
 
 
+def test_tasks_follow_values_not_blocks(spark, monkeypatch):
+    rows = spark.range(1500).selectExpr("id AS ordinal", "rand(3) AS score")
+    c = BootstrapConfig(samples=20, seed=5)
+    spark.sparkContext.setJobGroup("blocks", "blocks")
+    replicates = stats.bootstrap_replicates(stats.vector(rows, "score", "ordinal", 0, 2), c)
+    got = replicates.collect()
+    assert "Broadcast" not in replicates._jdf.queryExecution().executedPlan().toString()  # the draws stay on the executors
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("blocks") for s in status.getJobInfo(j).stageIds]
+    spark.sparkContext.setJobGroup("", "")
+    assert len(got) == 20 and max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism
+    # runs and parts of a few values go on from one another
+    monkeypatch.setattr(stats, "RUN_ROWS", 100)
+    monkeypatch.setattr(stats, "TASK_ROWS", 100)
+    again = stats.bootstrap_replicates(stats.vector(rows, "score", "ordinal", 0, 2), c).collect()
+    whole = stats.bootstrap_replicates(stats.vector(rows, "score", "ordinal"), c).collect()
+    assert sorted((r.r, r.value.hex()) for r in got) == sorted((r.r, r.value.hex()) for r in again) == sorted((r.r, r.value.hex()) for r in whole)
+
+
 def test_comparison_beyond_the_array(spark, monkeypatch):
     rows = [({"id": f"c{i}", "reference": "a b c", "prediction": "a b"}, {"id": f"c{i}", "reference": "a b c", "prediction": "a b c" if i % 3 else "x"}) for i in range(40)]
     left, right = (src.from_records(spark, [r[k] for r in rows]) for k in (0, 1))
