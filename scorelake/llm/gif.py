@@ -34,49 +34,82 @@ _SEGMENT = 4096 - 258 + 1  # codes from one clear code to the next, itself inclu
 
 def lzw_encode(data: bytes) -> bytes:
     """LZW codes of 8-bit samples; the table is cleared whenever it is full."""
-    codes = [256]
+    # codes count in 256s, so that a code and the sample after it add up to a key
+    clear = 256 << 8
+    codes = [clear]
     widths = [np.array([9])]
     emit = codes.append
     if data:
         table: dict[int, int] = {}
-        known = table.get
-        following = 258
-        rest = iter(data)
-        prefix = next(rest)
-        for sample in rest:
-            key = prefix << 8 | sample
-            code = known(key)
-            if code is not None:
-                prefix = code
+        first, last = 258 << 8, 4096 << 8
+        following = first
+        prefix = data[0] << 8
+        for sample in data[1:]:
+            key = prefix + sample
+            if key in table:
+                prefix = table[key]
                 continue
             emit(prefix)
             table[key] = following
-            following += 1
-            prefix = sample
-            if following == 4096:
-                emit(256)
+            following += 256
+            prefix = sample * 256
+            if following == last:
+                emit(clear)
                 table.clear()
-                following = 258
+                following = first
         emit(prefix)
-    emit(257)
+    emit(257 << 8)
     left = len(codes) - 1
     while left > 0:
         widths.append(_EIGHT[: min(left, _SEGMENT)])
         left -= _SEGMENT
-    width = np.concatenate(widths)
-    bits = (np.array(codes, np.uint16)[:, None] >> np.arange(12, dtype=np.uint16)).astype(np.uint8) & 1
-    return np.packbits(bits[np.arange(12) < width[:, None]], bitorder="little").tobytes()
+    ends = np.cumsum(np.concatenate(widths))
+    starts = np.append(0, ends[:-1])
+    spread = np.array(codes, np.int64) >> 8 << (starts & 7)
+    size = (int(ends[-1]) + 7) // 8
+    # no two codes share a bit, so the sums of their bytes are the bytes
+    total = sum(np.bincount((starts >> 3) + k, spread >> 8 * k & 255, size + 2) for k in range(3))
+    return total[:size].astype(np.uint8).tobytes()
+
+
+def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
+    """Samples of the codes between two clear codes.
+
+    Entry number k of the table is what code k wrote and the sample after it, so a code
+    copies from a place in the samples themselves. Lengths and places are found for
+    all codes at once, by following references twice as far in each round.
+    """
+    step = np.arange(len(codes))
+    entry = codes.astype(np.int64) - clear - 2
+    if (entry >= step).any():
+        raise ValueError("a code stands before its entry")
+    back = np.where(entry < 0, step, entry)
+    lengths = (entry >= 0).astype(np.int64)
+    at = back
+    while (lengths[at] > 0).any():
+        lengths = lengths + lengths[at]
+        at = at[at]
+    lengths += 1
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    source = np.arange(ends[-1]) - np.repeat(starts - starts[back], lengths)
+    while not np.array_equal(source, further := source[source]):
+        source = further
+    samples = np.zeros(len(source), np.uint8)
+    literal = entry < 0
+    samples[starts[literal]] = codes[literal]
+    return samples[source]
 
 
 def lzw_decode(stream: bytes, min_bits: int) -> bytes:
     """Samples of an LZW code stream (clear codes at any place, a full table kept until cleared)."""
+    if min_bits > 8:
+        raise ValueError("samples of more than eight bits")
     clear, end = 1 << min_bits, (1 << min_bits) + 1
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
     words = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
     total, at = 8 * len(stream), 0
-    roots = [bytes((i,)) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
-    put = out.append
     reach = 4096
     while at < total:
         span = min(reach, (total - at) // (min_bits + 1) + 1)
@@ -93,26 +126,8 @@ def lzw_decode(stream: bytes, min_bits: int) -> bytes:
             reach *= 4  # no clear code in sight: look further
             continue
         stop = int(stops[0]) if len(stops) else len(codes)
-        own = codes[:stop].tolist()
-        if own:
-            table = roots.copy()
-            add = table.append
-            held = table[own[0]]
-            put(held)
-            size = len(table)
-            for code in own[1:]:
-                if code < size:
-                    entry = table[code]
-                    new = held + entry[:1]
-                elif code == size and size < 4096:
-                    new = entry = held + held[:1]
-                else:
-                    raise ValueError("a code stands before its entry")
-                if size < 4096:
-                    add(new)
-                    size += 1
-                put(entry)
-                held = entry
+        if stop:
+            out.append(_expand(codes[:stop], clear).tobytes())
         if stop == len(codes) or codes[stop] == end:
             break
         at = int(ends[stop])
@@ -225,9 +240,13 @@ def _decode(data: bytes) -> list[Frame]:
         area = (slice(top, top + h), slice(left, left + w))
         before = canvas[area].copy() if disposal == 3 else None
         rgb = colours[index]
-        drawn = np.ones((h, w), bool) if transparent is None else index != transparent
-        canvas[area][drawn, :3] = rgb[drawn]
-        canvas[area][drawn, 3] = 255
+        if transparent is None:
+            canvas[area][:, :, :3] = rgb
+            canvas[area][:, :, 3] = 255
+        else:
+            drawn = index != transparent
+            canvas[area][drawn, :3] = rgb[drawn]
+            canvas[area][drawn, 3] = 255
         frames.append(Frame(delay, disposal, transparent, left, top, rgb, canvas.copy()))
         if disposal == 2:
             canvas[area] = 0

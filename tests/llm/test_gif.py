@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -65,6 +66,45 @@ def test_deferred_clear():
     assert gif.lzw_decode(_deferred(data), 8) == data
 
 
+def _plain(codes):
+    """The samples of 8-bit codes by a table, a code at a time."""
+    table = [bytes((i,)) for i in range(256)] + [b"", b""]
+    held = table[codes[0]]
+    out = [held]
+    for code in codes[1:]:
+        entry = table[code] if code < len(table) else held + held[:1]
+        if len(table) < 4096:
+            table.append(held + entry[:1])
+        out.append(entry)
+        held = entry
+    return b"".join(out)
+
+
+def test_codes_expand_at_once():
+    some = random.Random(8)
+    streams = []
+    for _ in range(60):
+        codes = [some.randrange(256)]
+        while len(codes) < 3800:
+            codes.append(min(4095, 258 + len(codes) - 1 - int(some.expovariate(0.02))) if len(codes) > 200 and some.random() < 0.6 else some.randrange(256))
+        streams.append([c if c not in (256, 257) else 0 for c in codes])
+    expand = lambda codes: gif._expand(np.array(codes, np.uint32), 256).tobytes()
+    took = []
+    for form in (_plain, expand):
+        took.append([])
+        for _ in range(3):
+            began = time.process_time()
+            found = [form(s) for s in streams]
+            took[-1].append(time.process_time() - began)
+        assert found == [_plain(s) for s in streams]
+    assert min(took[1]) < min(took[0])
+    for odd in ([258], [1, 259], [1, 2, 300]):
+        with pytest.raises(ValueError):
+            expand(odd)
+    with pytest.raises(ValueError):
+        gif.lzw_decode(b"abc", 9)
+
+
 def _image(w, h, left, top, samples, gce=None, local=b"", interlaced=False):
     out = b""
     if gce:
