@@ -18,7 +18,7 @@ from ..operators import audit as audits
 from ..operators import compare, stats, suite
 from ..operators.shared import assembled, shared_folder
 from ..registry import MetricRegistry
-from ..sinks.report import Report, escape_column, listed, markdown_rows, write_json, write_markdown
+from ..sinks.report import Report, escape_column, listed, markdown_rows, read_results, write_json, write_markdown
 from ..sources.cases import broken_rules, from_dataframe, from_json_lines, load_cases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,8 +395,7 @@ def markdown_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The results in a JSON report that executors wrote."""
     report = Report("numeric_equivalence", _numeric(spark, sf_dir, UndefinedPolicy.ZERO))
-    whole = spark.read.json(write_json(report, _file(spark, ".json")), multiLine=True, schema="results array<struct<case_id:string,raw_score:double,resolved_score:double,skipped:boolean,undefined_reason:string>>")
-    return whole.select(F.explode("results").alias("r")).select("r.*")
+    return read_results(spark, write_json(report, _file(spark, ".json")))
 
 
 @query
