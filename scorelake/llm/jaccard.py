@@ -358,7 +358,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 yield batch_of(schema, batch.column(0).take(at), batch.column(1).take(at))
 
     bits = min(_BLOOM_MOST, max(_BLOOM, (16 * pairs.count()).bit_length()))
-    sets = store(_set_table(docs, _bloom(pairs.select(F.explode(F.array(_row_key(F.col("a"), F.col("u")), _row_key(F.col("b"), F.col("v")))).alias("sid")).distinct(), bits), rule), "members")
+    sets = store(_set_table(docs, _bloom(pairs.select(F.explode(F.array(_row_key(F.col("a"), F.col("u")), _row_key(F.col("b"), F.col("v")))).alias("sid")), bits), rule), "members")
     first = pairs.join(sets.select(F.col("sid").alias("a"), F.col("doc_id").alias("u"), F.col("members").alias("x")), ["a", "u"])
     second = first.join(sets.select(F.col("sid").alias("b"), F.col("doc_id").alias("v"), F.col("members").alias("y")), ["b", "v"])
     links = store(second.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint"), "links")
@@ -528,8 +528,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), star_rounds: int =
         if turn < star_rounds:
             met = rows.where((F.col("root") != F.col("lead.root")) & _sized(F.col("n"), F.col("lead.n"), rule)).select("a", F.col("lead.a").alias("b")).distinct().join(left, "a").join(right, "b").where(near)
         else:
-            met = _last_meeting(rows.select("key", "slots", "slot", "a", "root").join(left, "a"), rule, limit)
-        more = store(met.select("a", "u", "b", "v").distinct(), "pairs")
+            met = _last_meeting(rows.select("key", "slots", "slot", "a", "root").join(left, "a"), rule, limit).distinct()
+        more = store(met.select("a", "u", "b", "v"), "pairs")
         if not more.isEmpty():
             # what is settled goes on as stars: a link a node, however many links made it
             links = _verified(more, known, rule)
